@@ -83,6 +83,8 @@ class Packer:
         return max(0, end - max(start, loss_from))
 
     def wait(self, doc, start: int, end: int, loss_from: int) -> None:
+        if len(self.pieces) == len(self.demand):
+            self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)])
         self.demand[len(self.pieces)] = end - start, 1, self.loss_of(start, end, loss_from)
         self.pieces.append((doc, start, end, loss_from))
 
@@ -99,7 +101,7 @@ class Packer:
             self.emit([(doc, start, start + self.tokens, loss_from)])
             start += self.tokens
         if start < n:
-            if len(self.pieces) >= self.pool - self.segments:
+            while len(self.pieces) >= self.pool:  # each sequence places at least one token
                 self.fill()
             self.wait(doc, start, n, loss_from)
 

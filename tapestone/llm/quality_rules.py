@@ -19,7 +19,7 @@ from .common import byte_texts, id_uniform, saved
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct")
-FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "distinct_share")
+FEATURES = ("word_length", "symbol_share", "upper_share", "distinct_share")
 
 _UPPER, _DIGIT, _SYMBOL = (bytes(1 if (chr(i).isupper() and i < 128) else 0 for i in range(256)), bytes(1 if 48 <= i < 58 else 0 for i in range(256)), bytes(1 if i in SYMBOLS else 0 for i in range(256)))
 
@@ -70,9 +70,9 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _features(stats: dict[str, np.ndarray]) -> np.ndarray:
     s = {k: v.astype(np.float64) for k, v in stats.items()}
-    words, chars, lines = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1), np.maximum(s["n_lines"], 1)
-    # long texts repeat words by nature: the share is held against what a text of this length has
-    return np.stack([np.log1p(s["n_words"]), s["word_chars"] / words, s["n_symbols"] / chars, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, s["n_upper"] / chars, s["n_digits"] / chars, s["n_distinct"] / words**0.85], 1)
+    words, chars = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1)
+    # length and repetition have base rules, and digits mark harmless rarities; long texts repeat words by nature
+    return np.stack([s["word_chars"] / words, s["n_symbols"] / chars, s["n_upper"] / chars, s["n_distinct"] / words**0.85], 1)
 
 
 class IsolationForest:
@@ -149,7 +149,7 @@ def calibrated_threshold(scored: DataFrame, labels: DataFrame, label_col: str, i
     return best_at
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trees: int = 100, tree_rows: int = 256, fit_rows: int = 20_000, keep_good: float = 0.98, seed: int = 7) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trees: int = 100, tree_rows: int = 256, fit_rows: int = 20_000, keep_good: float = 0.99, seed: int = 7) -> DataFrame:
     """doc_id, STATISTICS, anomaly score, base_failed and kept for each row.
 
     base_failed: under 20 words, or more than 30 % of the words in repeated 8-word windows. The forest is fitted on the

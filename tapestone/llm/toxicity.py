@@ -91,10 +91,12 @@ def gram_counts(labelled: DataFrame) -> np.ndarray:
     return out
 
 
-def log_count_ratio(counts: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratio(counts: np.ndarray, alpha: float = 1.0, errors: float = 3.0) -> np.ndarray:
+    """Log ratio of each n-gram's shares in label 1 and label 0; 0 where it is within ``errors`` standard errors of 0."""
     smooth = counts + alpha
     shares = smooth / smooth.sum(1, keepdims=True)
-    return np.log(shares[1] / shares[0])
+    ratio = np.log(shares[1] / shares[0])
+    return np.where(np.abs(ratio) > errors * np.sqrt((1 / smooth).sum(0)), ratio, 0.0)
 
 
 def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l2: float, steps: int, positive_share: float = 0.25) -> tuple[np.ndarray, float]:
@@ -140,7 +142,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, l2: float = 1e-6, steps: int = 120, seed: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 8000, l2: float = 0.01, steps: int = 150, seed: int = 3) -> Model:
     """A model from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
     Log-count ratios cover all labelled rows. The linear fit takes at most ``fit_rows`` rows, half of each label where
@@ -152,12 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = gram_counts(labelled)
     if not counts.sum(1).all():
         return Model(np.zeros(1 << BITS), 0.0)
+    ratio = log_count_ratio(counts)
+    telling = ratio != 0
     sample: list[np.ndarray] = []
     marks: list[int] = []
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [grams_of(t).astype(np.int32).tobytes() for t in byte_texts(batch.column(0))]
+            grams = [(g := grams_of(t))[telling[g]].astype(np.int32).tobytes() for t in byte_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column(1)], ["grams", "label"])
 
     for label in (0, 1):
@@ -165,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for grams, mark in least.select("text", "label").mapInArrow(features, "grams binary, label int").toLocalIterator():
             sample.append(np.frombuffer(grams, np.int32).astype(np.int64))
             marks.append(mark)
-    weights, bias = fit_linear(sample, np.array(marks, np.float64), log_count_ratio(counts), l2, steps)
+    weights, bias = fit_linear(sample, np.array(marks, np.float64), ratio, l2, steps)
     return Model(weights, bias)
 
 

@@ -118,8 +118,9 @@ def test_near_duplicates(spark, docs):
 
 
 def test_toxicity(spark):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = queries.op7_toxicity(spark, SF).collect()
+    at = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = queries.op7_toxicity(spark, at).collect()
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)

@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Event, outcome, group and report operators."""

@@ -1,8 +1,9 @@
 """Near duplicates: MinHash bands propose pairs, odd sketches weed them out, whole shingle sets confirm them.
 
 Texts of the same word sequence are one class from the start. In each band bucket all members are held against the
-smallest one; what these links join is one component. Buckets that then still hold several components have all pairs
-between a minor component and the rest held against each other, so no pair of a bucket is left out.
+smallest one; what these links join is one component. In buckets that then still hold several components, members
+outside the largest meet a few delegates of it, and those still outside meet every member of another component, so no
+pair of a bucket is left out. Before the exact check, parity bitmaps of whole sets stand in for the texts.
 """
 
 from __future__ import annotations
@@ -92,6 +93,23 @@ def _sign(k: int, signer: Signer):
     return run
 
 
+def _parities(k: int, bits: int):
+    """Odd sketches of whole sets: XOR tells the size of the symmetric difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = per_worker("minhash words", dict)
+        for batch in batches:
+            sizes, sketches = [], []
+            for text in byte_texts(batch.column(1)):
+                shingles = shingle_set(words_of(text), k, kept)
+                flips = np.bincount((_mix(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                sizes.append(len(shingles))
+                sketches.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n", "parity"])
+
+    return run
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = per_worker("minhash words", dict)
@@ -111,10 +129,13 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def bits_apart(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def sketch_similarity(x: Column, y: Column, bits: int, samples: int) -> Column:
-    """The Jaccard similarity that the bits which differ between two odd sketches tell."""
-    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    share = F.least(2.0 * differ / bits, F.lit(0.999))
+    """The Jaccard similarity that the bits which differ between two odd sketches of MinHash samples tell."""
+    share = F.least(2.0 * bits_apart(x, y) / bits, F.lit(0.999))
     return 1.0 + F.log1p(-share) * (bits / (4.0 * samples))
 
 
@@ -138,13 +159,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now
 
 
-def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, bits: int = 512, slack: float = 0.16, seed: int = 11) -> DataFrame:
+def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, bits: int = 512, slack: float = 0.16, parity_bits: int = 4096, parity_slack: float = 0.04, delegates: int = 3, seed: int = 11) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Sets are the distinct ``k``-word shingles of the lower-cased whole text. Texts whose sets meet in at least
     ``percent`` of their union are linked (and those of the same words); component_id is the smallest id reachable. Two
     texts at the threshold meet in a band with a probability of 1 - (1 - s^rows)^bands, over 0.99999 by default. A pair
-    goes on to the exact check unless its sketches put it more than ``slack``, five standard errors, below the threshold.
+    goes on unless its sketches put it more than ``slack``, five standard errors, below the threshold, and then to the
+    exact check unless its whole sets' parities, where these are not full, put it more than ``parity_slack`` below.
     Null and empty texts have no shingles and link with nothing. Rows of one id count as one document; a null id is a
     row by itself, with a null component, and kept. An empty table gives an empty result; other columns are ignored.
     """
@@ -156,7 +178,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
     centres = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    facts = classes.select("rep", "n", "sketch").dropDuplicates(["rep"])
+    facts = classes.select("rep", "n", "sketch", "bands").dropDuplicates(["rep"])
     members = saved(banded.join(centres, "key").select("key", "rep", "centre", "members"), "members")
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -165,34 +187,63 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         sized = pairs.join(of("a"), "a").join(of("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         return sized.filter(sketch_similarity(F.col("sketch_a"), F.col("sketch_b"), bits, samples) >= least).select("a", "b")
 
+    starred = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    first_pairs = saved(plausible(starred), "pairs")
+    # whoever may be held against another, now or later: both sides of the first pairs, and members of larger buckets
+    ids = [first_pairs.select(F.col("a").alias("doc_id")), first_pairs.select(F.col("b").alias("doc_id")), members.filter("members > 2").select(F.col("rep").alias("doc_id"))]
+    wanted = ids[0].unionByName(ids[1]).unionByName(ids[2]).distinct()
+    # texts are shuffled once, whatever the number of ids: their set grows with the corpus and is no broadcast
+    held = saved(texts.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "pair-texts")
+    parity = saved(held.mapInArrow(_parities(k, parity_bits), "doc_id long, n long, parity array<long>"), "parities")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        # a representative's own text: the row of its class, should an id be repeated
-        held = saved(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "pair-texts")
+        of = lambda side: parity.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}"))
+        told = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("apart", bits_apart(F.col("parity_a"), F.col("parity_b")))
+        differ = F.log1p(-F.least(2.0 * F.col("apart") / parity_bits, F.lit(0.9))) * (-parity_bits / 2.0)
+        similar = (F.col("n_a") + F.col("n_b") - differ) / (F.col("n_a") + F.col("n_b") + differ)
+        close = told.filter((F.col("apart") > 0.42 * parity_bits) | (similar >= percent / 100 - parity_slack)).select("a", "b")
         of = lambda side: held.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-        both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+        both = close.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
         return saved(both.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
-    starred = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(plausible(starred))
+    links = confirmed(first_pairs)
     joined = components(links)
 
-    # what the stars left apart: pairs of one bucket in two components, none of them the centre
-    placed = members.filter("members > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("several")).filter("several > 1").select("key", F.col("most.component").alias("major"))
-    apart = saved(placed.join(mixed, "key").filter("rep <> centre").join(facts, "rep"), "apart")
-    minor = apart.filter("component <> major").select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "sketch")))
-    other = apart.select("key", "major", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "sketch")))
-    once = (F.col("component_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b"))
-    near = sketch_similarity(F.col("sketch_a"), F.col("sketch_b"), bits, samples) >= least
-    sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    on = (minor["key"] == other["key"]) & (F.col("component_a") != F.col("component_b")) & once & sizes & near
-    rest = minor.join(other, on).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    rest = saved(rest.join(starred, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        joined = components(links.unionByName(confirmed(rest)))
+    def left_apart(joined: DataFrame) -> DataFrame:
+        """Members of buckets with several components; ``major`` is the largest component of the bucket."""
+        placed = members.filter("members > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        mixed = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("several")).filter("several > 1").select("key", F.col("most.component").alias("major"), F.col("most.c").alias("majors"))
+        return saved(placed.join(mixed, "key").filter("rep <> centre").join(facts, "rep"), "apart")
+
+    def across(apart: DataFrame, some: Column, more: Column) -> DataFrame:
+        """Plausible pairs of one bucket and two components, the first outside the largest; each pair in one bucket only."""
+        sides = ("rep", "component", "n", "sketch", "bands")
+        minor = apart.filter("component <> major").select(F.col("key").alias("key_a"), *(F.col(c).alias(f"{c}_a") for c in sides))
+        other = apart.filter(some).select("key", "major", *(F.col(c).alias(f"{c}_b") for c in sides))
+        near = sketch_similarity(F.col("sketch_a"), F.col("sketch_b"), bits, samples) >= least
+        sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        on = (F.col("key_a") == F.col("key")) & (F.col("component_a") != F.col("component_b")) & sizes & near & more
+        return minor.join(other, on).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+    apart = left_apart(joined)
+    if apart.limit(1).count():
+        # about so many members of the largest component stand for it in each bucket, others in another bucket
+        chosen = (F.col("component") == F.col("major")) & (F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("majors") / delegates)) == 0)
+        met = saved(across(apart, chosen, F.lit(True)).join(starred, ["a", "b"], "left_anti"), "delegates")
+        more_links = confirmed(met)
+        if more_links.limit(1).count():
+            links = links.unionByName(more_links)
+            joined = components(links)
+            apart = left_apart(joined)
+        first = F.col("key_a") == F.array_min(F.array_intersect("bands_a", "bands_b"))
+        once = (F.col("component_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b"))
+        if apart.limit(1).count():
+            rest = across(apart, F.lit(True), once & first)
+            rest = rest.join(starred, ["a", "b"], "left_anti").join(met, ["a", "b"], "left_anti")
+            last_links = confirmed(saved(rest, "rest"))
+            if last_links.limit(1).count():
+                joined = components(links.unionByName(last_links))
 
     found = classes.select("sequence", "copies", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sequence", "copies", F.coalesce("component", "rep").alias("component_id"))
     plain = signed.select("doc_id", "n_shingles", "sequence")

@@ -142,7 +142,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 8000, l2: float = 0.01, steps: int = 150, seed: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 4000, l2: float = 0.01, steps: int = 150, seed: int = 3) -> Model:
     """A model from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
     Log-count ratios cover all labelled rows. The linear fit takes at most ``fit_rows`` rows, half of each label where

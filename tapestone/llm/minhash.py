@@ -159,7 +159,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now
 
 
-def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, bits: int = 512, slack: float = 0.16, parity_bits: int = 4096, parity_slack: float = 0.04, delegates: int = 3, seed: int = 11) -> DataFrame:
+def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, bits: int = 512, slack: float = 0.16, parity_bits: int = 2048, parity_slack: float = 0.04, delegates: int = 3, seed: int = 11) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Sets are the distinct ``k``-word shingles of the lower-cased whole text. Texts whose sets meet in at least
@@ -196,12 +196,16 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     held = saved(texts.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "pair-texts")
     parity = saved(held.mapInArrow(_parities(k, parity_bits), "doc_id long, n long, parity array<long>"), "parities")
 
+    def alike() -> Column:
+        """Whether the parities of sides a and b, unless they are full, allow the similarity."""
+        apart = bits_apart(F.col("parity_a"), F.col("parity_b"))
+        differ = F.log1p(-F.least(2.0 * apart / parity_bits, F.lit(0.9))) * (-parity_bits / 2.0)
+        both = F.col("n_a") + F.col("n_b")
+        return (apart > 0.42 * parity_bits) | ((both - differ) / (both + differ) >= percent / 100 - parity_slack)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         of = lambda side: parity.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}"))
-        told = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("apart", bits_apart(F.col("parity_a"), F.col("parity_b")))
-        differ = F.log1p(-F.least(2.0 * F.col("apart") / parity_bits, F.lit(0.9))) * (-parity_bits / 2.0)
-        similar = (F.col("n_a") + F.col("n_b") - differ) / (F.col("n_a") + F.col("n_b") + differ)
-        close = told.filter((F.col("apart") > 0.42 * parity_bits) | (similar >= percent / 100 - parity_slack)).select("a", "b")
+        close = pairs.join(of("b"), "b").join(of("a"), "a").filter(alike()).select("a", "b")
         of = lambda side: held.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
         both = close.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
         return saved(both.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
@@ -214,16 +218,16 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         placed = members.filter("members > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         mixed = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("several")).filter("several > 1").select("key", F.col("most.component").alias("major"), F.col("most.c").alias("majors"))
-        return saved(placed.join(mixed, "key").filter("rep <> centre").join(facts, "rep"), "apart")
+        return saved(placed.join(mixed, "key").filter("rep <> centre").join(facts, "rep").join(parity.select(F.col("doc_id").alias("rep"), "parity"), "rep"), "apart")
 
     def across(apart: DataFrame, some: Column, more: Column) -> DataFrame:
         """Plausible pairs of one bucket and two components, the first outside the largest; each pair in one bucket only."""
-        sides = ("rep", "component", "n", "sketch", "bands")
+        sides = ("rep", "component", "n", "sketch", "bands", "parity")
         minor = apart.filter("component <> major").select(F.col("key").alias("key_a"), *(F.col(c).alias(f"{c}_a") for c in sides))
         other = apart.filter(some).select("key", "major", *(F.col(c).alias(f"{c}_b") for c in sides))
         near = sketch_similarity(F.col("sketch_a"), F.col("sketch_b"), bits, samples) >= least
         sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        on = (F.col("key_a") == F.col("key")) & (F.col("component_a") != F.col("component_b")) & sizes & near & more
+        on = (F.col("key_a") == F.col("key")) & (F.col("component_a") != F.col("component_b")) & more & sizes & near & alike()
         return minor.join(other, on).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
     apart = left_apart(joined)

@@ -159,6 +159,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now
 
 
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` (node, component) after more links: only components that these touch are labelled anew."""
+    at = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    placed = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("p"), F.coalesce("c_b", "b").alias("q"))
+    again = components(placed.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+    nodes = joined.unionByName(placed.select(F.col("a").alias("node"), F.col("p").alias("component"))).unionByName(placed.select(F.col("b").alias("node"), F.col("q").alias("component"))).distinct()
+    named = again.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return saved(nodes.join(named, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "components")
+
+
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, bits: int = 512, slack: float = 0.16, parity_bits: int = 2048, parity_slack: float = 0.04, delegates: int = 3, seed: int = 11) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -237,8 +247,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         met = saved(across(apart, chosen, F.lit(True)).join(starred, ["a", "b"], "left_anti"), "delegates")
         more_links = confirmed(met)
         if more_links.limit(1).count():
-            links = links.unionByName(more_links)
-            joined = components(links)
+            joined = merged(joined, more_links)
             apart = left_apart(joined)
         first = F.col("key_a") == F.array_min(F.array_intersect("bands_a", "bands_b"))
         once = (F.col("component_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b"))
@@ -247,7 +256,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             rest = rest.join(starred, ["a", "b"], "left_anti").join(met, ["a", "b"], "left_anti")
             last_links = confirmed(saved(rest, "rest"))
             if last_links.limit(1).count():
-                joined = components(links.unionByName(last_links))
+                joined = merged(joined, last_links)
 
     found = classes.select("sequence", "copies", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sequence", "copies", F.coalesce("component", "rep").alias("component_id"))
     plain = signed.select("doc_id", "n_shingles", "sequence")

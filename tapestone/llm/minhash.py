@@ -187,7 +187,8 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = saved(known.groupBy("sequence").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    centres = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # written, so that the joins with it have plain shuffles on both sides, in which large partitions can be split
+    centres = saved(banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "centres")
     facts = classes.select("rep", "n", "sketch", "bands").dropDuplicates(["rep"])
     members = saved(banded.join(centres, "key").select("key", "rep", "centre", "members"), "members")
 
@@ -228,6 +229,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         placed = members.filter("members > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         mixed = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("several")).filter("several > 1").select("key", F.col("most.component").alias("major"), F.col("most.c").alias("majors"))
+        mixed = saved(mixed, "mixed")
         return saved(placed.join(mixed, "key").filter("rep <> centre").join(facts, "rep").join(parity.select(F.col("doc_id").alias("rep"), "parity"), "rep"), "apart")
 
     def across(apart: DataFrame, some: Column, more: Column) -> DataFrame:

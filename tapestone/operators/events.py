@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import blocked, greedy_cooldown, own_rows, range_join
+from ..plans.layout import asof_backward, blocked, greedy_cooldown, own_rows, range_join
 
 
 def swings(bars: DataFrame, left: int = 2, right: int = 2, strict: bool = True) -> DataFrame:
@@ -120,3 +120,36 @@ def suppress_overlaps(events: DataFrame, start: str = "start_bar", end: str = "e
     kept = held.select("symbol", "direction", F.explode(F.expr("aggregate(slice(xs, 2, size(xs)), slice(xs, 1, 1), (acc, x) -> if(exists(acc, y -> x.a <= y.b and y.a <= x.b), acc, concat(acc, array(x))))")).alias("k"))
     kept = kept.select("symbol", "direction", F.col("k.a").alias(start), F.col("k.b").alias(end), (-F.col("k.s")).alias(score)).distinct()
     return events.join(kept, ["symbol", "direction", start, end, score], "left_semi")
+
+
+def latest_pivot(bars: DataFrame, swing: DataFrame, kind: str, max_age: int) -> DataFrame:
+    """(symbol, bar, pivot_bar, pivot_price): the last swing of ``kind`` known before each bar, null if over ``max_age`` bars old."""
+    pivots = swing.filter(F.col("kind") == kind).select("symbol", (F.col("known_bar") + 1).alias("bar"), F.col("bar").alias("pivot_bar"), F.col("price").alias("pivot_price"))
+    found = asof_backward(bars.select("symbol", "bar", "close"), pivots, "bar", ["pivot_bar", "pivot_price"])
+    fresh = F.col("bar") - F.col("pivot_bar") <= max_age
+    return found.select("symbol", "bar", *[F.when(fresh, F.col(c)).alias(c) for c in ("pivot_bar", "pivot_price")])
+
+
+def level_registry(sources: dict[str, DataFrame]) -> DataFrame:
+    """Levels (symbol, kind, price, known_bar) of all sources; of equal symbol, kind and price the first known stays, then the first source name."""
+    parts = [df.select("symbol", "kind", "price", "known_bar", F.lit(name).alias("source")) for name, df in sources.items()]
+    levels = parts[0]
+    for part in parts[1:]:
+        levels = levels.unionByName(part)
+    first = F.min(F.struct("known_bar", "source")).alias("first")
+    return levels.groupBy("symbol", "kind", "price").agg(first).select("symbol", "kind", "price", "first.known_bar", "first.source")
+
+
+def with_trend(sweeps: DataFrame, trend: DataFrame) -> DataFrame:
+    """Long sweeps in a rising trend and short ones in a falling one; ``trend`` is (symbol, bar, trend)."""
+    wanted = F.when(F.col("direction") == "long", 1).otherwise(-1)
+    return sweeps.join(trend.select("symbol", "bar", "trend"), ["symbol", "bar"]).filter(F.col("trend") == wanted)
+
+
+def timeline_check(events: DataFrame, stamps: list[str]) -> DataFrame:
+    """``violation``: a stamp is missing, or earlier than the stamp named before it."""
+    missing = F.greatest(*[F.col(c).isNull() for c in stamps]) if len(stamps) > 1 else F.col(stamps[0]).isNull()
+    late = F.lit(False)
+    for a, b in zip(stamps, stamps[1:], strict=False):
+        late = late | F.coalesce(F.col(a) > F.col(b), F.lit(False))
+    return events.withColumn("violation", missing | late)

@@ -82,3 +82,23 @@ def walk_forward(rows: DataFrame, folds: int, order: Sequence[str], keys: Sequen
     part = F.least(F.floor((F.row_number().over(w.orderBy(*order)) - 1) / F.greatest(F.floor(F.count(F.lit(1)).over(w) / (folds + 1)), F.lit(1))), F.lit(folds))
     df = rows.withColumn("_s", part).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     return df.filter(F.col("_s") <= F.col("fold") + 1).withColumn("role", F.when(F.col("_s") == F.col("fold") + 1, "test").otherwise("train")).drop("_s")
+
+
+def open_before(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``n_open``: earlier trades of the key still open at a trade's entry, and ``since``: bars since the last entry.
+
+    Every trade exits after its entry; one that exits at a bar is closed for those which enter there. Entries and exits
+    are one running sum, so no pair of trades is formed.
+    """
+    entries = trades.select(*keys, F.col("entry_bar").alias("_at"), F.lit(1).alias("_delta"), "direction", F.struct("entry_bar", "direction").alias("_own"))
+    exits = trades.select(*keys, F.col("exit_bar").alias("_at"), F.lit(-1).alias("_delta"), "direction", F.lit(None).cast(entries.schema["_own"].dataType).alias("_own"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_delta", "direction").rowsBetween(Window.unboundedPreceding, -1)
+    summed = entries.unionByName(exits).withColumn("n_open", F.coalesce(F.sum("_delta").over(w), F.lit(0))).filter("_own is not null")
+    before = F.lag("entry_bar").over(Window.partitionBy(*keys).orderBy("entry_bar", "direction"))
+    return summed.select(*keys, "_own.entry_bar", "_own.direction", "n_open").withColumn("since", F.col("entry_bar") - before)
+
+
+def risk_gate(trades: DataFrame, max_open: int, min_bars: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Why a new signal is refused: ``max_open`` trades are open, or the last entry is under ``min_bars`` bars ago; null if it passes."""
+    reason = F.when(F.col("n_open") >= max_open, "max_open").when(F.col("since") < min_bars, "too_soon")
+    return open_before(trades, keys).withColumn("refused", reason)

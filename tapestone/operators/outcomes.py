@@ -56,3 +56,20 @@ def barrier_outcomes(trades: DataFrame, bars: DataFrame, horizon: int, preset: s
 def cost_in_r(half_spread: float, slippage: float, commission: float = 0.0):
     """Two-sided cost in risks."""
     return F.lit(2 * (half_spread + slippage)) / F.col("risk") + F.lit(commission)
+
+
+def net_results(outcomes: DataFrame, half_spread: float, slippage: float, commission: float = 0.0) -> DataFrame:
+    """``cost_r`` and ``net_r`` beside the gross result."""
+    return outcomes.withColumn("cost_r", cost_in_r(half_spread, slippage, commission)).withColumn("net_r", F.col("result_r") - F.col("cost_r"))
+
+
+def excursions(trades: DataFrame, bars: DataFrame, horizon: int, id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar")) -> DataFrame:
+    """Greatest gain and loss, and the last, best and worst close, in risks over the ``horizon`` bars after entry."""
+    span = trades.select(*id_cols, "entry", "risk", (F.col("entry_bar") + 1).alias("_from"), (F.col("entry_bar") + horizon).alias("_to"))
+    near = range_join(span, bars.select("symbol", "bar", "high", "low", "close"), "_from", "_to", horizon)
+    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
+    r = lambda c: sign * (F.col(c) - F.col("entry")) / F.col("risk")
+    return near.groupBy(*id_cols).agg(
+        F.max(F.greatest(r("high"), r("low"))).alias("mfe_r"), (-F.min(F.least(r("high"), r("low")))).alias("mae_r"), F.max_by(r("close"), "bar").alias("close_r"),
+        F.max(r("close")).alias("best_close_r"), F.min(r("close")).alias("worst_close_r"), F.count(F.lit(1)).alias("n_bars"),
+    )

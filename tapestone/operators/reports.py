@@ -87,3 +87,44 @@ def bootstrap_pf(trades: DataFrame, keys: Sequence[str], row_id: str, reps: int
     drawn = trades.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_x", F.col(result) * count)
     gain, loss = F.sum(F.when(F.col("_x") > 0, F.col("_x")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("_x") < 0, F.col("_x")).otherwise(0.0)))
     return drawn.groupBy(*keys, "rep").agg((gain / F.nullif(loss, F.lit(0.0))).alias("pf")).groupBy(*keys).agg(F.percentile("pf", 0.05).alias("pf_low"))
+
+
+def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str], risk: float = 0.01, result: str = "result_r") -> DataFrame:
+    """``equity``: 1 and the running sum of results, each a share ``risk`` of the start."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return trades.withColumn("equity", 1.0 + risk * F.sum(result).over(w))
+
+
+def distribution(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Count, and exact median and 90 % quantile of each column."""
+    parts = [F.percentile(c, q).alias(f"{c}_{name}") for c in columns for q, name in ((0.5, "median"), (0.9, "p90"))]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *parts)
+
+
+def best_threshold(trades: DataFrame, column: str, arms: Sequence[float], floor: int, keys: Sequence[str], result: str = "result_r") -> DataFrame:
+    """The arm with the best profit factor of the rows at or under it, among arms of at least ``floor`` rows; ties: more rows, then the lower arm."""
+    held = F.filter(F.array(*[F.lit(float(a)) for a in arms]), lambda a: F.col(column) <= a)
+    by_arm = trades.withColumn("arm", F.explode(held)).groupBy(*keys, "arm").agg(F.count(result).alias("n"), F.round(profit_factor(F.col(result)), 9).alias("pf")).filter(F.col("n") >= floor)
+    best = F.max(F.struct("pf", "n", (-F.col("arm")).alias("lower"))).alias("best")
+    return by_arm.groupBy(*keys).agg(best).select(*keys, (-F.col("best.lower")).alias("arm"), "best.n", "best.pf")
+
+
+def halves(trades: DataFrame, order: Sequence[str | Column], keys: Sequence[str], result: str = "result_r") -> DataFrame:
+    """Result metrics of the lower (1) and the upper (2) half by ``order``; the lower has the odd row."""
+    return result_metrics(trades.withColumn("half", F.ntile(2).over(Window.partitionBy(*keys).orderBy(*order))), [*keys, "half"], result)
+
+
+def longest_good_run(trades: DataFrame, fold: Column, keys: Sequence[str], least: float = 0.8, result: str = "result_r") -> DataFrame:
+    """Folds, and the longest run of folds one after another whose profit factor reaches ``least``; folds without trades are left out."""
+    folds = trades.groupBy(*keys, fold.alias("fold")).agg((profit_factor(F.col(result)) >= least).alias("good"))
+    w = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    runs = folds.withColumn("run", F.sum((~F.col("good")).cast("int")).over(w)).groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"))
+    return runs.groupBy(*keys).agg(F.sum("n").alias("folds"), F.max("good").alias("longest"))
+
+
+def drift_report(rows: DataFrame, columns: Sequence[str], is_base: Column) -> DataFrame:
+    """Stability index of each column, its severity (under 0.1 none, under 0.25 moderate, else severe), and whether to retrain."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]))
+    long = rows.select(is_base.alias("_old"), cells.alias("_c")).select("_old", "_c.feature", "_c.value")
+    out = psi(long, "value", F.col("_old"), ["feature"])
+    return out.withColumn("severity", F.when(F.col("psi") < 0.1, "none").when(F.col("psi") < 0.25, "moderate").otherwise("severe")).withColumn("retrain", F.col("psi") >= 0.25)

@@ -79,6 +79,18 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, columns: Sequence[
     return sides.withColumn("_v", found).filter("_row is not null").select(*keys, on, "_row.*", *[F.col(f"_v.{c}").alias(c) for c in columns])
 
 
+def asof_nearest(left: DataFrame, right: DataFrame, on: str, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """``left`` with ``columns`` of the ``right`` row nearest to it in ``on``, the earlier one of two as near."""
+    placed = right.withColumn("_at", F.col(on))
+    before = asof_backward(left, placed, on, [*columns, "_at"], keys).select(*left.columns, F.struct(*columns, "_at").alias("_before"))
+    both = asof_backward(before, placed, on, [*columns, "_at"], keys, forward=True)
+    timed = dict(left.dtypes)[on].startswith("timestamp")
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if timed else F.col(c)
+    far = lambda at: F.abs(number(at) - number(on))
+    earlier = F.coalesce(far("_before._at") <= far("_at"), F.col("_before._at").isNotNull())
+    return both.select(*left.columns, *[F.when(earlier, F.col(f"_before.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
 def islands(df: DataFrame, gap: int, keys: Sequence[str], order: str = "bar") -> DataFrame:
     """``island``: a new one wherever a row is more than ``gap`` after the row before it in its series."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -562,3 +562,6 @@ def _(s, d):
     stream.processAllAvailable()
     stream.stop()
     return s.read.parquet(path).selectExpr("symbol", EPOCH, *src.OHLCV)
+
+
+from . import more_queries  # noqa: E402, F401  registers its own queries

@@ -50,7 +50,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 3, min_words: int = 4,
     spread = spread_lines(lines, min_sites)
     found = lines.filter("id is not null").select("id", "hash").distinct().join(spread, "hash").filter(F.col("id") > F.col("first_id"))
     gone = saved(found.groupBy("id").agg(F.collect_set("hash").alias("_tp_gone")), "line-gone")
-    # rows with nothing to remove don't enter the join's shuffle of texts twice: one left join does for all
+    # texts are shuffled once, at every size: the removals grow with the corpus and are no broadcast
+    gone = gone.hint("merge")
     joined = docs.join(gone, docs[id_col] == gone["id"], "left").drop("id") if id_col != "id" else docs.join(gone, "id", "left")
     parts = F.split(text_col, "\n")
     stays = F.filter(parts, lambda x: ~(_long_enough(x, min_words) & F.array_contains("_tp_gone", _hash(x))))

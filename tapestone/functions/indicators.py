@@ -80,3 +80,24 @@ def add_sessions(bars: DataFrame, sessions: dict[str, tuple[int, int]]) -> DataF
         h = F.col("hour")
         out = out.withColumn(f"in_{name}", (h >= a) & (h < b) if a <= b else (h >= a) | (h < b))
     return out.withColumn("n_sessions", sum(F.col(f"in_{n}").cast("int") for n in sessions))
+
+
+def add_confirm_context(bars: DataFrame, back: int = 24, atr_back: int = 200) -> DataFrame:
+    """Volume z-score against up to ``back`` earlier bars, ATR over its trailing mean, and momentum, span, place and volume over ``back`` bars.
+
+    The z-score uses the population deviation and is 0 under five earlier bars or without spread; the ATR ratio is 1
+    under fifteen known values; momentum is 0 before bar ``back``. ``bars`` has ``atr``.
+    """
+    df, w = blocked(bars, max(back, atr_back))
+    before, upto, long = w.rowsBetween(-back, -1), w.rowsBetween(-back, 0), w.rowsBetween(-atr_back, 0)
+    sd = F.stddev_pop("volume").over(before)
+    z = F.when((F.count("volume").over(before) >= 5) & (sd > 0), (F.col("volume") - F.avg("volume").over(before)) / sd).otherwise(0.0)
+    ratio = F.when((F.col("bar") >= 15) & (F.col("atr") > 0) & (F.count("atr").over(long) >= 15), F.col("atr") / F.avg("atr").over(long)).otherwise(1.0)
+    low, high = F.min("low").over(upto), F.max("high").over(upto)
+    per_atr = lambda x: F.when(F.col("atr") > 0, x / F.col("atr")).otherwise(0.0)
+    mean = F.avg("volume").over(upto)
+    df = df.withColumns({
+        "volume_z": z, "atr_ratio": ratio, "momentum": F.coalesce(per_atr(F.col("close") - F.lag("close", back).over(w)), F.lit(0.0)), "span": per_atr(high - low),
+        "place": F.when(high > low, (F.col("close") - low) / (high - low)).otherwise(0.5), "volume_ratio": F.when(mean > 0, F.col("volume") / mean).otherwise(1.0),
+    })
+    return own_rows(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import asof_backward, blocked, greedy_cooldown, own_rows, range_join
+from ..plans.layout import asof_backward, bar_index, blocked, greedy_cooldown, islands, own_rows, range_join
 
 
 def swings(bars: DataFrame, left: int = 2, right: int = 2, strict: bool = True) -> DataFrame:
@@ -153,3 +153,58 @@ def timeline_check(events: DataFrame, stamps: list[str]) -> DataFrame:
     for a, b in zip(stamps, stamps[1:], strict=False):
         late = late | F.coalesce(F.col(a) > F.col(b), F.lit(False))
     return events.withColumn("violation", missing | late)
+
+
+def coarse_swings(coarse: DataFrame, bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """Swings of closed coarse bars (with ``bucket_end``), known at the first fine bar that opens once the last coarse bar needed has closed."""
+    numbered = bar_index(coarse)
+    found = swings(numbered, left, right)
+    ends = numbered.select("symbol", F.col("bar").alias("known_bar"), F.col("bucket_end").alias("at"))
+    placed = found.join(ends, ["symbol", "known_bar"]).select("symbol", F.col("at").alias("ts"), F.col("bar").alias("coarse_bar"), "kind", "price")
+    out = asof_backward(placed, bars.select("symbol", "ts", F.col("bar").alias("known_bar")), "ts", ["known_bar"], forward=True)
+    return out.drop("ts").filter("known_bar is not null")
+
+
+def states_at(lifecycle: DataFrame, probes: DataFrame, horizon: int) -> DataFrame:
+    """The state of each level at each probed bar of the ``horizon`` bars after it is known, from its first sweep and first break."""
+    span = lifecycle.withColumn("_from", F.col("known_bar") + 1).withColumn("_to", F.col("known_bar") + horizon)
+    near = range_join(span, probes.select("symbol", "bar"), "_from", "_to", horizon)
+    status = F.when(F.col("swept_bar") <= F.col("bar"), "swept").when(F.col("broken_bar") <= F.col("bar"), "invalidated").otherwise("active")
+    return near.select("symbol", "origin_bar", "kind", "bar", status.alias("status"), (F.col("bar") - F.col("known_bar")).alias("age"))
+
+
+def level_sweeps(lifecycle: DataFrame, bars: DataFrame, min_depth: float = 0.0, max_depth: float = 3.0, min_wick: float = 0.3) -> DataFrame:
+    """The first sweep of each level with its depth, wick and reclaim, and whether the sweep rules would take it."""
+    own = bars.select("symbol", F.col("bar").alias("swept_bar"), "open", "high", "low", "close", "atr")
+    rows = lifecycle.filter("swept_bar is not null").join(own, ["symbol", "swept_bar"])
+    low, atr, size = F.col("kind") == "L", F.expr("nullif(atr, 0)"), F.expr("nullif(high - low, 0)")
+    depth = F.when(low, F.col("price") - F.col("low")).otherwise(F.col("high") - F.col("price")) / atr
+    wick = F.when(low, F.least("open", "close") - F.col("low")).otherwise(F.col("high") - F.greatest("open", "close")) / size
+    reclaim = F.when(low, F.col("close") - F.col("price")).otherwise(F.col("price") - F.col("close")) / atr
+    rows = rows.select("symbol", "origin_bar", "kind", "swept_bar", depth.alias("depth"), wick.alias("wick"), reclaim.alias("reclaim"))
+    passes = F.col("depth").between(min_depth, max_depth) & (F.col("wick") >= min_wick) & (F.col("reclaim") > 0)
+    return rows.withColumn("passes", F.coalesce(passes, F.lit(False)))
+
+
+def run_anchors(rows: DataFrame) -> DataFrame:
+    """``anchor_bar``, the first bar of a row's run of consecutive sweeps, and ``extreme``, the furthest price since."""
+    df = islands(rows, 1, ("symbol", "direction"))
+    w = Window.partitionBy("symbol", "direction", "island").orderBy("bar")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    extreme = F.when(F.col("direction") == "long", F.min("low").over(upto)).otherwise(F.max("high").over(upto))
+    return df.withColumn("anchor_bar", F.first("bar").over(upto)).withColumn("extreme", extreme).drop("island")
+
+
+def entry_schedule(events: DataFrame, bars: DataFrame, at: str = "bar", cost: float = 0.0) -> DataFrame:
+    """``entry_bar`` and ``entry``: the open of the bar after ``at``, worse by ``cost``; events without such a bar go."""
+    opens = bars.select("symbol", (F.col("bar") - 1).alias(at), F.col("bar").alias("entry_bar"), F.col("open").alias("_open"))
+    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
+    return events.join(opens, ["symbol", at]).withColumn("entry", F.col("_open") + sign * cost).drop("_open")
+
+
+def confirm_cooldown(events: DataFrame, k: int, at: str = "confirm_bar", score: str = "depth") -> DataFrame:
+    """Of events that confirm at one bar the best (then the earliest start), and of those each at least ``k`` bars after the last kept."""
+    keys = ["symbol", "direction"]
+    best = F.row_number().over(Window.partitionBy(*keys, at).orderBy(F.col(score).desc(), "start_bar", "end_bar"))
+    single = events.withColumn("_n", best).filter("_n = 1").drop("_n")
+    return greedy_cooldown(single, k, keys, at, inclusive=True)

@@ -102,3 +102,72 @@ def risk_gate(trades: DataFrame, max_open: int, min_bars: int, keys: Sequence[st
     """Why a new signal is refused: ``max_open`` trades are open, or the last entry is under ``min_bars`` bars ago; null if it passes."""
     reason = F.when(F.col("n_open") >= max_open, "max_open").when(F.col("since") < min_bars, "too_soon")
     return open_before(trades, keys).withColumn("refused", reason)
+
+
+def bar_split(rows: DataFrame, oos_share: float, horizon: int, purge: int, embargo: int, order: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``role``: oos for the last share of rows, train for those whose horizon, purge and embargo end by the first oos bar, else dropped."""
+    w = Window.partitionBy(*keys)
+    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
+    df = rows.withColumn("_oos", at > n - F.greatest(F.lit(1), F.bround(n * oos_share, 0)))
+    df = df.withColumn("_edge", F.min(F.when(F.col("_oos"), F.col("entry_bar"))).over(w))
+    role = F.when(F.col("_oos"), "oos").when(F.col("entry_bar") + horizon + purge + embargo <= F.col("_edge"), "train").otherwise("dropped")
+    return df.withColumn("role", role).drop("_oos", "_edge")
+
+
+def step_folds(rows: DataFrame, initial: int, step: int, size: int, horizon: int, embargo: int, order: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(fold, role) rows: fold f trains on the first initial + f * step rows, less those whose horizon or embargo reaches its ``size`` test rows.
+
+    Only folds whose test rows are all there; a row is repeated once for each fold that uses it.
+    """
+    w = Window.partitionBy(*keys)
+    df = rows.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    folds = F.floor((F.col("_n") - initial - embargo - size) / step)
+    df = df.filter(folds >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), folds)))
+    end = F.lit(initial) + F.col("fold") * step
+    start = end + embargo
+    train = (F.col("_at") < end) & (F.col("_at") + horizon < start) & (F.col("_at") < start - embargo)
+    role = F.when(train, "train").when((F.col("_at") >= start) & (F.col("_at") < start + size), "test")
+    return df.withColumn("role", role).filter("role is not null").drop("_at", "_n")
+
+
+def drift_gate(events: DataFrame, latest: DataFrame, most_atr: float) -> DataFrame:
+    """``fresh``: the latest close (symbol, last_close) is within ``most_atr`` ATR of the entry; without a close or an ATR it passes, without an entry it doesn't."""
+    far = F.abs(F.col("_latest") - F.col("entry")) > most_atr * F.col("atr")
+    fresh = F.when(F.col("entry").isNull() | F.isnan("entry"), False).when(F.col("atr") > 0, ~F.coalesce(far, F.lit(False))).otherwise(True)
+    return events.join(latest.select("symbol", F.col("last_close").alias("_latest")), "symbol", "left").withColumn("fresh", fresh).drop("_latest")
+
+
+def measurement_gates(events: DataFrame, max_length: int | None = None, least_score: float | None = None, least_prob: float | None = None) -> DataFrame:
+    """``len_ok``, ``rule_ok``, ``prob_ok``: a gate without a limit, or a span or probability that is missing, passes; a missing score counts as 0."""
+    yes = F.lit(True)
+    length = yes if max_length is None else F.coalesce(F.col("end_bar") - F.col("start_bar") <= max_length, yes)
+    rule = yes if least_score is None else F.coalesce(F.col("rule_score"), F.lit(0.0)) >= least_score
+    prob = yes if least_prob is None else F.coalesce(F.col("model_prob") >= least_prob, yes)
+    return events.withColumns({"len_ok": length, "rule_ok": rule, "prob_ok": prob})
+
+
+def regime_required(events: DataFrame, needs_regime: Column, has_regime: Column) -> DataFrame:
+    """``discard_reason`` where a model needs regime columns that an event lacks."""
+    return events.withColumn("discard_reason", F.when(needs_regime & ~has_regime, "hmm_unavailable"))
+
+
+def confluence(grouped: DataFrame, priority: Column, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), tau_bars: float = 8.0, tau_price: float = 1.0, most: int | None = None, row_id: str = "event_id") -> DataFrame:
+    """One row for each group: its best event, its size and a score in 0..1 of size and of the nearest other event's gaps in bars and price."""
+    best = grouped.groupBy("group_id").agg(F.max_by(F.struct(F.col(row_id).alias("best_id"), F.col("bar").alias("_b"), F.col("close").alias("_p"), F.col("atr").alias("_a")), F.struct(priority, -F.col(row_id))).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = best.select("group_id", "n", "best.*")
+    other = F.col(row_id) != F.col("best_id")
+    scale = F.when(F.col("_a") > 0, F.col("_a")).otherwise(1.0)
+    gaps = grouped.join(best, "group_id").groupBy("group_id", "best_id", "n").agg(F.coalesce(F.min(F.when(other, F.abs(F.col("bar") - F.col("_b")))), F.lit(0)).alias("dt"), F.coalesce(F.min(F.when(other, F.abs(F.col("close") - F.col("_p")) / scale)), F.lit(0.0)).alias("dp"))
+    size = F.when(F.col("n") > 1, (F.col("n") - 1) / F.greatest(F.lit(most) - 1 if most and most > 1 else F.col("n") - 1, F.lit(1))).otherwise(0.0)
+    a, b, c = weights
+    score = (a * size + b * F.exp(-F.col("dt") / tau_bars) + c * F.exp(-F.col("dp") / tau_price)) / (a + b + c)
+    return gaps.select("group_id", "best_id", "n", F.round(score, 4).alias("score"))
+
+
+def balanced_sample(rows: DataFrame, strata: Sequence[str], side: str, row_id: str, quota: int, seed: int = 42) -> DataFrame:
+    """At most ``quota`` rows of each stratum, in turn from each side, by a seeded hash of the id."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
+    inside = F.row_number().over(Window.partitionBy(*strata, side).orderBy(draw, row_id))
+    few = rows.withColumn("_r", inside).filter(F.col("_r") <= quota)
+    turn = F.row_number().over(Window.partitionBy(*strata).orderBy("_r", side))
+    return few.withColumn("rank", turn).filter(F.col("rank") <= quota).drop("_r")

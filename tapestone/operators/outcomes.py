@@ -73,3 +73,21 @@ def excursions(trades: DataFrame, bars: DataFrame, horizon: int, id_cols: tuple[
         F.max(F.greatest(r("high"), r("low"))).alias("mfe_r"), (-F.min(F.least(r("high"), r("low")))).alias("mae_r"), F.max_by(r("close"), "bar").alias("close_r"),
         F.max(r("close")).alias("best_close_r"), F.min(r("close")).alias("worst_close_r"), F.count(F.lit(1)).alias("n_bars"),
     )
+
+
+def outcome_grid(trades: DataFrame, bars: DataFrame, rewards: list[float], horizons: list[int], preset: str = "fixed") -> DataFrame:
+    """One row for each trade, reward and horizon; the rewards share a join, and there is one join for each horizon."""
+    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
+    spread = trades.withColumn("reward", F.explode(F.array(*[F.lit(float(r)) for r in rewards]))).withColumn("target", F.col("entry") + sign * F.col("reward") * F.col("risk"))
+    ids = ("symbol", "direction", "entry_bar", "reward")
+    out = None
+    for h in horizons:
+        part = barrier_outcomes(spread, bars, h, preset, ids).withColumn("horizon", F.lit(h))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def grid_table(grid: DataFrame, rewards: list[float], horizons: list[int], value: str = "result_r", id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar")) -> DataFrame:
+    """The grid with a column ``<value>_<reward>_<horizon>`` for each cell (a dot in a reward becomes ``p``)."""
+    cell = lambda r, h: F.max(F.when((F.col("reward") == r) & (F.col("horizon") == h), F.col(value))).alias(f"{value}_{r:g}_{h}".replace(".", "p"))
+    return grid.groupBy(*id_cols).agg(*[cell(r, h) for r in rewards for h in horizons])

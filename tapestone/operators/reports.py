@@ -128,3 +128,60 @@ def drift_report(rows: DataFrame, columns: Sequence[str], is_base: Column) -> Da
     long = rows.select(is_base.alias("_old"), cells.alias("_c")).select("_old", "_c.feature", "_c.value")
     out = psi(long, "value", F.col("_old"), ["feature"])
     return out.withColumn("severity", F.when(F.col("psi") < 0.1, "none").when(F.col("psi") < 0.25, "moderate").otherwise("severe")).withColumn("retrain", F.col("psi") >= 0.25)
+
+
+def confluence_buckets(groups: DataFrame, n: str = "n_patterns", executed: str = "executed", result: str = "net_r") -> DataFrame:
+    """For each number of agreeing patterns (at least 1): groups, executed trades, their mean net result and profit factor."""
+    net = F.when(F.col(executed), F.col(result))
+    return groups.groupBy(F.greatest(F.lit(1), F.col(n)).alias(n)).agg(F.count(F.lit(1)).alias("groups"), F.count(net).alias("trades"), F.round(F.avg(net), 4).alias("expectancy_r"), F.when(F.count(net) > 0, F.round(profit_factor(net), 4)).alias("pf"))
+
+
+def block_bootstrap_pf(trades: DataFrame, keys: Sequence[str], order: Sequence[str], reps: int = 200, seed: int = 42, result: str = "result_r") -> DataFrame:
+    """5 % and 95 % quantiles of the profit factor over resamples of blocks of min(25, 2 sqrt n) trades in time order.
+
+    A resample draws as many whole blocks as fit and one for the rest; each start is a seeded hash. Null under 100 finite resamples.
+    """
+    w = Window.partitionBy(*keys)
+    rows = trades.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).select(*keys, "_at", F.col(result).alias("_x"))
+    sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.least(F.lit(25), F.greatest(F.lit(1), F.floor(2 * F.sqrt("n")))))
+    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("size")) - 1)))
+    length = F.least(F.col("size"), F.col("n") - F.col("block") * F.col("size"))
+    start = F.pmod(F.xxhash64(F.lit(seed), *keys, "rep", "block"), F.greatest(F.lit(1).cast("long"), F.col("n") - length + 1))
+    drawn = draws.select(*keys, "rep", F.explode(F.sequence(start, start + length - 1)).alias("_at")).join(rows, [*keys, "_at"])
+    gain, loss = F.sum(F.when(F.col("_x") > 0, F.col("_x")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("_x") < 0, F.col("_x")).otherwise(0.0)))
+    pfs = drawn.groupBy(*keys, "rep").agg((gain / F.nullif(loss, F.lit(0.0))).alias("pf"))
+    enough = F.count("pf") >= 100
+    return pfs.groupBy(*keys).agg(F.when(enough, F.percentile("pf", 0.05)).alias("pf_low"), F.when(enough, F.percentile("pf", 0.95)).alias("pf_high"))
+
+
+def kill_switch(trades: DataFrame, keys: Sequence[str], order: Sequence[str], last: int = 60, least: int = 30, result: str = "result_r") -> DataFrame:
+    """Metrics of the ``last`` trades, their bootstrapped profit factor, and ``stop``: enough trades and an upper quantile under 1."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
+    recent = trades.withColumn("_n", n).filter(F.col("_n") <= last).drop("_n")
+    out = result_metrics(recent, keys, result).join(block_bootstrap_pf(recent, keys, order, result=result), list(keys), "left")
+    return out.withColumn("stop", F.coalesce((F.col("n") >= least) & (F.col("pf_high") < 1), F.lit(False)))
+
+
+def fill_medians(rows: DataFrame, columns: Sequence[str], is_train: Column, keys: Sequence[str]) -> DataFrame:
+    """Nulls replaced by the exact median of the train rows of the key."""
+    medians = rows.filter(is_train).groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
+    return rows.join(medians, list(keys), "left").withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+
+
+def standardised(rows: DataFrame, columns: Sequence[str], is_train: Column, keys: Sequence[str]) -> DataFrame:
+    """Columns less the train rows' mean, over their population deviation (1 where that is 0)."""
+    parts = [p for c in columns for p in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]
+    stats = rows.filter(is_train).groupBy(*keys).agg(*parts)
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in columns}
+    return rows.join(stats, list(keys), "left").withColumns(scaled).drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
+
+
+def without_outcomes(rows: DataFrame, names: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
+    """Rows without the columns that tell the outcome: by name, or by prefix."""
+    return rows.drop(*[c for c in rows.columns if c in names or c.startswith(tuple(prefixes))])
+
+
+def unavailable(events: DataFrame, stamps: dict[str, str], known: str = "known_at") -> DataFrame:
+    """(event columns, feature): declared features whose stamp column is missing or later than ``known``."""
+    late = [F.when(F.coalesce(F.col(c) > F.col(known), F.lit(True)), F.lit(f)) for f, c in stamps.items()]
+    return events.withColumn("feature", F.explode(F.array_compact(F.array(*late))))

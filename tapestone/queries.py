@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import indicators as ind
+from .functions.projections import score_bucket
 from .operators import events as ev
 from .operators import groups as grp
 from .operators import outcomes as out
@@ -431,10 +432,10 @@ def _(s, d):
     return rep.co_occurrence(s.read.parquet(f"{d}/events.parquet"), "user_id", "event_type")
 
 
-@query("agg11_score_buckets", f"{SCORED}, q AS (SELECT CASE WHEN score * 100 BETWEEN 0 AND 39 THEN '0-39' WHEN score * 100 BETWEEN 40 AND 49 THEN '40-49' WHEN score * 100 BETWEEN 50 AND 59 THEN '50-59' WHEN score * 100 BETWEEN 60 AND 79 THEN '60-79' WHEN score * 100 >= 80 THEN '80-100' ELSE 'unknown' END AS bucket, label FROM z) SELECT bucket, count(*) AS n, round(avg(label), 6) AS win_rate FROM q GROUP BY 1")
+@query("agg11_score_buckets", f"{SCORED}, q AS (SELECT CASE WHEN score * 100 BETWEEN 0 AND 39 THEN '0-39' WHEN score * 100 BETWEEN 40 AND 49 THEN '40-49' WHEN score * 100 BETWEEN 50 AND 59 THEN '50-59' WHEN score * 100 BETWEEN 60 AND 69 THEN '60-69' WHEN score * 100 BETWEEN 70 AND 79 THEN '70-79' WHEN score * 100 BETWEEN 80 AND 100 THEN '80-100' ELSE 'unknown' END AS bucket, label FROM z) SELECT bucket, count(*) AS n, round(avg(label), 6) AS win_rate FROM q GROUP BY 1")
 def _(s, d):
     x = F.col("score") * 100
-    bucket = F.when(x.between(0, 39), "0-39").when(x.between(40, 49), "40-49").when(x.between(50, 59), "50-59").when(x.between(60, 79), "60-79").when(x >= 80, "80-100").otherwise("unknown")
+    bucket = score_bucket(x)
     return scored_of(s, d).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("win_rate"))
 
 
@@ -564,4 +565,4 @@ def _(s, d):
     return s.read.parquet(path).selectExpr("symbol", EPOCH, *src.OHLCV)
 
 
-from . import more_queries  # noqa: E402, F401  registers its own queries
+from . import further_queries, more_queries  # noqa: E402, F401  register their own queries

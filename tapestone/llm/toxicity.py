@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, id_uniform
+from .common import byte_texts, id_uniform, saved
 
 GRAMS, BITS, BLOCK = (3, 4, 5), 18, 1 << 20
 
@@ -85,9 +85,9 @@ def gram_counts(labelled: DataFrame) -> np.ndarray:
         label, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[label, bucket])], ["label", "bucket", "n"])
 
-    sums = labelled.select("text", "label").mapInArrow(run, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = labelled.select("text", "label").mapInArrow(run, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, 1 << BITS))
-    out[sums["label"], sums["bucket"]] = sums["n"]
+    out[sums["label"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 
@@ -99,13 +99,17 @@ def log_count_ratio(counts: np.ndarray, alpha: float = 1.0, errors: float = 3.0)
     return np.where(np.abs(ratio) > errors * np.sqrt((1 / smooth).sum(0)), ratio, 0.0)
 
 
-def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l2: float, steps: int, positive_share: float = 0.25) -> tuple[np.ndarray, float]:
-    """Logistic regression over ``ratio`` times features by Adam; returns weights for plain features, and a bias."""
-    merged = [np.unique(r, return_counts=True) for r in rows]
-    sizes = np.array([len(m[0]) for m in merged])
-    columns, counts = (np.concatenate([m[i] for m in merged]) for i in (0, 1))
-    used, columns = np.unique(columns, return_inverse=True)
-    row_of, counts = np.repeat(np.arange(len(rows)), sizes), counts.astype(np.float64)
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ratio: np.ndarray, l2: float, steps: int, positive_share: float = 0.25) -> tuple[np.ndarray, float]:
+    """Logistic regression over ``ratio`` times features by Adam; returns weights for plain features, and a bias.
+
+    A row is its distinct buckets and their counts (32-bit numbers, as they fill the driver's memory).
+    """
+    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    columns, counts = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int32) for i in (0, 1))
+    there = np.zeros(len(ratio), bool)
+    there[columns] = True
+    used = np.flatnonzero(there)
+    columns = (np.cumsum(there, dtype=np.int32) - 1)[columns]
     scale = ratio[used]
     weight, bias = np.zeros(len(used)), float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
@@ -150,24 +154,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels every text scores one half.
     """
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("_tp_id")).agg(F.max(label_col).cast("int").alias("label"))
-    labelled = docs.select(F.col(id_col).cast("long").alias("_tp_id"), F.col(text_col).alias("text")).join(known, "_tp_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("_tp_id"), F.col(text_col).alias("text")).filter("_tp_id is not null")
+    # one shuffle of the texts at every size; labelled rows are then read three times
+    labelled = saved(texts.join(known.hint("merge"), "_tp_id"), "labelled")
     counts = gram_counts(labelled)
     if not counts.sum(1).all():
         return Model(np.zeros(1 << BITS), 0.0)
     ratio = log_count_ratio(counts)
     telling = ratio != 0
-    sample: list[np.ndarray] = []
+    sample: list[tuple[np.ndarray, np.ndarray]] = []
     marks: list[int] = []
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [(g := grams_of(t))[telling[g]].astype(np.int32).tobytes() for t in byte_texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column(1)], ["grams", "label"])
+            found = [np.unique(g[telling[g]].astype(np.int32), return_counts=True) for g in map(grams_of, byte_texts(batch.column(0)))]
+            columns = [pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["grams", "counts", "label"])
 
+    drawn = labelled.withColumn("_tp_u", id_uniform(seed, F.col("_tp_id")))
     for label in (0, 1):
-        least = labelled.filter(F.col("label") == label).orderBy(id_uniform(seed, F.col("_tp_id")), "_tp_id").limit(fit_rows // 2)
-        for grams, mark in least.select("text", "label").mapInArrow(features, "grams binary, label int").toLocalIterator():
-            sample.append(np.frombuffer(grams, np.int32).astype(np.int64))
+        own, n = drawn.filter(F.col("label") == label), fit_rows // 2
+        # the edge comes from numbers alone, so that only texts under it are ordered
+        edge = own.select("_tp_u").orderBy("_tp_u").limit(n).agg(F.max("_tp_u")).first()[0]
+        least = own.filter(F.col("_tp_u") <= edge).orderBy("_tp_u", "_tp_id", "text").limit(n)
+        for grams, counts, mark in least.select("text", "label").mapInArrow(features, "grams binary, counts binary, label int").toLocalIterator():
+            sample.append((np.frombuffer(grams, np.int32), np.frombuffer(counts, np.int32)))
             marks.append(mark)
     weights, bias = fit_linear(sample, np.array(marks, np.float64), ratio, l2, steps)
     return Model(weights, bias)

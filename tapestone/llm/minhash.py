@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from .common import byte_texts, join_hot, per_worker, saved
 
 KEPT_WORDS, LONGEST, CHUNK = 400_000, 40, 8192
@@ -139,26 +140,6 @@ def sketch_similarity(x: Column, y: Column, bits: int, samples: int) -> Column:
     return 1.0 + F.log1p(-share) * (bits / (4.0 * samples))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of the nodes in ``edges`` (a, b): the smallest node reachable.
-
-    Each round takes the smallest component next to a node, then that component's own; rounds grow with the logarithm of
-    a component's width. Every round is written, so that a lost executor costs one round.
-    """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "components")
-    for _ in range(rounds):
-        near = both.join(now.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = now.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        jump = now.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        step = saved(step.join(jump, "c").select("node", "old", F.least("c", "further").alias("component")), "components")
-        changed = step.filter("old <> component").limit(1).count()
-        now = step.select("node", "component")
-        if not changed:
-            break
-    return now
-
-
 def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
     """``joined`` (node, component) after more links: only components that these touch are labelled anew."""
     at = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))

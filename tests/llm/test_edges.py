@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import public_tokenizers
@@ -107,6 +108,22 @@ def test_components(spark):
     assert all(rows[i] == 0 for i in range(41)) and all(rows[i] == 100 for i in (100, 101, 102))
 
 
+def test_components_of_long_chains(spark):
+    """Chains of descending and of shuffled ids, whose smallest id is hundreds of links away."""
+    order = list(range(1000, 1600))
+    random.Random(5).shuffle(order)
+    fall = [0, *range(599, 0, -1)]
+    edges = [*zip(fall, fall[1:]), *zip(order, order[1:])]
+    rows = {r["node"]: r["component"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert rows == {i: i // 1000 * 1000 for i in fall + order}
+
+
+def test_components_limit_raises(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        minhash.components(edges, rounds=1)
+
+
 def test_kth_greatest(spark):
     keys = spark.range(3000).selectExpr("cast(id % 7 as double) as k", "id")
     rows = sorted(((-(i % 7), i) for i in range(3000)))

@@ -33,9 +33,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+#: The share of all tokens that mixing keeps, whatever the skew of the sources.
+KEPT_TOKENS = 0.8
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose source and language shares are tempered."""
-    return mixing.mix(docs, {"source": 0.7, "lang": 0.8}).filter("selected").select(*docs.columns)
+    """A sample of ``KEPT_TOKENS`` of the tokens whose source and language shares are tempered."""
+    return mixing.mix(docs, {"source": 0.7, "lang": 0.8}, keep=KEPT_TOKENS).filter("selected").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

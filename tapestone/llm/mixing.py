@@ -7,7 +7,7 @@ Only DataFrame functions are used; the raking is one SQL expression over the cel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_uniform
@@ -25,10 +25,11 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: float | None = None) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``weight``, whose margins are the tempered shares of the tokens.
 
-    A margin's target is its share of all tokens to the given power, made to sum to 1. All cells go to one task: there
+    A margin's target is its share of all tokens to the given power, made to sum to 1, or with ``keep`` to that share of
+    all tokens; then no cell weighs more than its tokens, and each round rakes the others to what such cells lack. All cells go to one task: there
     are as many as sources times languages times topics, not as documents; a cell is one row of a few numbers.
     """
     held = cells.agg(F.array_sort(F.collect_list(F.struct(*MARGINS, "tokens"))).alias("cells"))
@@ -39,21 +40,36 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20) -> DataFr
         held = held.withColumn(f"k_{m}", F.expr(f"transform(cells, c -> cast(array_position(v_{m}, c.{m}) as int))"))
         raw = f"transform(v_{m}, v -> pow(aggregate(filter(cells, c -> c.{m} = v), cast(0 as double), (s, c) -> s + c.tokens) / {total}, {powers.get(m, 1.0)}))"
         held = held.withColumn(f"t_{m}", F.expr(raw)).withColumn(f"t_{m}", F.expr(f"transform(t_{m}, t -> t / aggregate(t_{m}, cast(0 as double), (s, x) -> s + x))"))
+    if keep is not None:
+        held = held.withColumn("w", F.expr(f"transform(w, x -> x * {keep})")).withColumns({f"t_{m}": F.expr(f"transform(t_{m}, t -> t * {keep} * {total})") for m in MARGINS})
     step = "w"
     for m in MARGINS:
         # factors: target share over present share of each value, then each cell times its value's factor
         factors = f"transform(t_{m}, (t, i) -> t / aggregate(zip_with(x, k_{m}, (w, k) -> if(k = i + 1, w, cast(0 as double))), cast(0 as double), (s, y) -> s + y))"
         held_step = f"transform(array({{x}}), x -> transform(array({factors}), f -> zip_with(x, k_{m}, (w, k) -> w * f[k - 1]))[0])[0]"
         step = held_step.replace("{x}", step)
+    if keep is not None:
+        step = f"zip_with({step}, cells, (w, c) -> least(w, cast(c.tokens as double)))"
     held = held.withColumn("w", F.expr(f"aggregate(sequence(1, {rounds}), w, (acc, r) -> {step.replace('array(w)', 'array(acc)', 1)})"))
     return held.select(F.explode(F.arrays_zip("cells", "w")).alias("c")).select("c.cells.*", F.col("c.w").alias("weight"))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 20, seed: int = 13, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def budget_scale(raked: DataFrame, keep: float) -> DataFrame:
+    """``scale``: the factor of all ratios with which min(1, scale * ratio) keeps the share ``keep`` of all tokens; null if only 1 everywhere does."""
+    order = [F.col("ratio").desc(), *MARGINS]
+    before, after = (Window.orderBy(*order).rowsBetween(*span) for span in ((Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)))
+    # at each cell: all above it are whole, and it and the rest share what is then left
+    rest = keep * F.sum("tokens").over(Window.partitionBy()) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
+    at = raked.withColumn("scale", rest / F.sum("weight").over(after))
+    return at.filter(F.col("scale") * F.col("ratio") <= 1).agg(F.max_by("scale", F.struct("ratio", "scale")).alias("scale"))
+
+
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 20, seed: int = 13, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: float | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with topic, tokens, probability and selected.
 
-    Tokens are words. The probability is the cell's weight over its tokens, scaled so that the greatest is 1; the draw is
-    the id's seeded hash, so rows of one id share it. A null source or language is a value of its own (``-``); null and
+    Tokens are words. The probability is the cell's weight over its tokens, scaled so that the greatest is 1, or with
+    ``keep`` so that this share of all tokens is kept in expectation: cells too small for their weight are kept whole, and
+    the others make up for them. The draw is the id's seeded hash, so rows of one id share it. A null source or language is a value of its own (``-``); null and
     empty texts have no tokens: a cell without tokens keeps its documents. Existing columns of the added names are
     replaced; an empty table gives an empty result.
     """
@@ -68,9 +84,10 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 2
     )
     names = {"_tp_source": "source", "_tp_lang": "lang", "topic": "topic"}
     cells = told.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-    raked = rake(cells, powers, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    greatest = raked.agg(F.max("ratio").alias("greatest"))
-    chances = raked.crossJoin(F.broadcast(greatest)).select(*[F.col(n).alias(f"_tp_c_{n}") for n in MARGINS], (F.col("ratio") / F.col("greatest")).alias("probability"))
+    raked = rake(cells, powers, rounds, keep).withColumn("ratio", F.col("weight") / F.col("tokens"))
+    scale = raked.agg(F.max("ratio").alias("greatest")) if keep is None else budget_scale(raked, keep)
+    chance = F.col("ratio") / F.col("greatest") if keep is None else F.coalesce(F.least(F.lit(1.0), F.col("ratio") * F.col("scale")), F.lit(1.0))
+    chances = raked.crossJoin(F.broadcast(scale)).select(*[F.col(n).alias(f"_tp_c_{n}") for n in MARGINS], chance.alias("probability"))
     on = (F.col("_tp_source") == F.col("_tp_c_source")) & (F.col("_tp_lang") == F.col("_tp_c_lang")) & (F.col("topic") == F.col("_tp_c_topic"))
     # as many rows as cells, which their one task above bounds
     drawn = told.join(F.broadcast(chances), on, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))

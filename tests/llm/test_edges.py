@@ -152,6 +152,23 @@ def test_rake(spark):
     assert abs(sum(r["weight"] for r in rows if r["source"] == "a") / total - 0.5) < 1e-6
 
 
+def test_rare_source_keeps_the_rest(spark):
+    """One short document of a source of its own doesn't make the others vanish, and the stated share is kept."""
+    docs = [(i, "word " * 20, "en" if i % 4 else "fr", f"s{i % 20 if i % 3 else 0}", 100) for i in range(3000)] + [(9999, "lone word", "en", "rare", 9)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.mix_sources(spark, docs, "").count()
+    assert abs(kept / 3001 - 0.8) < 0.03
+    rows = mixing.mix(docs, {"source": 0.7, "lang": 0.8}, keep=0.5).collect()
+    share = lambda rs: sum(r["tokens"] * r["probability"] for r in rs)
+    total = sum(r["tokens"] for r in rows)
+    assert abs(share(rows) / total - 0.5) < 1e-6 and all(0 < r["probability"] <= 1 for r in rows)
+    assert [r["probability"] for r in rows if r["source"] == "rare"] == [1.0]
+    hot, small = (share(r for r in rows if r["source"] == s) for s in ("s0", "s1"))
+    tokens = lambda s: sum(r["tokens"] for r in rows if r["source"] == s)
+    assert abs(hot / small / (tokens("s0") / tokens("s1")) ** 0.7 - 1) < 0.01
+    assert {r["probability"] for r in mixing.mix(docs, keep=1.0).collect()} == {1.0}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -7,25 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 
-def correlated_groups(events: DataFrame, window: int, price_atr: float, keys: Sequence[str] = ("symbol", "direction"), order: str = "bar", row_id: str = "event_id", most_rounds: int = 20) -> DataFrame:
+
+def correlated_groups(events: DataFrame, window: int, price_atr: float, keys: Sequence[str] = ("symbol", "direction"), order: str = "bar", row_id: str = "event_id") -> DataFrame:
     """``group_id``, the smallest event reachable over pairs close in time and price.
 
     Events more than ``window`` after the one before start a new island, so pairs are sought inside islands, by buckets
-    of the window's width; labels then fall to the smallest neighbour until none changes.
+    of the window's width; groups are their components, however long.
     """
     side = events.select(*keys, F.col(row_id).alias("a"), F.col(order).alias("t"), F.col("close").alias("p"), "atr").withColumn("b0", F.floor(F.col("t") / window))
     other = side.select(*keys, F.col("a").alias("b"), F.col("t").alias("t2"), F.col("p").alias("p2"), F.col("atr").alias("atr2"), F.explode(F.array(F.col("b0"), F.col("b0") + 1)).alias("b0"))
     near = side.join(other, [*keys, "b0"]).filter((F.abs(F.col("t") - F.col("t2")) <= window) & (F.col("a") != F.col("b")) & (F.abs(F.col("p") - F.col("p2")) <= price_atr * (F.col("atr") + F.col("atr2")) / 2))
-    edges = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    labels = events.select(F.col(row_id).alias("a"), F.col(row_id).alias("group_id"))
-    for _ in range(most_rounds):
-        least = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("group_id").alias("m"))
-        step = labels.join(least, "a", "left").select("a", F.col("group_id").alias("old"), F.least("group_id", F.coalesce("m", "group_id")).alias("group_id")).checkpoint()
-        labels = step.select("a", "group_id")
-        if not step.filter("old <> group_id").limit(1).count():
-            break
-    return events.join(labels.withColumnRenamed("a", row_id), row_id)
+    labels = components(near.select("a", "b")).select(F.col("node").alias(row_id), F.col("component").alias("group_id"))
+    return events.join(labels, row_id, "left").withColumn("group_id", F.coalesce("group_id", row_id))
 
 
 def best_of_group(grouped: DataFrame, priority: Column, row_id: str = "event_id") -> DataFrame:

@@ -100,6 +100,15 @@ def test_groups_are_components(spark):
     assert {r["event_id"]: r["group_id"] for r in grp.correlated_groups(df, 4, 1.0).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
 
 
+def test_long_groups_stay_whole(spark):
+    """A run of 200 events, each near only to the next, is one group."""
+    df = spark.createDataFrame([(i, "a", "long", 10 * i, 100.0, 1.0) for i in range(200)], "event_id long, symbol string, direction string, bar long, close double, atr double")
+    grouped = grp.correlated_groups(df, 12, 1.0)
+    assert {r["group_id"] for r in grouped.collect()} == {0}
+    assert grp.best_of_group(grouped, F.col("close")).filter("discard_reason is null").count() == 1
+    assert [r["n"] for r in grp.confluence(grouped, F.col("close")).collect()] == [200]
+
+
 def test_truncation_changes_nothing_known(bars):
     """Sweeps up to a bar are the same on a prefix of the series."""
     rows = lambda b: {(r["symbol"], r["bar"], r["direction"]) for r in ev.sweep_rows(ev.sweep_flags(ind.add_rolling(ind.add_atr(b)))).collect()}

@@ -79,14 +79,13 @@ def loss_runs(trades: DataFrame, keys: Sequence[str], order: Sequence[str], resu
     return runs.groupBy(*keys).agg(F.max("run").alias("longest"), F.max_by("run", "_g").alias("at_end"))
 
 
-def bootstrap_pf(trades: DataFrame, keys: Sequence[str], row_id: str, reps: int = 200, result: str = "result_r", seed: int = 1) -> DataFrame:
-    """5 % quantile of the profit factor over Poisson resamples: a row's count in a resample is drawn by its hash."""
+def bootstrap_pf(trades: DataFrame, keys: Sequence[str], row_id: str, reps: int = 1000, result: str = "result_r", seed: int = 1) -> DataFrame:
+    """5 % quantile of the profit factor over Poisson resamples, infinite for those without a loss: a row's count in a resample is drawn by its hash."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col("rep")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     # counts 0 to 5 of a Poisson law of mean 1
     count = sum(F.when(u > c, 1).otherwise(0) for c in (0.36788, 0.73576, 0.9197, 0.98101, 0.99634))
     drawn = trades.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_x", F.col(result) * count)
-    gain, loss = F.sum(F.when(F.col("_x") > 0, F.col("_x")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("_x") < 0, F.col("_x")).otherwise(0.0)))
-    return drawn.groupBy(*keys, "rep").agg((gain / F.nullif(loss, F.lit(0.0))).alias("pf")).groupBy(*keys).agg(F.percentile("pf", 0.05).alias("pf_low"))
+    return drawn.groupBy(*keys, "rep").agg(profit_factor(F.col("_x")).alias("pf")).groupBy(*keys).agg(F.percentile("pf", 0.05).alias("pf_low"))
 
 
 def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str], risk: float = 0.01, result: str = "result_r") -> DataFrame:
@@ -136,7 +135,7 @@ def confluence_buckets(groups: DataFrame, n: str = "n_patterns", executed: str =
     return groups.groupBy(F.greatest(F.lit(1), F.col(n)).alias(n)).agg(F.count(F.lit(1)).alias("groups"), F.count(net).alias("trades"), F.round(F.avg(net), 4).alias("expectancy_r"), F.when(F.count(net) > 0, F.round(profit_factor(net), 4)).alias("pf"))
 
 
-def block_bootstrap_pf(trades: DataFrame, keys: Sequence[str], order: Sequence[str], reps: int = 200, seed: int = 42, result: str = "result_r") -> DataFrame:
+def block_bootstrap_pf(trades: DataFrame, keys: Sequence[str], order: Sequence[str], reps: int = 3000, seed: int = 42, result: str = "result_r") -> DataFrame:
     """5 % and 95 % quantiles of the profit factor over resamples of blocks of min(25, 2 sqrt n) trades in time order.
 
     A resample draws as many whole blocks as fit and one for the rest; each start is a seeded hash. Null under 100 finite resamples.

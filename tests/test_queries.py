@@ -14,6 +14,7 @@ from tapestone.functions import indicators as ind
 from tapestone.operators import events as ev
 from tapestone.operators import groups as grp
 from tapestone.operators import models
+from tapestone.operators import reports as rep
 from tapestone.plans import layout
 from tapestone.sources import bars as src
 
@@ -109,6 +110,15 @@ def test_long_groups_stay_whole(spark):
     assert [r["n"] for r in grp.confluence(grouped, F.col("close")).collect()] == [200]
 
 
+def test_bootstraps_of_rare_losses(spark):
+    """Resamples without a loss count as infinite; a loss in a few resamples of a hundred still gives bounds."""
+    df = spark.createDataFrame([("a", i, -1.0 if i == 0 else 1.0) for i in range(100)] + [("b", i, 1.0) for i in range(100)], "symbol string, i long, result_r double")
+    low = {r["symbol"]: r["pf_low"] for r in rep.bootstrap_pf(df, ["symbol"], "i").collect()}
+    assert low["b"] == math.inf and 20 < low["a"] < 60
+    bounds = {r["symbol"]: r for r in rep.block_bootstrap_pf(df, ["symbol"], ["i"]).collect()}
+    assert bounds["b"]["pf_low"] is None and bounds["a"]["pf_high"] == 99
+
+
 def test_truncation_changes_nothing_known(bars):
     """Sweeps up to a bar are the same on a prefix of the series."""
     rows = lambda b: {(r["symbol"], r["bar"], r["direction"]) for r in ev.sweep_rows(ev.sweep_flags(ind.add_rolling(ind.add_atr(b)))).collect()}

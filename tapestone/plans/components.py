@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folders import shared_folder
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .folders import saved
 
 
 def _settled(links: DataFrame) -> bool:
@@ -29,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     whatever the order of its ids. It ends when only stars around their smallest node are left; RuntimeError if
     ``rounds`` don't suffice. Every step is written, so that a lost executor costs one step.
     """
-    given = _written(edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
+    given = saved(edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
     links = given.filter("high <> low")
     done = _settled(links)
     for _ in range(rounds):
@@ -37,12 +31,12 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             break
         both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = both.groupBy(F.col("high").alias("low")).agg(F.min("low").alias("m")).select("low", F.least("low", "m").alias("m"))
-        links = _written(links.join(least, "low").select("high", F.col("m").alias("low")).distinct(), "large-star")
+        links = saved(links.join(least, "low").select("high", F.col("m").alias("low")).distinct(), "large-star")
         least = links.groupBy("high").agg(F.min("low").alias("m"))
         below = links.join(least, "high").filter("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
-        links = _written(below.unionByName(least.select("high", F.col("m").alias("low"))).distinct(), "small-star")
+        links = saved(below.unionByName(least.select("high", F.col("m").alias("low"))).distinct(), "small-star")
         done = _settled(links)
     if not done:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
     nodes = given.select(F.col("high").alias("node")).unionByName(given.select(F.col("low").alias("node"))).distinct()
-    return _written(nodes.join(links.withColumnRenamed("high", "node"), "node", "left").select("node", F.coalesce("low", "node").alias("component")), "components")
+    return saved(nodes.join(links.withColumnRenamed("high", "node"), "node", "left").select("node", F.coalesce("low", "node").alias("component")), "components")

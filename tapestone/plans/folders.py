@@ -5,10 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder name under ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary folder; a cluster, whose machines don't share one, is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        base = _OWN.setdefault("base", tempfile.mkdtemp(prefix="spark-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to a new shared folder, laid out by the column ``by`` if given, and read it again: work is done once and lineage ends here."""
+    path = shared_folder(df.sparkSession, name)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

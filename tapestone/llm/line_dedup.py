@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_hot, saved
 
 
 def _hash(line: Column) -> Column:
@@ -22,18 +22,18 @@ def _long_enough(line: Column, min_words: int) -> Column:
 
 
 def spread_lines(lines: DataFrame, min_sites: int, log_k: int = 8, errors: float = 4.0) -> DataFrame:
-    """(hash, first_id) of the lines (hash, site, id) that stand on ``min_sites`` distinct sites or more.
+    """(hash, first_id, n) of the lines (hash, site, id) that stand on ``min_sites`` distinct sites or more; ``n`` is how often they stand.
 
     An estimate at least ``errors`` standard errors (and two sites) off the threshold decides; the rest are counted.
     """
     sketched = lines.groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(log_k)).alias("sites"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    estimated = saved(sketched.filter(F.col("n") >= min_sites).select("hash", "first_id", F.hll_sketch_estimate("sites").alias("estimate")), "line-spread")
+    estimated = saved(sketched.filter(F.col("n") >= min_sites).select("hash", "first_id", "n", F.hll_sketch_estimate("sites").alias("estimate")), "line-spread")
     margin = max(2.0, errors * 1.04 / (1 << log_k) ** 0.5 * min_sites)
     sure = estimated.filter(F.col("estimate") >= min_sites + margin)
     near = estimated.filter((F.col("estimate") < min_sites + margin) & (F.col("estimate") > min_sites - margin))
     # copies of (line, site) meet before the shuffle, so a hot line is a few rows
     counted = lines.join(near.select("hash"), "hash", "left_semi").select("hash", "site").distinct().groupBy("hash").agg(F.count("site").alias("exact")).filter(F.col("exact") >= min_sites)
-    return sure.select("hash", "first_id").unionByName(near.join(counted, "hash").select("hash", "first_id"))
+    return sure.select("hash", "first_id", "n").unionByName(near.join(counted, "hash").select("hash", "first_id", "n"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 3, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -42,17 +42,21 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 3, min_words: int = 4,
     A line, between line feeds and taken whole, of at least ``min_words`` words is boilerplate if it stands on at least
     ``min_sites`` distinct sites. It stays in the document with the smallest id among those that have it, and goes from
     all others. A null text stays null; a text may become empty; a null site counts as no site, a null id keeps its
-    lines; rows of one id are cleaned alike; a column n_removed is replaced; an empty table gives an empty result.
+    lines; rows of one id are cleaned alike; a column n_removed is replaced, any other name may be there; an empty table
+    gives an empty result.
     """
     docs = docs.drop("n_removed")
     split = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(F.split(text_col, "\n")).alias("line"))
-    lines = split.filter(_long_enough(F.col("line"), min_words)).select("id", F.col("site").cast("string").alias("site"), _hash(F.col("line")).alias("hash"))
-    spread = spread_lines(lines, min_sites)
-    found = lines.filter("id is not null").select("id", "hash").distinct().join(spread, "hash").filter(F.col("id") > F.col("first_id"))
-    gone = saved(found.groupBy("id").agg(F.collect_set("hash").alias("_tp_gone")), "line-gone")
+    # the texts are split once; all counts then read these few bytes for each line
+    lines = saved(split.filter(_long_enough(F.col("line"), min_words)).select("id", F.col("site").cast("string").alias("site"), _hash(F.col("line")).alias("hash")), "lines")
+    spread = saved(spread_lines(lines, min_sites), "boilerplate")
+    n_lines = spread.agg(F.sum("n")).first()[0] or 0
+    # a line that stands in very many documents is met by a broadcast of at most 1,000 such lines
+    met = join_hot(lines.filter("id is not null"), spread, ["hash"], "n", n_lines)
+    found = met.filter(F.col("id") > F.col("first_id")).select("id", "hash")
+    gone = saved(found.groupBy(F.col("id").alias("_tp_id")).agg(F.collect_set("hash").alias("_tp_gone")), "line-gone")
     # texts are shuffled once, at every size: the removals grow with the corpus and are no broadcast
-    gone = gone.hint("merge")
-    joined = docs.join(gone, docs[id_col] == gone["id"], "left").drop("id") if id_col != "id" else docs.join(gone, "id", "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col] == gone["_tp_id"], "left").drop("_tp_id")
     parts = F.split(text_col, "\n")
     stays = F.filter(parts, lambda x: ~(_long_enough(x, min_words) & F.array_contains("_tp_gone", _hash(x))))
     cleaned = joined.withColumn("_tp_lines", F.when(F.col("_tp_gone").isNotNull(), stays))

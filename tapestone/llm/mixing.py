@@ -2,7 +2,7 @@
 
 Tokens are summed by cell (source, language, topic). The cells' weights are raked in turn to the target share of each
 source, language and topic, and a document is drawn with the probability that turns its cell's tokens into its weight.
-Only DataFrame functions are used; the raking is one SQL expression over the cells.
+Only DataFrame functions are used; a round of raking is three grouped sums over the cells.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_uniform
+from .common import id_uniform, saved
 
 MARGINS = ("source", "lang", "topic")
 #: Topics by the first rule that holds, else prose.
@@ -25,33 +25,55 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: float | None = None) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``, whose margins are the tempered shares of the tokens.
+def target_shares(cells: DataFrame, margin: str, power: float, given: dict[str, float] | None) -> DataFrame:
+    """(margin, share) of each value that the cells have; shares sum to 1.
 
-    A margin's target is its share of all tokens to the given power, made to sum to 1, or with ``keep`` to that share of
-    all tokens; then no cell weighs more than its tokens, and each round rakes the others to what such cells lack. All cells go to one task: there
-    are as many as sources times languages times topics, not as documents; a cell is one row of a few numbers.
+    Without ``given``, a value's share of the tokens to the given power. With it, its given weight: a value that is left
+    out, or given 0, gets none, and one that no cell has is passed over. ValueError if nothing is left or a weight is below 0.
     """
-    held = cells.agg(F.array_sort(F.collect_list(F.struct(*MARGINS, "tokens"))).alias("cells"))
-    total = "aggregate(cells, cast(0 as double), (s, c) -> s + c.tokens)"
-    held = held.withColumn("w", F.expr("transform(cells, c -> cast(c.tokens as double))"))
-    for m in MARGINS:
-        held = held.withColumn(f"v_{m}", F.expr(f"array_sort(array_distinct(transform(cells, c -> c.{m})))"))
-        held = held.withColumn(f"k_{m}", F.expr(f"transform(cells, c -> cast(array_position(v_{m}, c.{m}) as int))"))
-        raw = f"transform(v_{m}, v -> pow(aggregate(filter(cells, c -> c.{m} = v), cast(0 as double), (s, c) -> s + c.tokens) / {total}, {powers.get(m, 1.0)}))"
-        held = held.withColumn(f"t_{m}", F.expr(raw)).withColumn(f"t_{m}", F.expr(f"transform(t_{m}, t -> t / aggregate(t_{m}, cast(0 as double), (s, x) -> s + x))"))
-    if keep is not None:
-        held = held.withColumn("w", F.expr(f"transform(w, x -> x * {keep})")).withColumns({f"t_{m}": F.expr(f"transform(t_{m}, t -> t * {keep} * {total})") for m in MARGINS})
-    step = "w"
+    if given is None:
+        raw = cells.groupBy(margin).agg((F.sum("tokens") / F.sum(F.sum("tokens")).over(Window.partitionBy())).alias("share")).withColumn("share", F.pow("share", F.lit(float(power))))
+    else:
+        if any(w < 0 for w in given.values()) or not sum(given.values()) > 0:
+            raise ValueError(f"target weights of {margin} must be 0 or more, and one above 0")
+        told = cells.sparkSession.createDataFrame([(k, float(w)) for k, w in given.items()], f"{margin} string, share double")
+        raw = cells.select(margin).distinct().join(told, margin, "left").select(margin, F.coalesce("share", F.lit(0.0)).alias("share"))
+    return raw.select(margin, (F.col("share") / F.sum("share").over(Window.partitionBy())).alias("share"))
+
+
+def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: float | None = None, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-9, chunk: int = 5) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight`` and ``margin_error``.
+
+    Each round scales every margin's values in turn to their target shares (``target_shares``), by sums grouped over the
+    cells. With ``keep`` the weights sum to that share of all tokens; then no cell weighs more than its tokens, and each
+    round rakes the others to what such cells lack. Every ``chunk`` rounds the weights are written, and the loop ends once
+    no margin's share is more than ``tolerance`` off its target, at ``rounds`` at the latest; ``margin_error`` is the
+    greatest distance then left (targets that contradict each other or the cells can't be met).
+    """
+    targets = targets or {}
+    whole = Window.partitionBy()
+    now = cells.withColumn("w", F.col("tokens") * F.lit(1.0 if keep is None else keep))
     for m in MARGINS:
-        # factors: target share over present share of each value, then each cell times its value's factor
-        factors = f"transform(t_{m}, (t, i) -> t / aggregate(zip_with(x, k_{m}, (w, k) -> if(k = i + 1, w, cast(0 as double))), cast(0 as double), (s, y) -> s + y))"
-        held_step = f"transform(array({{x}}), x -> transform(array({factors}), f -> zip_with(x, k_{m}, (w, k) -> w * f[k - 1]))[0])[0]"
-        step = held_step.replace("{x}", step)
-    if keep is not None:
-        step = f"zip_with({step}, cells, (w, c) -> least(w, cast(c.tokens as double)))"
-    held = held.withColumn("w", F.expr(f"aggregate(sequence(1, {rounds}), w, (acc, r) -> {step.replace('array(w)', 'array(acc)', 1)})"))
-    return held.select(F.explode(F.arrays_zip("cells", "w")).alias("c")).select("c.cells.*", F.col("c.w").alias("weight"))
+        now = now.join(target_shares(cells, m, powers.get(m, 1.0), targets.get(m)).withColumnRenamed("share", f"t_{m}"), m)
+        if keep is not None:
+            now = now.withColumn(f"t_{m}", F.col(f"t_{m}") * keep * F.sum("tokens").over(whole))
+    now = saved(now, "cells")
+    for done in range(0, rounds, chunk):
+        for _ in range(min(chunk, rounds - done)):
+            for m in MARGINS:
+                held = F.sum("w").over(Window.partitionBy(m))
+                now = now.withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{m}") / F.nullif(held, F.lit(0.0)), F.lit(0.0)))
+            if keep is not None:
+                now = now.withColumn("w", F.least("w", F.col("tokens").cast("double")))
+        now = saved(now, "raked")
+        off = None
+        for m in MARGINS:
+            sums = now.groupBy(m).agg(F.sum("w").alias("s"), F.first(f"t_{m}").alias("t")).select((F.abs(F.col("s") - F.col("t")) / F.sum("t").over(whole)).alias("off"))
+            off = sums if off is None else off.unionByName(sums)
+        error = off.agg(F.max("off")).first()[0] or 0.0
+        if error <= tolerance:
+            break
+    return now.select(*MARGINS, "tokens", F.col("w").alias("weight"), F.lit(error).alias("margin_error"))
 
 
 def budget_scale(raked: DataFrame, keep: float) -> DataFrame:
@@ -60,39 +82,52 @@ def budget_scale(raked: DataFrame, keep: float) -> DataFrame:
     before, after = (Window.orderBy(*order).rowsBetween(*span) for span in ((Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)))
     # at each cell: all above it are whole, and it and the rest share what is then left
     rest = keep * F.sum("tokens").over(Window.partitionBy()) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    at = raked.withColumn("scale", rest / F.sum("weight").over(after))
+    at = raked.withColumn("scale", rest / F.nullif(F.sum("weight").over(after), F.lit(0.0)))
     return at.filter(F.col("scale") * F.col("ratio") <= 1).agg(F.max_by("scale", F.struct("ratio", "scale")).alias("scale"))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 20, seed: int = 13, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: float | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with topic, tokens, probability and selected.
+#: Cells up to this number are broadcast (about 20 MB); beyond it they are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 20, seed: int = 13, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: float | None = None, targets: dict[str, dict[str, float]] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """All rows of ``docs``, and its ``columns`` (default: all), with topic, tokens, probability and selected.
 
-    Tokens are words. The probability is the cell's weight over its tokens, scaled so that the greatest is 1, or with
-    ``keep`` so that this share of all tokens is kept in expectation: cells too small for their weight are kept whole, and
-    the others make up for them. The draw is the id's seeded hash, so rows of one id share it. A null source or language is a value of its own (``-``); null and
-    empty texts have no tokens: a cell without tokens keeps its documents. Existing columns of the added names are
-    replaced; an empty table gives an empty result.
+    ``targets`` gives the target weights of a margin's values (``{"source": {"web": 3, "books": 1}}``, see
+    ``target_shares``); margins that it leaves out are tempered by ``powers``. Tokens are words. The probability is the
+    cell's weight over its tokens, scaled so that the greatest is 1, or with ``keep`` so that this share of all tokens is
+    kept in expectation: cells too small for their weight are kept whole, and the others make up for them. The draw is the
+    id's seeded hash, so rows of one id share it, and all null ids do. A null source or language is a value of its own
+    (``-``); null and empty texts have no tokens: a cell without tokens keeps its documents. Existing columns of the added
+    names are replaced; an empty table gives an empty result.
     """
     powers = powers if powers is not None else {"source": 0.7, "lang": 0.8}
     docs = docs.drop("topic", "tokens", "probability", "selected")
-    told = docs.select(
-        "*",
-        (topic if topic is not None else topic_of(F.col(text_col))).alias("topic"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
-        F.coalesce(F.col(source_col), F.lit("-")).alias("_tp_source"),
-        F.coalesce(F.col(lang_col), F.lit("-")).alias("_tp_lang"),
+    carried = [c for c in docs.columns if columns is None or c in columns]
+    # the texts are read and told once; what follows reads what was written
+    told = saved(
+        docs.select(
+            *carried,
+            F.col(id_col).alias("_tp_id"),
+            (topic if topic is not None else topic_of(F.col(text_col))).alias("topic"),
+            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
+            F.coalesce(F.col(source_col).cast("string"), F.lit("-")).alias("_tp_source"),
+            F.coalesce(F.col(lang_col).cast("string"), F.lit("-")).alias("_tp_lang"),
+        ),
+        "told",
     )
     names = {"_tp_source": "source", "_tp_lang": "lang", "topic": "topic"}
     cells = told.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-    raked = rake(cells, powers, rounds, keep).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    scale = raked.agg(F.max("ratio").alias("greatest")) if keep is None else budget_scale(raked, keep)
-    chance = F.col("ratio") / F.col("greatest") if keep is None else F.coalesce(F.least(F.lit(1.0), F.col("ratio") * F.col("scale")), F.lit(1.0))
-    chances = raked.crossJoin(F.broadcast(scale)).select(*[F.col(n).alias(f"_tp_c_{n}") for n in MARGINS], chance.alias("probability"))
+    raked = rake(saved(cells, "cell-tokens"), powers, rounds, keep, targets).withColumn("ratio", F.col("weight") / F.col("tokens"))
+    # one number for all cells
+    scale = (raked.agg((1.0 / F.nullif(F.max("ratio"), F.lit(0.0))).alias("scale")) if keep is None else budget_scale(raked, keep)).first()["scale"]
+    chance = F.lit(1.0) if scale is None and keep is not None else F.least(F.lit(1.0), F.col("ratio") * F.lit(scale if scale is not None else 0.0))
+    chances = raked.select(*[F.col(n).alias(f"_tp_c_{n}") for n in MARGINS], F.when(F.col("weight") > 0, chance).otherwise(0.0).alias("probability"))
     on = (F.col("_tp_source") == F.col("_tp_c_source")) & (F.col("_tp_lang") == F.col("_tp_c_lang")) & (F.col("topic") == F.col("_tp_c_topic"))
-    # as many rows as cells, which their one task above bounds
-    drawn = told.join(F.broadcast(chances), on, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    selected = id_uniform(seed, F.coalesce(F.col(id_col), F.lit(-1))) < F.col("probability")
-    return drawn.withColumn("selected", selected).drop("_tp_source", "_tp_lang", *[f"_tp_c_{n}" for n in MARGINS])
+    chances = F.broadcast(chances) if raked.count() <= MOST_BROADCAST else chances.hint("merge")
+    drawn = told.join(chances, on, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    selected = id_uniform(seed, F.coalesce(F.col("_tp_id"), F.lit(-1))) < F.col("probability")
+    return drawn.withColumn("selected", selected).drop("_tp_id", "_tp_source", "_tp_lang", *[f"_tp_c_{n}" for n in MARGINS])
 
 
 def oracle(powers: dict[str, float], rounds: int = 20, seed: int = 13) -> str:

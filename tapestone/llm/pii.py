@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "shortcard", "ssn")
+KINDS = (*BASE_KINDS, "iban", "shortcard", "ssn", "secret")
 CONTEXT = {
     "card": ("card", "credit", "visa", "mastercard", "karte", "carte", "tarjeta"),
     "shortcard": ("card", "credit", "amex", "karte", "carte", "tarjeta"),
@@ -20,8 +22,27 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "telefon", "teléfono", "téléphone"),
     "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
+    "secret": ("token", "secret", "password", "key", "auth", "bearer"),
 }
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "PL": 28, "PT": 25, "SE": 24}
+#: Lengths of the IBAN registry by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+    "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 "
+    "YE30 "
+).split()}
+#: Secrets that their form alone tells, and assignments to a name that says secret.
+SECRET_FORMS = (
+    r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])xox[abprs]-[0-9A-Za-z-]{10,200}",
+    r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[0-9A-Za-z]{16,100}",
+    r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])",
+    r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{5,4000}\.eyJ[A-Za-z0-9_-]{5,4000}\.[A-Za-z0-9_-]{5,4000}",
+    r"-----BEGIN (?:[A-Z]{2,20} ){0,2}PRIVATE KEY-----",
+)
+SECRET_NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 # Possessive, so that a long run of one character is read once.
@@ -31,6 +52,9 @@ DIGIT = re.compile("[0-9]")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])")
+FORMED = re.compile("|".join(SECRET_FORMS))
+FORM_HINT = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ|PRIVATE KEY")
+NAMED = re.compile(SECRET_NAMES + r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.=~-]{8,200})", re.IGNORECASE)
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -61,6 +85,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def entropy(value: str) -> float:
+    """Bits a character, by the shares of the characters in ``value``."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def secrets(text: str) -> Iterator[tuple[int, int, float]]:
+    """Values of secrets: known forms, and what a telling name is set to, where it is as mixed as no word is."""
+    formed = [m.span() for m in FORMED.finditer(text)] if FORM_HINT.search(text) else []
+    yield from ((*span, 0.8) for span in formed)
+    for m in NAMED.finditer(text) if ":" in text or "=" in text else ():
+        value, span = m["value"], m.span("value")
+        mixed = DIGIT.search(value) and entropy(value) >= 2.8
+        if mixed and not any(a < span[1] and span[0] < b for a, b in formed):
+            yield *span, 0.5
+
+
 def iban_end(text: str, start: int) -> int:
     """Where an IBAN that begins at ``start`` ends, with single spaces allowed in it; 0 if there is none."""
     length = IBAN_LENGTHS.get(text[start : start + 2], 0)
@@ -105,6 +145,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
     for m in IBAN_START.finditer(text):
         if end := iban_end(text, m.start()):
             yield "iban", m.start(), end, 0.8
+    for start, end, base in secrets(text):
+        yield "secret", start, end, base
     for m in SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
@@ -115,7 +157,8 @@ def find(text: str, reach: int = 40, least: float = 0.5) -> list[tuple[str, int,
     """(kind, start, end, score) of each span, in code points, by kind as listed, then start.
 
     A context word within ``reach`` characters adds 0.4 to the base score. The base kinds stay whatever they score; the
-    others need ``least``: an IBAN has it by its checksum, an SSN and a 13- to 15-digit card need a context word.
+    others need ``least``: an IBAN has it by its checksum, a secret by its form or by a telling name and its entropy; an
+    SSN and a 13- to 15-digit card need a context word.
     """
     out = []
     for kind, start, end, base in _proposed(text):

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_uniform, per_worker, saved
+from .common import byte_texts, id_uniform, kth_greatest, per_worker, saved
 
 KEPT_WORDS, LONGEST = 400_000, 40
 
@@ -35,25 +35,22 @@ def buckets_of(text: bytes, n_buckets: int, kept: dict[bytes, int]) -> np.ndarra
     return (np.concatenate([hashes, pairs]) % np.uint64(n_buckets)).astype(np.int64)
 
 
-def model_counts(docs: DataFrame, n_buckets: int, label_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by bucket over all rows, and over those with label 1; each task sends ``n_buckets`` rows at most."""
+def model_counts(texts: DataFrame, n_buckets: int) -> np.ndarray:
+    """Counts by bucket over all rows of ``texts``; each task sends one row of sums for each bucket that it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = per_worker("resampling words", dict)
-        total = np.zeros((2, n_buckets), np.int64)
+        total = np.zeros(n_buckets, np.int64)
         for batch in batches:
-            for label, text in zip(batch.column(1).to_pylist(), byte_texts(batch.column(0)), strict=True):
-                counts = np.bincount(buckets_of(text, n_buckets, kept), minlength=n_buckets)
-                total[0] += counts
-                if label == 1:
-                    total[1] += counts
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
+            for text in byte_texts(batch.column(0)):
+                total += np.bincount(buckets_of(text, n_buckets, kept), minlength=n_buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    sums = docs.select("text", label_col).mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
-    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
-    return raw, target
+    sums = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(n_buckets)
+    out[sums["bucket"]] = sums["n"]
+    return out
 
 
 def _weigh(ratio: np.ndarray):
@@ -67,54 +64,28 @@ def _weigh(ratio: np.ndarray):
     return run
 
 
-def kth_greatest(keys: DataFrame, key: str, tie: str, k: int, bins: int = 4096, few: int = 4096) -> tuple[float, int] | None:
-    """The (key, tie) of the row in place ``k`` by key falling, then tie rising, null last; None if there are fewer rows.
-
-    Histograms of ``bins`` counts narrow the range until it holds ``few`` rows or one key; only those are fetched.
-    """
-    span = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if span["n"] < k or k < 1:
-        return None
-    lo, hi, above, inside = span["lo"], span["hi"], 0, span["n"]
-    while inside > few and hi > lo:
-        width = (hi - lo) / bins
-        in_range = keys.filter(F.col(key).between(lo, hi))
-        histogram = in_range.groupBy(F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-        for row in sorted(histogram, key=lambda r: -r["bin"]):
-            if above + row["n"] >= k:
-                break
-            above += row["n"]
-        lo, hi, inside = row["lo"], row["hi"], row["n"]
-    left = keys.filter(F.col(key).between(lo, hi))
-    if inside <= few:
-        rows = sorted(((-r[0], r[1] is None, r[1] or 0) for r in left.select(key, tie).collect()))
-        return -rows[k - above - 1][0], rows[k - above - 1][2]
-    if key == "_tp_minus":  # rows of one key and one tie value
-        return hi, int(-hi)
-    # one key shared by many rows: the tie column is narrowed in the same way
-    found = kth_greatest(left.select((-F.col(tie).cast("double")).alias("_tp_minus"), tie), "_tp_minus", tie, k - above, bins, few)
-    return hi, found[1] if found else 0
-
-
 def gumbel(uniform: Column) -> Column:
     return -F.log(-F.log(F.greatest(uniform, F.lit(1e-15))))
 
 
-def resample_by_importance(docs: DataFrame, labels: DataFrame, share: float = 0.5, n_buckets: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", temperature: float = 1.0, alpha: float = 1.0, seed: int = 5) -> DataFrame:
+def resample_by_importance(docs: DataFrame, labels: DataFrame, share: float = 0.5, n_buckets: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", temperature: float = 1.0, alpha: float = 1.0, length_power: float = 0.0, seed: int = 5) -> DataFrame:
     """(id, n_words, log_weight, gumbel_key, selected) for each row; the ``share`` of rows with the greatest keys is selected.
 
-    The target model counts the rows that ``labels`` marks 1, the raw model all rows. log_weight is the mean log ratio of a
-    document's n-grams times the root of their number, so that long documents don't settle the draw by length alone.
-    Texts that are null or empty weigh 0; an id with several labels counts as the least; repeated rows share their draw,
-    and ties go to the smaller id; an empty table gives an empty result.
+    The raw model counts all rows, the target model those that ``labels`` marks 1. log_weight is the sum of the log ratios
+    of a document's n-grams, so the draw is in proportion to p_target / p_raw; ``length_power`` divides it by the number
+    of n-grams to that power (0: not at all). Texts that are null or empty weigh 0; an id with several labels counts as
+    the least; repeated rows share their draw, and ties go to the smaller id, a null one last; without a row marked 1 the
+    target model is even; an empty table gives an empty result; other columns are ignored.
     """
-    marks = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("_tp_label"))
+    marks = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("_tp_label")).filter("_tp_label = 1").select("doc_id")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    raw, target = model_counts(texts.join(marks, "doc_id", "left"), n_buckets, "_tp_label")
+    raw = model_counts(texts, n_buckets)
+    # one shuffle of the texts at every size: the marked ids grow with the labels and are no broadcast
+    target = model_counts(texts.filter("doc_id is not null").join(marks.hint("merge"), "doc_id", "left_semi"), n_buckets)
     ratio = np.log((target + alpha) / (target + alpha).sum()) - np.log((raw + alpha) / (raw + alpha).sum())
     weighed = texts.mapInArrow(_weigh(ratio), "doc_id long, n_words long, log_weight double")
-    grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    weighed = weighed.withColumn("log_weight", F.col("log_weight") / F.sqrt(grams))
+    if length_power:
+        weighed = weighed.withColumn("log_weight", F.col("log_weight") / F.pow(F.greatest(2 * F.col("n_words") - 1, F.lit(1)), F.lit(length_power)))
     keyed = saved(weighed.withColumn("gumbel_key", F.col("log_weight") / temperature + gumbel(id_uniform(seed, F.coalesce(F.col("doc_id"), F.lit(-1))))), "gumbel")
     k = round(share * keyed.count())
     edge = kth_greatest(keyed, "gumbel_key", "doc_id", k)

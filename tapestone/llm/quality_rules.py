@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_uniform, saved
+from .common import byte_texts, id_uniform, kth_greatest, saved
 
 # Fixed values.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct")
 FEATURES = ("word_length", "symbol_share", "upper_share", "distinct_share")
 
-_UPPER, _DIGIT, _SYMBOL = (bytes(1 if (chr(i).isupper() and i < 128) else 0 for i in range(256)), bytes(1 if 48 <= i < 58 else 0 for i in range(256)), bytes(1 if i in SYMBOLS else 0 for i in range(256)))
+_UPPER, _SYMBOL = (bytes(1 if 65 <= i < 91 else 0 for i in range(256)), bytes(1 if i in SYMBOLS else 0 for i in range(256)))
 
 
 def repeated_words(codes: np.ndarray, n: int = 8) -> int:
@@ -52,8 +52,8 @@ def statistics(text: bytes) -> tuple[int, ...]:
     chars = np.frombuffer(text, np.uint8)
     points = int(((chars & 0xC0) != 0x80).sum()) - sum(text.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
     lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
-    upper, digits, symbols = (sum(text.translate(t)) if len(text) < 64 else int(np.frombuffer(text.translate(t), np.uint8).sum(dtype=np.int64)) for t in (_UPPER, _DIGIT, _SYMBOL))
-    return n, points, symbols, len(lines) - len(set(lines)), repeated_words(codes) if len(known) < n else 0, len(lines), upper, digits, len(known)
+    upper, symbols = (sum(text.translate(t)) if len(text) < 64 else int(np.frombuffer(text.translate(t), np.uint8).sum(dtype=np.int64)) for t in (_UPPER, _SYMBOL))
+    return n, points, symbols, len(lines) - len(set(lines)), repeated_words(codes) if len(known) < n else 0, upper, len(known)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +149,17 @@ def calibrated_threshold(scored: DataFrame, labels: DataFrame, label_col: str, i
     return best_at
 
 
+def least_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows (all, if fewer) whose id's seeded hash is least; the edge is found by histograms, so no task sends more than it holds of them."""
+    drawn = rows.withColumn("_tp_u", id_uniform(seed, F.coalesce(F.col("doc_id"), F.lit(-1))))
+    edge = kth_greatest(drawn.select((-F.col("_tp_u")).alias("u"), "doc_id"), "u", "doc_id", n)
+    if edge is None:
+        return drawn
+    at = -edge[0]  # rows of one id share their hash: of those at the edge, as many as are wanting
+    below = drawn.filter(F.col("_tp_u") < at)
+    return below.unionByName(drawn.filter(F.col("_tp_u") == at).orderBy(*STATISTICS).limit(max(n - below.count(), 0)))
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trees: int = 100, tree_rows: int = 256, fit_rows: int = 20_000, keep_good: float = 0.99, seed: int = 7) -> DataFrame:
     """doc_id, STATISTICS, anomaly score, base_failed and kept for each row.
 
@@ -159,7 +170,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = saved(rule_statistics(docs, id_col, text_col), "rules")
-    sample = stats.filter(~base_failed).orderBy(id_uniform(seed, F.col("doc_id")), "doc_id").limit(fit_rows).toPandas()
+    sample = least_rows(stats.filter(~base_failed), fit_rows, seed).toPandas().sort_values(["_tp_u", *STATISTICS])
     forest = IsolationForest(_features({s: sample[s].to_numpy() for s in STATISTICS}), trees, tree_rows, seed)
     schema = ", ".join(["doc_id long", *(f"{s} long" for s in STATISTICS), "anomaly double"])
     scored = saved(stats.mapInArrow(_score(forest), schema), "anomaly")

@@ -33,7 +33,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS, columns=["doc_id"])
     return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "selected")
 
 
@@ -67,6 +67,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k) for k in pii.BASE_KINDS],
         F.sha2(F.array_join(F.transform(base, told), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", told), ",").alias("spans"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .common import saved
 
+FIXED_WIDTH = ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz")
 ADDED = ("bucket", "bucket_slot", "shard", "slot")
 
 
@@ -43,6 +44,12 @@ def _fisher_yates(seed: int, order: list[str]):
     return run
 
 
+def _sort_columns(docs: DataFrame, *first: str) -> list[str]:
+    """The columns that Arrow can order, ``first`` ones ahead: rows alike in all of these may change places."""
+    ordered = [c for c, t in docs.dtypes if t in (*FIXED_WIDTH, "string", "binary")]
+    return [*(c for c in first if c in ordered), *(c for c in ordered if c not in first)]
+
+
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot``, gapless from 0 in each shard.
 
@@ -54,12 +61,16 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, buck
     """
     docs = docs.drop(*ADDED)
     spark = docs.sparkSession
-    n_bytes = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64).alias("b")).first()["b"] or 0
+    wide = [c for c, t in docs.dtypes if t not in FIXED_WIDTH]
+    # text counts as it is, any other column that has no fixed width as JSON
+    sized = [F.octet_length(F.col(f"`{c}`").cast("string") if t in ("string", "binary") else F.to_json(F.struct(f"`{c}`"))) for c, t in docs.dtypes if c in wide]
+    size = sum((F.coalesce(x, F.lit(0)) for x in sized), F.lit(16 * len(docs.columns)))
+    n_bytes = docs.agg(F.sum(size).alias("b")).first()["b"] or 0
     n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes))
     dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id()), F.lit(n_buckets)).cast("int")
     schema = T.StructType([*docs.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("bucket_slot", T.LongType())])
     # the bucket is the partition, so that no bucket meets another
-    buckets = saved(docs.repartitionById(n_buckets, dealt).mapInArrow(_fisher_yates(seed, [id_col, text_col]), schema), "shards")
+    buckets = saved(docs.repartitionById(n_buckets, dealt).mapInArrow(_fisher_yates(seed, _sort_columns(docs, id_col, text_col)), schema), "shards")
 
     sizes = buckets.groupBy("bucket").count()
     n_rows = sizes.agg(F.sum("count")).first()[0] or 0

@@ -6,7 +6,6 @@ Blocks of texts are hashed as one array.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, id_uniform, saved
+from .common import byte_texts, id_uniform, kth_greatest, saved
 
 GRAMS, BITS, BLOCK = (3, 4, 5), 18, 1 << 20
 
@@ -162,24 +161,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(1 << BITS), 0.0)
     ratio = log_count_ratio(counts)
     telling = ratio != 0
-    sample: list[tuple[np.ndarray, np.ndarray]] = []
-    marks: list[int] = []
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(g[telling[g]].astype(np.int32), return_counts=True) for g in map(grams_of, byte_texts(batch.column(0)))]
             columns = [pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["grams", "counts", "label"])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1), batch.column(2)], ["grams", "counts", "label", "at"])
 
     drawn = labelled.withColumn("_tp_u", id_uniform(seed, F.col("_tp_id")))
+    held = []
     for label in (0, 1):
-        own, n = drawn.filter(F.col("label") == label), fit_rows // 2
-        # the edge comes from numbers alone, so that only texts under it are ordered
-        edge = own.select("_tp_u").orderBy("_tp_u").limit(n).agg(F.max("_tp_u")).first()[0]
-        least = own.filter(F.col("_tp_u") <= edge).orderBy("_tp_u", "_tp_id", "text").limit(n)
-        for grams, counts, mark in least.select("text", "label").mapInArrow(features, "grams binary, counts binary, label int").toLocalIterator():
-            sample.append((np.frombuffer(grams, np.int32), np.frombuffer(counts, np.int32)))
-            marks.append(mark)
+        own = drawn.filter(F.col("label") == label)
+        # the edge comes from numbers alone, and only texts under it are read; a repeated id gives one of its texts
+        edge = kth_greatest(own.select((-F.col("_tp_u")).alias("u"), "_tp_id").distinct(), "u", "_tp_id", fit_rows // 2)
+        least = own if edge is None else own.filter(F.col("_tp_u") <= -edge[0])
+        single = least.groupBy("_tp_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("_tp_u").alias("_tp_u"))
+        held += single.select("text", "label", "_tp_u").mapInArrow(features, "grams binary, counts binary, label int, at double").collect()
+    held.sort(key=lambda r: (r["label"], r["at"], r["grams"]))
+    sample = [(np.frombuffer(r["grams"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in held]
+    marks = [r["label"] for r in held]
+    del held
     weights, bias = fit_linear(sample, np.array(marks, np.float64), ratio, l2, steps)
     return Model(weights, bias)
 
@@ -199,8 +200,3 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     docs = docs.drop("toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
     return docs.mapInArrow(run, schema)
-
-
-def held_out(doc_id: int) -> bool:
-    """Whether the row is never learnt from: CRC-32 of the id as text, modulo 3, is 1."""
-    return zlib.crc32(str(doc_id).encode()) % 3 == 1

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("symbol",)
+#: Blocks that a scan composes before it goes from one such group to the next.
+SUPER = 256
+#: The width of a bucket of bar numbers in as-of joins, islands and running sums; of times it is a month.
+BUCKET = 4096
 
 
 def bar_index(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts") -> DataFrame:
@@ -45,15 +49,22 @@ def own_rows(df: DataFrame) -> DataFrame:
 def affine_scan(df: DataFrame, a: float, value: str, out: str, b: float | None = None, keys: Sequence[str] = KEYS, order: str = "bar", block: int = 512) -> DataFrame:
     """y[t] = a * y[t-1] + b * x[t], y[0] = x[0], over each series; ``b`` is 1 - a by default.
 
-    A block is one affine map of what comes in. The maps of a series, a row for each block, are composed first; then each
-    block is replayed with its own carry.
+    A block is one affine map of what comes in, and so are ``SUPER`` blocks on end. The maps of a series are composed first,
+    block after block inside each of these and then from one to the next; then each block is replayed with its own carry.
     """
     b = 1 - a if b is None else b
     step = f"if(e.o = 0, e.x, {a} * s + {b} * e.x)"
     blocks = df.groupBy(*keys, F.floor(F.col(order) / block).alias("_blk")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x")))).alias("e"))
     blocks = blocks.withColumn("_map", F.expr(f"struct(if(e[0].o = 0, 0d, pow({a}, size(e))) as a, aggregate(e, 0d, (s, e) -> {step}) as b)"))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_carry", F.aggregate(F.collect_list("_map").over(before), F.lit(0.0), lambda s, m: m["a"] * s + m["b"]))
+    compose = lambda s, m: F.struct((m["a"] * s["a"]).alias("a"), (m["a"] * s["b"] + m["b"]).alias("b"))
+    blocks = blocks.withColumn("_sup", F.floor(F.col("_blk") / SUPER))
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_map"))), lambda x: x["_map"])
+    supers = blocks.groupBy(*keys, "_sup").agg(F.aggregate(in_order, none, compose).alias("_all"))
+    before = Window.partitionBy(*keys).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    supers = supers.select(*keys, "_sup", F.aggregate(F.collect_list("_all").over(before), F.lit(0.0), lambda s, m: m["a"] * s + m["b"]).alias("_into"))
+    inside = Window.partitionBy(*keys, "_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(supers, [*keys, "_sup"]).withColumn("_carry", F.aggregate(F.collect_list("_map").over(inside), F.col("_into"), lambda s, m: m["a"] * s + m["b"]))
     replay = f"aggregate(e, struct(_carry as s, cast(array() as array<double>) as ys), (acc, e) -> named_struct('s', {step.replace(' s ', ' acc.s ')}, 'ys', concat(acc.ys, array({step.replace(' s ', ' acc.s ')}))), acc -> acc.ys)"
     ys = blocks.withColumn("_ys", F.expr(replay)).select(*keys, F.explode(F.arrays_zip(F.col("e.o").alias("o"), F.col("_ys").alias("y"))).alias("z"))
     return df.join(ys.select(*keys, F.col("z.o").alias(order), F.col("z.y").alias(out)), [*keys, order])
@@ -67,16 +78,30 @@ def range_join(points: DataFrame, bars: DataFrame, start: str, end: str, width:
     return left.join(right, [*keys, "_bucket"]).filter(F.col(order).between(F.col(start), F.col(end))).drop("_bucket")
 
 
+def _bucket(df: DataFrame, on: str) -> Column:
+    return F.date_trunc("month", F.col(on)) if dict(df.dtypes)[on].startswith(("timestamp", "date")) else F.floor(F.col(on) / BUCKET)
+
+
 def asof_backward(left: DataFrame, right: DataFrame, on: str, columns: Sequence[str], keys: Sequence[str] = KEYS, forward: bool = False) -> DataFrame:
-    """``left`` with ``columns`` of the last ``right`` row at or before it (first at or after it if ``forward``): a union and one window."""
+    """``left`` with ``columns`` of the last ``right`` row at or before it (first at or after it if ``forward``).
+
+    Both sides are cut into buckets of ``on``, each a union and one window; what no row of the bucket tells comes from the
+    nearest bucket before (after) that has one, a row for each bucket. No task holds a whole series.
+    """
     value = F.struct(*columns)
     own = [c for c in left.columns if c not in (*keys, on)]
-    sides = left.select(*keys, on, F.lit(not forward).cast("int").alias("_side"), F.struct(*own).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v")).unionByName(
-        right.select(*keys, on, F.lit(int(forward)).alias("_side"), F.lit(None).cast(left.select(F.struct(*own).alias("v")).schema["v"].dataType).alias("_row"), value.alias("_v"))
+    sides = left.select(*keys, on, F.lit(1).alias("_side"), F.struct(*own).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v")).unionByName(
+        right.select(*keys, on, F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*own).alias("v")).schema["v"].dataType).alias("_row"), value.alias("_v"))
     )
-    w = Window.partitionBy(*keys).orderBy(on, "_side")
-    found = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return sides.withColumn("_v", found).filter("_row is not null").select(*keys, on, "_row.*", *[F.col(f"_v.{c}").alias(c) for c in columns])
+    sides = sides.withColumn("_bkt", _bucket(left, on))
+    place = lambda c: F.col(c).desc() if forward else F.col(c)
+    edges = sides.groupBy(*keys, "_bkt").agg((F.min_by if forward else F.max_by)("_v", F.when(F.col("_v").isNotNull(), F.col(on))).alias("_e"))
+    carried = F.last("_e", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(place("_bkt")).rowsBetween(Window.unboundedPreceding, -1))
+    carries = edges.select(*keys, "_bkt", carried.alias("_c"))
+    w = Window.partitionBy(*keys, "_bkt").orderBy(place(on), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = sides.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_row is not null").join(carries, [*keys, "_bkt"], "left")
+    found = found.withColumn("_v", F.coalesce("_v", "_c"))
+    return found.select(*keys, on, "_row.*", *[F.col(f"_v.{c}").alias(c) for c in columns])
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -91,11 +116,29 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, columns: Sequence[s
     return both.select(*left.columns, *[F.when(earlier, F.col(f"_before.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
+def running_sum(df: DataFrame, value: str, out: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``out``: the sum of ``value`` up to and with each row of its series, by sums inside buckets of the first ``order`` column and of buckets."""
+    df = df.withColumn("_bkt", _bucket(df, order[0]))
+    starts = df.groupBy(*keys, "_bkt").agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(*keys, "_bkt", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_into"))
+    inside = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.sum(value).over(inside)).join(starts, [*keys, "_bkt"]).withColumn(out, F.col(out) + F.col("_into")).drop("_bkt", "_into")
+
+
 def islands(df: DataFrame, gap: int, keys: Sequence[str], order: str = "bar") -> DataFrame:
-    """``island``: a new one wherever a row is more than ``gap`` after the row before it in its series."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """``island``: a new one wherever a row is more than ``gap`` after the row before it in its series.
+
+    A row's predecessor matters only within ``gap``, so halo blocks tell where islands begin; a running sum numbers them.
+    """
+    held, w = blocked(df, gap, keys=keys, order=order, block=max(BUCKET, 2 * gap + 1))
     new = (F.col(order) - F.lag(order).over(w) > gap).cast("int")
-    return df.withColumn("_new", F.coalesce(new, F.lit(1))).withColumn("island", F.sum("_new").over(w)).drop("_new")
+    return running_sum(own_rows(held.withColumn("_new", F.coalesce(new, F.lit(1)))), "_new", "island", keys, [order]).drop("_new")
+
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``place``, the 0-based place of each row of its series in ``order``: a running count."""
+    return running_sum(df.withColumn("_one", F.lit(1)), "_one", "place", keys, order).withColumn("place", (F.col("place") - 1).cast("long")).drop("_one")
 
 
 def greedy_cooldown(df: DataFrame, k: int, keys: Sequence[str], order: str = "bar", inclusive: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import bar_index
+from ..plans.layout import bar_index, blocked, own_rows
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -86,7 +86,7 @@ def ohlc_counts(bars: DataFrame) -> DataFrame:
 
 def gaps(bars: DataFrame, step_minutes: int) -> DataFrame:
     """Bars that follow a gap, classified by its length, hour and weekday."""
-    w = Window.partitionBy("symbol").orderBy("bar")
-    out = bars.withColumn("previous", F.lag("ts").over(w)).withColumn("minutes", ((F.unix_timestamp("ts") - F.unix_timestamp("previous")) / 60).cast("long")).filter(F.col("minutes") > step_minutes)
+    held, w = blocked(bars, 1)
+    out = own_rows(held.withColumn("previous", F.lag("ts").over(w))).withColumn("minutes", ((F.unix_timestamp("ts") - F.unix_timestamp("previous")) / 60).cast("long")).filter(F.col("minutes") > step_minutes)
     kind = F.expr("case when minutes >= 2880 then 'holiday' when weekday(previous) >= 4 and minutes >= 1440 then 'weekend' when hour(previous) >= 20 then 'daily_break' else 'short_gap' end")
     return out.select("symbol", "bar", "minutes", kind.alias("kind"))

@@ -208,3 +208,13 @@ def confirm_cooldown(events: DataFrame, k: int, at: str = "confirm_bar", score:
     best = F.row_number().over(Window.partitionBy(*keys, at).orderBy(F.col(score).desc(), "start_bar", "end_bar"))
     single = events.withColumn("_n", best).filter("_n = 1").drop("_n")
     return greedy_cooldown(single, k, keys, at, inclusive=True)
+
+
+def opposite_overlaps(events: DataFrame, width: int = 64) -> DataFrame:
+    """Pairs of a bullish and a bearish event of one symbol whose structures' spans meet, and whether a neckline of one lies in the other's span; spans meet in buckets of ``width`` bars, however long they are."""
+    spans = events.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_bar") / width), F.floor(F.col("end_bar") / width))))
+    side = lambda d, p: spans.filter(F.col("direction") == d).select("symbol", "_b", F.col("event_id").alias(f"{d}_id"), F.col("start_bar").alias(f"{p}a"), F.col("end_bar").alias(f"{p}z"), F.col("neck_bar").alias(f"{p}n"))
+    both = side("bullish", "x").join(side("bearish", "y"), ["symbol", "_b"]).filter("xa <= yz and ya <= xz")
+    # a pair counts in the first bucket that both reach
+    both = both.filter(F.col("_b") == F.floor(F.greatest("xa", "ya") / width))
+    return both.select("symbol", "bullish_id", "bearish_id", F.expr("coalesce(xn between ya and yz, false) or coalesce(yn between xa and xz, false)").alias("neck_inside"))

@@ -101,3 +101,12 @@ def add_confirm_context(bars: DataFrame, back: int = 24, atr_back: int = 200) ->
         "place": F.when(high > low, (F.col("close") - low) / (high - low)).otherwise(0.5), "volume_ratio": F.when(mean > 0, F.col("volume") / mean).otherwise(1.0),
     })
     return own_rows(df)
+
+
+def add_anatomy(bars: DataFrame) -> DataFrame:
+    """``close_location`` in the bar's range, ``body_size``, and ``wick_balance`` (upper wick over lower); null where a divisor is 0."""
+    low_wick = F.least("open", "close") - F.col("low")
+    return bars.withColumns({
+        "close_location": (F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), "body_size": F.abs(F.col("close") - F.col("open")),
+        "wick_balance": (F.col("high") - F.greatest("open", "close")) / F.nullif(low_wick, F.lit(0.0)),
+    })

@@ -100,7 +100,7 @@ def _wedge_sql(p: dict) -> str:
     own = line.replace("c.", "")
     return f"""{ATR}{MED}{_swings_sql(p['left'])}{_channel_sql(p)}{_entered_sql('chan', 'w4', line.format('b.bar'), p['max_wait'])},
 w5 AS (SELECT *, CASE WHEN sgn > 0 THEN least(price0, price1, price2) ELSE highest END - sgn * 0.5 * atr_k AS stop FROM w4),
-wedged AS (SELECT *, CASE WHEN direction = 'bullish' THEN 'falling_wedge' ELSE 'rising_wedge' END AS pattern, entry + sgn * 1.5 * abs(entry - stop) AS target, depth / atr_k AS depth_atr, line_error AS offset_atr, CAST(NULL AS VARCHAR) AS discard_reason, CAST(NULL AS BIGINT) AS neck_bar,
+wedged AS (SELECT *, CASE WHEN direction = 'bullish' THEN 'falling_wedge' ELSE 'rising_wedge' END AS pattern, entry + sgn * 1.5 * abs(entry - stop) AS target, depth / atr_k AS depth_atr, line_error AS offset_atr, CAST(NULL AS VARCHAR) AS discard_reason, CAST(NULL AS BIGINT) AS neck_bar, mid_bar - start_bar AS left_len, end_bar - mid_bar AS right_len, {own.format('detect_bar')} AS neckline,
  least(1.0, 0.35 * least(depth / atr_k / {p['min_depth']}, 1) + 0.25 * least(greatest(convergence, 0) / 0.3, 1) + 0.20 * least(inside, 1) + 0.20 * least(sgn * (confirm_close - {own.format('confirm_bar')}) / atr_k, 1)) AS rule_score FROM w5 WHERE abs(entry - stop) > 0)"""
 
 
@@ -165,10 +165,10 @@ PLAN = [
     {"detector": "wedge", "params": WEDGE, "cooldown": 5, "state": "live"},
 ]
 _WIDE = {**DOUBLE, "max_length": 10**9, "min_score": 0.0}
-_EV = "symbol, direction, pattern, start_bar, neck_bar, end_bar, detect_bar, confirm_bar, entry_bar, entry, stop, target, rule_score, depth_atr"
+_EV = "symbol, direction, pattern, start_bar, neck_bar, end_bar, detect_bar, confirm_bar, entry_bar, entry, stop, target, neckline, rule_score, depth_atr, offset_atr, left_len, right_len"
 #: The swings of the wedges reach one bar, those of the other patterns two: each family is its own WITH inside one.
-ALL = f"""dbl AS (WITH {BARS}{_double_sql(_WIDE)} SELECT {_EV}, offset_atr, CAST(NULL AS VARCHAR) AS discard_reason FROM doubles),
-hns AS (WITH {BARS}{_heads_sql(HEADS)} SELECT {_EV}, offset_atr, discard_reason FROM heads), wdg AS (WITH {BARS}{_wedge_sql(WEDGE)} SELECT {_EV}, offset_atr, discard_reason FROM wedged),
+ALL = f"""dbl AS (WITH {BARS}{_double_sql(_WIDE)} SELECT {_EV}, CAST(NULL AS VARCHAR) AS discard_reason FROM doubles),
+hns AS (WITH {BARS}{_heads_sql(HEADS)} SELECT {_EV}, discard_reason FROM heads), wdg AS (WITH {BARS}{_wedge_sql(WEDGE)} SELECT {_EV}, discard_reason FROM wedged),
 {_settled_sql('dbl', 'sd', 3)}, {_settled_sql('hns', 'sh', 5)}, {_settled_sql('wdg', 'sw', 5)},
 found AS (SELECT {_EV}, 'live' AS lifecycle_state FROM sd UNION ALL SELECT {_EV}, 'shadow' FROM sh UNION ALL SELECT {_EV}, 'live' FROM sw)"""
 

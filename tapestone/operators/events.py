@@ -273,3 +273,43 @@ def equal_levels(bars: DataFrame, tolerance: float = 0.1, min_touches: int = 2,
 
     sides = F.explode(F.array(F.struct(F.lit("L").alias("kind"), F.col("low").alias("price")), F.struct(F.lit("H").alias("kind"), F.col("high").alias("price")))).alias("s")
     return bars.select("symbol", F.col("bar").cast("long").alias("bar"), "atr", sides).select("symbol", "bar", "atr", "s.kind", "s.price").groupBy("symbol", "kind").applyInPandas(run, EQUAL)
+
+
+def bar_at(rows: DataFrame, bars: DataFrame, ts: str = "ts", out: str = "bar", strict: bool = True) -> DataFrame:
+    """``rows`` with the bar of exactly their time; without one, an error if ``strict``, else the row goes."""
+    places = bars.select("symbol", F.col("ts").alias(ts), F.col("bar").alias(out))
+    if not strict:
+        return rows.join(places, ["symbol", ts])
+    found = rows.join(places, ["symbol", ts], "left")
+    absent = F.raise_error(F.concat_ws(" ", F.lit("no bar at"), F.col("symbol"), F.col(ts).cast("string"))).cast("long")
+    return found.withColumn(out, F.coalesce(F.col(out), absent))
+
+
+def labelled(features: DataFrame, labels: DataFrame, key: str = "event_id") -> DataFrame:
+    """Features and labels of one event; a column that both have comes from the features."""
+    more = [c for c in labels.columns if c == key or c not in features.columns]
+    return features.join(labels.select(*more), key)
+
+
+def structure_box(events: DataFrame, bars: DataFrame, start: str = "start_bar", end: str = "end_bar", width: int = 256) -> DataFrame:
+    """(symbol, start, end, box_low, box_high): the price range of the bars between an event's anchors, both included."""
+    keys = ["symbol", start, end]
+    span = events.select(*keys).distinct().withColumn("_from", F.col(start)).withColumn("_to", F.col(end))
+    return range_join(span, bars.select("symbol", "bar", "high", "low"), "_from", "_to", width).groupBy(*keys).agg(F.min("low").alias("box_low"), F.max("high").alias("box_high"))
+
+
+def levels_near(events: DataFrame, levels: DataFrame, unit: float, within_atr: float = 1.0, price: str = "close") -> DataFrame:
+    """(symbol, direction, bar, n_levels, nearest): levels known by an event's bar within ``within_atr`` ATR of its price, by buckets of price ``unit`` wide."""
+    keys = ["symbol", "direction", "bar"]
+    reach = F.col("atr") * within_atr
+    spread = events.select(*keys, "atr", F.col(price).alias("_p")).filter("atr is not null").withColumn("_b", F.explode(F.sequence(F.floor((F.col("_p") - reach) / unit), F.floor((F.col("_p") + reach) / unit))))
+    priced = levels.select("symbol", "known_bar", F.col("price").alias("_l")).withColumn("_b", F.floor(F.col("_l") / unit))
+    near = spread.join(priced, ["symbol", "_b"]).filter((F.col("known_bar") <= F.col("bar")) & (F.abs(F.col("_l") - F.col("_p")) <= reach))
+    found = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_levels"), F.min(F.abs(F.col("_l") - F.col("_p"))).alias("nearest"))
+    return events.select(*keys).join(found, keys, "left").withColumn("n_levels", F.coalesce("n_levels", F.lit(0)))
+
+
+def signal_rows(events: DataFrame, probability: float = 0.5) -> DataFrame:
+    """The record that is sent for a group's representative: prices to five places, scores to four, a missing probability as ``probability``."""
+    r = lambda c, n: F.round(c, n).alias(c)
+    return events.select("symbol", "direction", "event_id", r("entry", 5), r("stop", 5), r("target", 5), r("rule_score", 4), F.round(F.coalesce("model_prob", F.lit(probability)), 4).alias("model_prob"))

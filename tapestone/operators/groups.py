@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
+from ..plans.layout import placed, running_sum
 
 
 def correlated_groups(events: DataFrame, window: int, price_atr: float, keys: Sequence[str] = ("symbol", "direction"), order: str = "bar", row_id: str = "event_id") -> DataFrame:
@@ -166,3 +167,41 @@ def balanced_sample(rows: DataFrame, strata: Sequence[str], side: str, row_id: s
     few = rows.withColumn("_r", inside).filter(F.col("_r") <= quota)
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy("_r", side))
     return few.withColumn("rank", turn).filter(F.col("rank") <= quota).drop("_r")
+
+
+def resolved_groups(events: DataFrame, mode: str, priority: Column, window: int = 12, price_atr: float = 1.0, row_id: str = "event_id", atr: Column | None = None) -> DataFrame:
+    """Events by how correlated ones are treated: ``dedup`` (all but the best of a group get a discard reason), ``confluence`` (one row for each group), or ``independent`` (each its own group).
+
+    ``atr`` resolves an event's ATR; by default it is the column ``atr``.
+    """
+    if mode == "independent":
+        return events.withColumn("group_id", F.col(row_id)).withColumn("discard_reason", F.lit(None).cast("string"))
+    if mode not in ("dedup", "confluence"):
+        raise ValueError(f"no mode {mode}")
+    grouped = correlated_groups(events if atr is None else events.withColumn("atr", atr), window, price_atr, row_id=row_id)
+    return best_of_group(grouped, priority, row_id) if mode == "dedup" else confluence(grouped, priority, row_id=row_id)
+
+
+def totals_gate(trades: DataFrame, most_total: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``n_all``: earlier trades of all series still open at a trade's entry, and ``refused`` where that reaches ``most_total``.
+
+    Entries and exits of all series are counted by bar first, so that one running sum over bars is enough.
+    """
+    moves = trades.select(F.col("entry_bar").alias("at"), F.lit(1).alias("delta")).unionByName(trades.select(F.col("exit_bar").alias("at"), F.lit(-1).alias("delta")))
+    by_bar = moves.groupBy("at").agg(F.sum(F.when(F.col("delta") < 0, F.col("delta")).otherwise(0)).alias("out"), F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0)).alias("in"))
+    summed = running_sum(by_bar.withColumn("one", F.lit(1)).withColumn("net", F.col("in") + F.col("out")), "net", "open", ("one",), ["at"])
+    # those that enter at the bar itself are no earlier trades
+    return trades.join(summed.select(F.col("at").alias("entry_bar"), (F.col("open") - F.col("in")).alias("n_all")), "entry_bar").withColumn("refused", F.when(F.col("n_all") >= most_total, "max_total"))
+
+
+def expanding_folds(rows: DataFrame, folds: int, order: Sequence[str], least_train: int = 10, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``walk_forward``'s (fold, role) rows of those folds that train on ``least_train`` rows or more."""
+    out = walk_forward(rows, folds, order, keys)
+    trained = F.count_if(F.col("role") == "train").over(Window.partitionBy(*keys, "fold"))
+    return out.withColumn("_n", trained).filter(F.col("_n") >= least_train).drop("_n")
+
+
+def placed_all(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``place`` from 1 of each row of the whole table by ``order``, counted in buckets of its first column."""
+    numbered = placed(rows.withColumn("_all", F.lit(1)), ("_all",), order)
+    return numbered.withColumn("place", F.col("place") + 1).drop("_all")

@@ -18,7 +18,11 @@ from ..plans.layout import blocked, own_rows, placed, range_join
 from . import events as ev
 
 EVENT = ("symbol", "pattern", "direction", "start_bar", "neck_bar", "end_bar", "detect_bar", "cross_bar", "confirm_bar", "entry_bar", "entry", "stop", "target", "neckline", "rule_score", "depth_atr", "offset_atr", "left_len", "right_len", "discard_reason")
-SIDE = F.when(F.col("direction") == "bullish", 1.0).otherwise(-1.0)
+
+
+def side() -> Column:
+    """1 for bullish rows, -1 for bearish ones."""
+    return F.when(F.col("direction") == "bullish", 1.0).otherwise(-1.0)
 
 
 def swing_chains(swings: DataFrame, n: int, kinds: Sequence[str] = ("L", "H")) -> DataFrame:
@@ -37,7 +41,7 @@ def _crossed(rows: DataFrame, bars: DataFrame, level: Column, max_wait: int) ->
     """``rows`` (by symbol, direction, start_bar, end_bar) with ``cross_bar``, the first of ``max_wait`` bars after the end that closes beyond ``level`` (which may use ``bar``)."""
     keys = ["symbol", "direction", "start_bar", "end_bar"]
     span = rows.withColumn("_from", F.col("end_bar") + 1).withColumn("_to", F.col("end_bar") + max_wait)
-    beyond = SIDE * (F.col("close") - level) > 0
+    beyond = side() * (F.col("close") - level) > 0
     found = range_join(span, bars.select("symbol", "bar", "close"), "_from", "_to", max_wait).filter(beyond).groupBy(*keys).agg(F.min("bar").alias("cross_bar"))
     return rows.join(found, keys)
 
@@ -80,18 +84,18 @@ def double_patterns(
     inner, outer = (F.when(F.col("kind0") == "L", f("price0", "price2")).otherwise(g("price0", "price2")) for f, g in ((F.greatest, F.least), (F.least, F.greatest)))
     rows = rows.withColumns({
         "start_bar": F.col("bar0"), "neck_bar": F.col("bar1"), "end_bar": F.col("bar2"), "neckline": F.col("price1"), "left_len": F.col("bar1") - F.col("bar0"), "right_len": F.col("bar2") - F.col("bar1"),
-        "depth": SIDE * (F.col("price1") - inner), "extreme": outer, "offset_atr": F.abs(F.col("price0") - F.col("price2")) / F.col("atr_k"),
+        "depth": side() * (F.col("price1") - inner), "extreme": outer, "offset_atr": F.abs(F.col("price0") - F.col("price2")) / F.col("atr_k"),
     })
     rows = rows.filter((F.least("left_len", "right_len") >= min_apart) & (F.col("offset_atr") <= max_offset) & (F.col("depth") >= min_depth * F.col("atr_k")) & (F.col("depth") >= 0))
     rows = _entered(_crossed(rows, bars, F.col("neckline"), max_wait), bars)
-    wide = F.col("extreme") - SIDE * buffer * F.col("atr_k")
-    tight = F.col("neckline") - SIDE * buffer * F.col("atr_k")
-    ok = (SIDE * (tight - wide) > 0) & (SIDE * (F.col("entry") - tight) > 0)
+    wide = F.col("extreme") - side() * buffer * F.col("atr_k")
+    tight = F.col("neckline") - side() * buffer * F.col("atr_k")
+    ok = (side() * (tight - wide) > 0) & (side() * (F.col("entry") - tight) > 0)
     rows = rows.withColumn("stop", F.when(ok, tight).otherwise(wide) if stop_mode == "neckline" else wide).withColumn("risk", F.abs(F.col("entry") - F.col("stop"))).filter("risk > 0")
     far = fixed_target * F.col("atr_k") if fixed_target > 0 else reward * F.col("risk")
     far = F.least(far, target_cap * F.col("atr_k")) if target_cap > 0 else far
-    rows = rows.withColumn("_far", far).filter(F.col("_far") / F.col("risk") >= min_reward).withColumn("target", F.col("entry") + SIDE * F.col("_far")).withColumn("depth_atr", F.col("depth") / F.col("atr_k"))
-    reclaim = SIDE * (F.col("confirm_close") - F.col("neckline")) / F.col("atr_k")
+    rows = rows.withColumn("_far", far).filter(F.col("_far") / F.col("risk") >= min_reward).withColumn("target", F.col("entry") + side() * F.col("_far")).withColumn("depth_atr", F.col("depth") / F.col("atr_k"))
+    reclaim = side() * (F.col("confirm_close") - F.col("neckline")) / F.col("atr_k")
     # fixed weights: depth, symmetry, likeness of the extremes, reclaim
     rows = rows.withColumn("rule_score", F.least(F.lit(1.0), 0.40 * _share(F.col("depth_atr"), min_depth) + 0.25 * _symmetry() + 0.20 * (1.0 - _share(F.col("offset_atr"), max_offset)) + 0.15 * F.least(reclaim, F.lit(1.0))))
     reason = F.when(F.lit(max_length > 0) & (F.col("end_bar") - F.col("start_bar") > max_length), "pattern_too_long").when(F.col("rule_score") < min_score, "low_rule_score")
@@ -126,13 +130,13 @@ def head_shoulders(
     rows = _atr_at(rows, bars, "detect_bar", "atr_k").filter("atr_k > 0").join(median_ranges(bars), "symbol")
     neck = F.when(F.col("kind0") == "L", F.least("price1", "price3")).otherwise(F.greatest("price1", "price3"))
     rows = rows.withColumns({"start_bar": F.col("bar0"), "neck_bar": F.col("bar1"), "end_bar": F.col("bar4"), "neckline": neck, "left_len": F.col("bar2") - F.col("bar0"), "right_len": F.col("bar4") - F.col("bar2"), "head": F.col("price2")})
-    rows = rows.withColumns({"depth": SIDE * (F.col("neckline") - F.col("head")), "offset_atr": F.abs(F.col("price0") - F.col("price4")) / F.col("atr_k"), "neck_offset": F.abs(F.col("price1") - F.col("price3")) / F.col("atr_k")})
-    beyond = (SIDE * (F.col("price0") - F.col("head")) > 0) & (SIDE * (F.col("price4") - F.col("head")) > 0)
+    rows = rows.withColumns({"depth": side() * (F.col("neckline") - F.col("head")), "offset_atr": F.abs(F.col("price0") - F.col("price4")) / F.col("atr_k"), "neck_offset": F.abs(F.col("price1") - F.col("price3")) / F.col("atr_k")})
+    beyond = (side() * (F.col("price0") - F.col("head")) > 0) & (side() * (F.col("price4") - F.col("head")) > 0)
     deep = (F.col("depth") >= min_head * F.col("atr_k")) & (F.col("depth") >= min_head_ranges * F.col("median_range"))
     rows = rows.filter(beyond & deep & (F.col("offset_atr") <= max_shoulder) & (F.col("neck_offset") <= max_neck) & (F.col("end_bar") - F.col("start_bar") >= min_bars))
     rows = _entered(_crossed(rows, bars, F.col("neckline"), max_wait), bars)
-    rows = rows.withColumn("stop", F.col("head") - SIDE * buffer * F.col("atr_k")).withColumn("risk", F.abs(F.col("entry") - F.col("stop"))).filter("risk > 0").withColumn("target", F.col("entry") + SIDE * reward * F.col("risk"))
-    pierce = SIDE * (F.col("confirm_close") - F.col("neckline")) / F.col("atr_k")
+    rows = rows.withColumn("stop", F.col("head") - side() * buffer * F.col("atr_k")).withColumn("risk", F.abs(F.col("entry") - F.col("stop"))).filter("risk > 0").withColumn("target", F.col("entry") + side() * reward * F.col("risk"))
+    pierce = side() * (F.col("confirm_close") - F.col("neckline")) / F.col("atr_k")
     # fixed weights: head, shoulders, necklines, symmetry, pierce
     score = 0.40 * _share(F.col("depth") / F.col("atr_k"), min_head) + 0.20 * (1.0 - _share(F.col("offset_atr"), max_shoulder)) + 0.15 * (1.0 - _share(F.col("neck_offset"), max_neck)) + 0.15 * _symmetry() + 0.10 * F.least(pierce, F.lit(1.0))
     rows = rows.withColumn("rule_score", F.least(F.lit(1.0), score)).withColumn("depth_atr", F.col("depth") / F.col("atr_k")).withColumn("discard_reason", F.lit(None).cast("string"))
@@ -178,7 +182,7 @@ def channels(
     longest = 512  # the width of the join's buckets, not a limit
     highs = range_join(lows.select(*keys, "direction", (F.col("start_bar") + 1).alias("_from"), (F.col("end_bar") - 1).alias("_to")), at, "_from", "_to", longest)
     step = F.lag("price").over(Window.partitionBy(*keys).orderBy("bar"))
-    highs = highs.withColumn("_right", F.coalesce(SIDE * (step - F.col("price")) > 0, F.lit(True))).withColumn("_all", F.min(F.col("_right").cast("int")).over(Window.partitionBy(*keys))).filter("_all = 1").select(*keys, "bar", "price")
+    highs = highs.withColumn("_right", F.coalesce(side() * (step - F.col("price")) > 0, F.lit(True))).withColumn("_all", F.min(F.col("_right").cast("int")).over(Window.partitionBy(*keys))).filter("_all = 1").select(*keys, "bar", "price")
     highs = saved(highs, "channel-highs")
     upper = fitted_line(highs, keys, "upper")
     edges = highs.groupBy(*keys).agg(F.min("bar").alias("first_high"), F.max("bar").alias("last_high"), F.max("price").alias("highest"))
@@ -215,8 +219,8 @@ def wedges(bars: DataFrame, buffer: float = 0.5, reward: float = 1.5, max_wait:
     rows = _entered(_crossed(rows, bars, level, max_wait), bars)
     line = lambda bar: F.when(F.col("direction") == "bullish", line_at("upper", F.col(bar))).otherwise(line_at("lower", F.col(bar)))
     edge = F.when(F.col("direction") == "bullish", F.least("price0", "price1", "price2")).otherwise(F.col("highest"))
-    rows = rows.withColumn("stop", edge - SIDE * buffer * F.col("atr_k")).withColumn("risk", F.abs(F.col("entry") - F.col("stop"))).filter("risk > 0").withColumn("target", F.col("entry") + SIDE * reward * F.col("risk"))
-    pierce = SIDE * (F.col("confirm_close") - line("confirm_bar")) / F.col("atr_k")
+    rows = rows.withColumn("stop", edge - side() * buffer * F.col("atr_k")).withColumn("risk", F.abs(F.col("entry") - F.col("stop"))).filter("risk > 0").withColumn("target", F.col("entry") + side() * reward * F.col("risk"))
+    pierce = side() * (F.col("confirm_close") - line("confirm_bar")) / F.col("atr_k")
     # fixed weights: depth, convergence, share inside, pierce
     score = 0.35 * _share(F.col("depth") / F.col("atr_k"), min_depth) + 0.25 * _share(F.greatest(F.col("convergence"), F.lit(0.0)), 0.3) + 0.20 * F.least(F.col("inside"), F.lit(1.0)) + 0.20 * F.least(pierce, F.lit(1.0))
     rows = rows.withColumns({
@@ -264,7 +268,7 @@ def plain_detections(bars: DataFrame, look: int = 3, lookahead: int = 14, line_l
     three = swing_chains(found, 3).filter(f"kind0 = kind2 and kind0 <> kind1 and bar1 - bar0 >= {look} and bar2 - bar1 >= {look}").join(unit, "symbol")
     three = three.withColumn("direction", F.when(F.col("kind0") == "L", "bullish").otherwise("bearish")).withColumn("start_bar", F.col("bar0")).withColumn("end_bar", F.col("bar2")).withColumn("neckline", F.col("price1"))
     inner = F.when(F.col("kind0") == "L", F.greatest("price0", "price2")).otherwise(F.least("price0", "price2"))
-    three = three.filter((SIDE * (F.col("price1") - inner) >= 5.0 * F.col("median_range")) & (F.abs(F.col("price0") - F.col("price2")) <= F.col("median_range")))
+    three = three.filter((side() * (F.col("price1") - inner) >= 5.0 * F.col("median_range")) & (F.abs(F.col("price0") - F.col("price2")) <= F.col("median_range")))
     doubles = _named(_crossed(three, bars, F.col("neckline"), lookahead), ("double_bottom", "double_top"))
 
     five = swing_chains(found, 5)
@@ -272,7 +276,7 @@ def plain_detections(bars: DataFrame, look: int = 3, lookahead: int = 14, line_l
         five = five.filter(f"kind{i} <> kind{i - 1} and bar{i} > bar{i - 1}")
     five = five.join(unit, "symbol").withColumn("direction", F.when(F.col("kind0") == "L", "bullish").otherwise("bearish")).withColumn("start_bar", F.col("bar0")).withColumn("end_bar", F.col("bar4"))
     five = five.withColumn("neckline", F.when(F.col("kind0") == "L", F.least("price1", "price3")).otherwise(F.greatest("price1", "price3")))
-    five = five.filter((SIDE * (F.col("neckline") - F.col("price2")) >= 5.0 * F.col("median_range")) & (F.abs(F.col("price1") - F.col("price3")) <= 0.8 * F.col("median_range")))
+    five = five.filter((side() * (F.col("neckline") - F.col("price2")) >= 5.0 * F.col("median_range")) & (F.abs(F.col("price1") - F.col("price3")) <= 0.8 * F.col("median_range")))
     heads = _named(_crossed(five, bars, F.col("neckline"), line_lookahead), ("inverse_head_shoulders", "head_shoulders"))
 
     narrow = channels(saved(scaled, "scaled-bars"), look, look, 1, 3.0, 3.0, 1, float("inf"), 1e-12, 0.0, 0.8)

@@ -184,3 +184,156 @@ def unavailable(events: DataFrame, stamps: dict[str, str], known: str = "known_a
     """(event columns, feature): declared features whose stamp column is missing or later than ``known``."""
     late = [F.when(F.coalesce(F.col(c) > F.col(known), F.lit(True)), F.lit(f)) for f, c in stamps.items()]
     return events.withColumn("feature", F.explode(F.array_compact(F.array(*late))))
+
+
+def classification_report(scored: DataFrame, keys: Sequence[str], label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
+    """n, accuracy, precision, recall and F1 at ``threshold``; a ratio without a denominator is 0."""
+    said, true = F.col(score) >= threshold, F.col(label) == 1
+    hits = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn"))
+    ratio = lambda a, b: F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+    out = hits.withColumn("precision", ratio("tp", F.col("tp") + F.col("fp"))).withColumn("recall", ratio("tp", F.col("tp") + F.col("fn"))).withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.col("n"))
+    f1 = 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))
+    return out.select(*keys, "n", "accuracy", "precision", "recall", F.coalesce(f1, F.lit(0.0)).alias("f1"))
+
+
+def symmetric_co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(a, b, share): the mean of the shares of a's groups with b and of b's groups with a; 1 for an item with itself, 0 for a pair that never meets."""
+    held = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    sizes = held.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    # a group counts once for each set of items in it: pairs are formed of sets, of which there are few, and not of groups
+    sets = held.groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    both = sets.select("c", "s", F.explode("s").alias("a")).select("c", "a", F.explode("s").alias("b")).groupBy("a", "b").agg(F.sum("c").alias("both"))
+    every = sizes.select(F.col("i").alias("a"), F.col("n").alias("na")).crossJoin(sizes.select(F.col("i").alias("b"), F.col("n").alias("nb")))
+    mean = F.when(F.col("a") == F.col("b"), 1.0).otherwise((F.coalesce("both", F.lit(0)) / F.col("na") + F.coalesce("both", F.lit(0)) / F.col("nb")) / 2)
+    return every.join(both, ["a", "b"], "left").select("a", "b", mean.alias("share"))
+
+
+def asset_performance(trades: DataFrame, breakeven: float, keys: Sequence[str] = ("symbol",), gross: str = "result_r", net: str = "net_r") -> DataFrame:
+    """Trades, win rate, profit factor of the gross results, mean net result with its normal 95 % bounds (0 under four trades), and whether the mean is above ``breakeven``."""
+    x = F.col(net)
+    half = 1.96 * F.stddev_samp(x) / F.sqrt(F.count(x).cast("double"))
+    bound = lambda sign: F.when(F.count(x) >= 4, F.avg(x) + sign * half).otherwise(0.0)
+    return trades.groupBy(*keys).agg(F.count(x).alias("trades"), F.avg((x > 0).cast("double")).alias("win_rate"), profit_factor(F.col(gross)).alias("pf"), F.avg(x).alias("mean_r"), bound(-1).alias("low"), bound(1).alias("high"), (F.avg(x) > breakeven).alias("above_breakeven"))
+
+
+def event_statistics(events: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """Events a year (of 365.25 days over the span of ``ts``), medians and 90 % quantiles of target, risk and reward in ATR and risks, and counts by exit."""
+    years = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / (365.25 * 86400 * 1e6)
+    target = F.abs(F.col("target") - F.col("entry"))
+    shares = {"target_atr": target / F.nullif(F.col("atr"), F.lit(0.0)), "risk_atr": F.col("risk") / F.nullif(F.col("atr"), F.lit(0.0)), "reward": target / F.nullif(F.col("risk"), F.lit(0.0))}
+    quantiles = [F.percentile(f"_{n}", q).alias(f"{n}_{name}") for n in shares for q, name in ((0.5, "median"), (0.9, "p90"))]
+    exits = [F.count_if(F.col("exit_reason") == r).alias(f"n_{r}") for r in ("tp", "sl", "time", "ambiguous")]
+    rows = events.withColumns({f"_{n}": x for n, x in shares.items()})
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.nullif(years, F.lit(0.0))).alias("per_year"), *quantiles, *exits)
+
+
+def gate_arms(trades: DataFrame, arms: dict[str, Column], is_oos: Column, result: str = "result_r") -> DataFrame:
+    """(arm, part, n, pf, total_r) of one pool of trades under each arm's gate (null: refused), for all, in-sample and out-of-sample rows."""
+    passed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in arms.items()]))
+    parts = F.array(F.lit("all"), F.when(is_oos, "oos").otherwise("in_sample"))
+    rows = trades.withColumn("arm", F.explode(passed)).withColumn("part", F.explode(parts))
+    x = F.col(result)
+    return rows.groupBy("arm", "part").agg(F.count(x).alias("n"), profit_factor(x).alias("pf"), F.sum(x).alias("total_r"))
+
+
+def best_gate(trades: DataFrame, subsets: Sequence[Sequence[str]], confidences: Sequence[float], floor: int = 15, state: str = "state", confidence: str = "confidence", result: str = "result_r") -> DataFrame:
+    """(states, least, n, pf) of the state subset and least confidence with the best profit factor among those that keep ``floor`` trades; ties: more trades, then the first names, then the lower confidence."""
+    grid = F.array(*[F.struct(F.lit("+".join(sorted(s))).alias("states"), F.array(*[F.lit(x) for x in s]).alias("set"), F.lit(float(c)).alias("least")) for s in subsets for c in confidences])
+    rows = trades.withColumn("g", F.explode(grid)).filter(F.array_contains("g.set", F.col(state)) & (F.col(confidence) >= F.col("g.least")))
+    x = F.col(result)
+    by = rows.groupBy("g.states", "g.least").agg(F.count(x).alias("n"), F.round(profit_factor(x), 9).alias("pf")).filter(F.col("n") >= floor)
+    return by.orderBy(F.col("pf").desc(), F.col("n").desc(), "states", "least").limit(1)
+
+
+def gate_audit(events: DataFrame, reason: str = "gate_reason", keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(keys, reason, n, share): how often each gate reason decided."""
+    n = events.groupBy(*keys, reason).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def state_power(trades: DataFrame, state: str = "state", result: str = "result_r", least: int = 15) -> DataFrame:
+    """Metrics of each state and ``verdict``: too_few under ``least`` trades, else edge or none by a profit factor over 1."""
+    m = result_metrics(trades, [state], result)
+    return m.withColumn("verdict", F.when(F.col("n") < least, "too_few").when(F.col("pf") > 1, "edge").otherwise("none"))
+
+
+def threshold_table(trades: DataFrame, column: str, thresholds: Sequence[float], result: str = "result_r") -> DataFrame:
+    """(threshold, n, pf, expectancy, kept) of the rows at or over each threshold; thresholds without rows have n 0."""
+    total = trades.agg(F.count(result).alias("_all"))
+    held = trades.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col(column) >= t)))
+    x = F.col(result)
+    rows = held.groupBy("threshold").agg(F.count(x).alias("n"), profit_factor(x).alias("pf"), F.avg(x).alias("expectancy"))
+    every = trades.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    out = every.join(rows, "threshold", "left").join(F.broadcast(total))
+    return out.select("threshold", F.coalesce("n", F.lit(0)).alias("n"), "pf", "expectancy", (F.coalesce("n", F.lit(0)) / F.nullif(F.col("_all"), F.lit(0))).alias("kept"))
+
+
+def confluence_panel(events: DataFrame, group: str = "group_id", score: str = "rule_score", most: int = 4) -> DataFrame:
+    """(n_patterns, count, avg_score): events and their mean rule score by the size of their group, 1 to ``most``; sizes that don't occur have 0."""
+    sized = events.withColumn("n_patterns", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    stats = sized.groupBy("n_patterns").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(score), 4).alias("avg_score"))
+    every = events.sparkSession.range(1, most + 1).select(F.col("id").alias("n_patterns"))
+    return every.join(stats, "n_patterns", "left").select("n_patterns", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"))
+
+
+def triage(events: DataFrame, least_wick: float = 0.5, depth: tuple[float, float] = (0.1, 1.0)) -> DataFrame:
+    """``verdict``: correct for a target hit, incorrect for a stop hit by a weak sweep (wick or depth out of bounds, or unconfirmed), else ambiguous."""
+    weak = (F.col("wick") < least_wick) | ~F.col("depth").between(*depth) | ~F.col("confirmed")
+    return events.withColumn("verdict", F.when(F.col("exit_reason") == "tp", "correct").when((F.col("exit_reason") == "sl") & F.coalesce(weak, F.lit(True)), "incorrect").otherwise("ambiguous"))
+
+
+def triage_counts(judged: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, verdict, n) with the row ``*`` for all strata."""
+    both = judged.withColumn("stratum", F.explode(F.array(F.col(stratum), F.lit("*"))))
+    return both.groupBy("stratum", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_adequacy(trades: DataFrame, boundary: int, floor: int, keys: Sequence[str] = ("symbol",), at: str = "entry_bar", order: Sequence[str] = ("entry_bar", "event_id"), share: float = 0.4) -> DataFrame:
+    """Rows after a fixed ``boundary`` and in the last ``share`` of each series' rows, and whether both reach ``floor``."""
+    w = Window.partitionBy(*keys)
+    place, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
+    marked = trades.withColumn("_late", place > n - F.floor(n * share))
+    counts = marked.groupBy(*keys).agg(F.count_if(F.col(at) >= boundary).alias("n_fixed"), F.count_if("_late").alias("n_late"))
+    return counts.withColumn("adequate", (F.col("n_fixed") >= floor) & (F.col("n_late") >= floor))
+
+
+def dropped_winners(trades: DataFrame, gates: dict[str, Column], least_score: float, score: str = "rule_score", result: str = "result_r") -> DataFrame:
+    """Winning rows of at least ``least_score`` that some gate refused, with ``failed``, the gates' names in order joined by +, best result first."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in gates.items()]))
+    rows = trades.withColumn("failed", F.array_join(failed, "+")).filter((F.col("failed") != "") & (F.col(result) > 0) & (F.col(score) >= least_score))
+    return rows.orderBy(F.col(result).desc())
+
+
+RESEARCH_GATES = ("n_total >= 300", "n_oos >= 100", "positive_rate between 0.10 and 0.90", "ess_ratio >= 0.60", "pf_low > 1.0", "pr_auc >= 1.05 * positive_rate", "longest_run >= 3")
+
+
+def research_gate(metrics: DataFrame, gates: Sequence[str] = RESEARCH_GATES) -> DataFrame:
+    """``failed``, the gates that the metrics don't pass (null fails), joined by ``; ``, and ``passed``."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(g), F.lit(False)), F.lit(g)) for g in gates]))
+    return metrics.withColumn("failed", F.array_join(failed, "; ")).withColumn("passed", F.size(failed) == 0)
+
+
+def promotion(metrics: DataFrame, least_trades: int = 30, least_pf: float = 1.1, most_loss_run: int = 6, floor_pf: float = 0.8) -> DataFrame:
+    """``decision`` and ``reasons`` for models (state, n, pf, loss_run, drift): shadow goes live with enough trades, profit and no severe drift; live is paused by a run of losses, and degraded by a low profit factor or severe drift."""
+    shadow, live = F.col("state") == "shadow", F.col("state") == "live"
+    reasons = F.array_compact(F.array(
+        F.when(shadow & (F.col("n") < least_trades), "too_few_trades"), F.when(shadow & (F.coalesce("pf", F.lit(0.0)) < least_pf), "low_pf"), F.when(F.col("drift") == "severe", "severe_drift"),
+        F.when(live & (F.col("loss_run") >= most_loss_run), "loss_run"), F.when(live & (F.col("n") >= least_trades) & (F.coalesce("pf", F.lit(0.0)) < floor_pf), "pf_under_floor"),
+    ))
+    has = lambda r: F.array_contains(reasons, r)
+    decision = F.when(shadow & (F.size(reasons) == 0), "promote").when(live & (has("severe_drift") | has("pf_under_floor")), "degrade").when(live & has("loss_run"), "pause").otherwise("stay")
+    return metrics.withColumn("reasons", F.array_join(reasons, "+")).withColumn("decision", decision)
+
+
+def stage_counts(events: DataFrame, stages: dict[str, Column], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Per series, how many events reach each stage; an event counts at a stage only if it passed those before."""
+    reached, out = F.lit(True), []
+    for name, passes in stages.items():
+        reached = reached & F.coalesce(passes, F.lit(False))
+        out.append(F.count_if(reached).alias(name))
+    return events.groupBy(*keys).agg(*out)
+
+
+def in_order(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` sorted by ``order``, which must be a whole tie-break, with their place: two runs give the same order."""
+    return rows.orderBy(*order)

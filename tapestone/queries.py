@@ -491,8 +491,9 @@ def _(s, d):
 
 
 def _numbered(s: SparkSession, d: str) -> DataFrame:
-    # ids by content, so that every use of the plan gives the same
-    return cooled_of(s, d).withColumn("event_id", F.xxhash64("symbol", "direction", "bar"))
+    # ids by content, so that every use of the plan gives the same, and SQL too: 52 bits of an MD5
+    text = F.concat_ws(":", "symbol", "direction", F.col("bar").cast("string"))
+    return cooled_of(s, d).withColumn("event_id", F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"))
 
 
 @query("grp1_correlated_groups")
@@ -565,4 +566,4 @@ def _(s, d):
     return s.read.parquet(path).selectExpr("symbol", EPOCH, *src.OHLCV)
 
 
-from . import feature_queries, further_queries, more_queries, pattern_queries  # noqa: E402, F401  register their own queries
+from . import feature_queries, further_queries, more_queries, pattern_queries, trade_queries  # noqa: E402, F401  register their own queries

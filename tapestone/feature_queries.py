@@ -79,7 +79,7 @@ def _(s, d):
 
 
 def rolled_of_table(s, d):
-    rolled = ind.add_rolling(ind.add_atr(bars_of(s, d)))
+    rolled = ind.add_sweep_inputs(bars_of(s, d))
     return saved(ind.add_percentile(ind.add_percentile(rolled, "close", 50), "volume", 50, "volume_pct"), "rolled")
 
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..plans.layout import affine_scan, blocked, own_rows, when_full
 
 
+def _true_range(w: WindowSpec) -> Column:
+    prior = F.lag("close").over(w)
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior))
+
+
+def _atr(w: WindowSpec, period: int) -> Column:
+    frame = w.rowsBetween(1 - period, 0)
+    return when_full(F.avg("tr").over(frame), F.count("tr").over(frame), period)
+
+
 def true_range(bars: DataFrame) -> DataFrame:
     df, w = blocked(bars, 1)
-    prior = F.lag("close").over(w)
-    return own_rows(df.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior))))
+    return own_rows(df.withColumn("tr", _true_range(w)))
 
 
 def add_atr(bars: DataFrame, period: int = 14, out: str = "atr") -> DataFrame:
-    """Simple mean of the true range over a full window."""
-    df, w = blocked(true_range(bars), period)
-    frame = w.rowsBetween(1 - period, 0)
-    return own_rows(df.withColumn(out, when_full(F.avg("tr").over(frame), F.count("tr").over(frame), period)))
+    """Simple mean of the true range over a full window, both in one layout: the halo's first row alone has no prior close."""
+    df, w = blocked(bars, period + 1)
+    return own_rows(df.withColumn("tr", _true_range(w)).withColumn(out, _atr(w, period)))
 
 
 def add_ema(bars: DataFrame, span: int, value: str = "close", out: str = "ema") -> DataFrame:
@@ -33,14 +41,25 @@ def add_wilder_atr(bars: DataFrame, period: int = 14) -> DataFrame:
 
 def add_rolling(bars: DataFrame) -> DataFrame:
     """Volume z-scores, log returns, slopes, range position, prior extremes and candle anatomy, all with whole windows."""
-    df, w = blocked(bars.withColumn("_r", F.col("high") - F.col("low")), 60)
+    df, w = blocked(bars, 60)
+    return own_rows(_rolling(df, w)).drop("_r")
+
+
+def add_sweep_inputs(bars: DataFrame, period: int = 14) -> DataFrame:
+    """What ``add_atr`` and ``add_rolling`` add, in one layout: the bars are shuffled and sorted once."""
+    df, w = blocked(bars, 60)
+    return own_rows(_rolling(df.withColumn("tr", _true_range(w)).withColumn("atr", _atr(w, period)), w)).drop("_r")
+
+
+def _rolling(df: DataFrame, w: WindowSpec) -> DataFrame:
+    df = df.withColumn("_r", F.col("high") - F.col("low"))
     f = lambda a, b: w.rowsBetween(a, b)
     full = lambda e, a, b: when_full(e, F.count("close").over(f(a, b)), b - a + 1)
     log_return = F.when((F.col("close") > 0) & (F.lag("close").over(w) > 0), F.log(F.col("close") / F.lag("close").over(w)))
     df = df.withColumn("log_return", log_return)
     std50, std20 = F.stddev_samp("volume").over(f(-50, -1)), F.stddev_samp("volume").over(f(-19, 0))
     hi, lo = F.max("high").over(f(-19, 0)), F.min("low").over(f(-19, 0))
-    df = (
+    return (
         df.withColumn("volume_z", full((F.col("volume") - F.avg("volume").over(f(-50, -1))) / F.nullif(std50, F.lit(0.0)), -50, -1))
         .withColumn("volume_z20", full((F.col("volume") - F.avg("volume").over(f(-19, 0))) / F.nullif(std20, F.lit(0.0)), -19, 0))
         .withColumn("slope20", full(F.expr("regr_slope(close, cast(bar as double))").over(f(-19, 0)), -19, 0))
@@ -51,7 +70,6 @@ def add_rolling(bars: DataFrame) -> DataFrame:
         .withColumn("upper_wick", (F.col("high") - F.greatest("open", "close")) / F.nullif(F.col("_r"), F.lit(0.0)))
         .withColumn("body", F.abs(F.col("close") - F.col("open")) / F.nullif(F.col("_r"), F.lit(0.0)))
     )
-    return own_rows(df).drop("_r")
 
 
 def add_percentile(bars: DataFrame, value: str, window: int = 50, out: str = "pct") -> DataFrame:

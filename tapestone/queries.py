@@ -86,7 +86,7 @@ def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ind.add_rolling(ind.add_atr(bars_of(spark, sf_dir)))
+    return ind.add_sweep_inputs(bars_of(spark, sf_dir))
 
 
 def cooled_of(spark: SparkSession, sf_dir: str) -> DataFrame:

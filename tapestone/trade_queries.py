@@ -54,7 +54,7 @@ def _(s, d):
     return _exported(s, d, False, "tick")
 
 
-@query("src2_real_volume", EXPORT.replace("volume FROM", "volume * 10 AS volume FROM"))
+@query("src2_real_volume", EXPORT.replace("AS close, volume FROM", "AS close, volume * 10 AS volume FROM"))
 def _(s, d):
     return _exported(s, d, False, "real")
 
@@ -169,7 +169,7 @@ def _(s, d):
     return ev.labelled(p.select("event_id", "depth", "rule_score"), p.select("event_id", F.lit(0.0).alias("depth"), "exit_reason", "result_r"))
 
 
-@query("j11_structure_boxes", f"WITH {BARS}{_reversal_sql(3)}, p AS (SELECT DISTINCT symbol, start_bar, end_bar FROM patterns) SELECT p.symbol, start_bar, end_bar, round(min(b.low), 6) AS box_low, round(max(b.high), 6) AS box_high FROM p JOIN bars b ON b.symbol = p.symbol AND b.bar BETWEEN start_bar AND end_bar GROUP BY 1, 2, 3")
+@query("j11_structure_boxes", f"WITH {BARS}{_reversal_sql(3)}, bx AS (SELECT DISTINCT symbol, start_bar, end_bar FROM patterns) SELECT x.symbol, start_bar, end_bar, round(min(b.low), 6) AS box_low, round(max(b.high), 6) AS box_high FROM bx x JOIN bars b ON b.symbol = x.symbol AND b.bar BETWEEN start_bar AND end_bar GROUP BY 1, 2, 3")
 def _(s, d):
     bars = saved(bars_of(s, d), "bars")
     return ev.structure_box(ev.reversals(ev.swings(bars, strict=False), bars, 3, 0.3), bars)
@@ -633,7 +633,7 @@ def _(s, d):
     def plan(ticks):
         bars = saved(src.bar_index(src.resample_ticks(ticks, "1 hour")), "bars")
         closed = bars.join(bars.groupBy("symbol").agg(F.max("bar").alias("_last")), "symbol").filter("bar < _last").drop("_last")
-        events = ev.deduplicated_sweeps(ev.sweep_rows(ev.sweep_flags(ind.add_rolling(ind.add_atr(closed)))), 4)
+        events = ev.deduplicated_sweeps(ev.sweep_rows(ev.sweep_flags(ind.add_sweep_inputs(closed))), 4)
         rows = events.select(content_id("symbol", "direction", "bar").alias("event_id"), "symbol", "direction", "bar", F.when(F.col("direction") == "long", "live").otherwise("shadow").alias("lifecycle_state"))
         return saved(rows, "events")
 

@@ -130,11 +130,11 @@ LIFE = f"""{_swing_sql(True)}, life AS (SELECT s.symbol, s.bar AS origin_bar, s.
  min(b.bar) FILTER (WHERE CASE s.kind WHEN 'L' THEN b.close < price ELSE b.close > price END) AS broken_bar FROM swings s JOIN bars b ON b.symbol = s.symbol AND b.bar BETWEEN s.known_bar + 1 AND s.known_bar + 96 GROUP BY ALL)"""
 
 
-@query("lvl8_states_at_bars", f"WITH {BARS}{LIFE} SELECT l.symbol, origin_bar, kind, p.bar, CASE WHEN swept_bar <= p.bar THEN 'swept' WHEN broken_bar <= p.bar THEN 'invalidated' ELSE 'active' END AS status, p.bar - known_bar AS age FROM life l JOIN bars p ON p.symbol = l.symbol AND p.bar % 24 = 0 AND p.bar BETWEEN known_bar + 1 AND known_bar + 96")
+@query("lvl8_states_at_bars", f"WITH {BARS}{LIFE} SELECT l.symbol, origin_bar, kind, p.bar, CASE WHEN swept_bar <= p.bar THEN 'swept' WHEN broken_bar <= p.bar THEN 'invalidated' ELSE 'active' END AS status, p.bar - known_bar AS age FROM life l JOIN bars p ON p.symbol = l.symbol AND p.bar BETWEEN known_bar + 1 AND known_bar + 96")
 def _(s, d):
     bars = bars_of(s, d)
     life = ev.level_lifecycle(ev.swings(bars), bars, 96, 0.5)
-    return ev.states_at(life, bars.filter("bar % 24 = 0"), 96)
+    return ev.states_at(life, bars, 96)
 
 
 @query("lvl10_level_sweeps", f"""WITH {BARS}{ATR}{LIFE}, r AS (SELECT l.symbol, origin_bar, kind, swept_bar, CASE kind WHEN 'L' THEN price - low ELSE high - price END / nullif(atr, 0) AS depth, CASE kind WHEN 'L' THEN least(open, close) - low ELSE high - greatest(open, close) END / nullif(high - low, 0) AS wick,

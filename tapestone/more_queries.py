@@ -44,10 +44,10 @@ def _(s, d):
     return bars.join(ends, "symbol").filter("bar > end - 20").select("symbol", "bar")
 
 
-@query("j4_nearest_bar", f"""WITH {BARS}, e AS (SELECT symbol, seq, ts FROM ticks WHERE seq % 10 = 0), p AS (SELECT e.symbol, e.seq, e.ts, b.bar AS pb, b.ts AS pt FROM e ASOF LEFT JOIN bars b ON b.symbol = e.symbol AND e.ts >= b.ts),
+@query("j4_nearest_bar", f"""WITH {BARS}, e AS (SELECT symbol, seq, ts FROM ticks), p AS (SELECT e.symbol, e.seq, e.ts, b.bar AS pb, b.ts AS pt FROM e ASOF LEFT JOIN bars b ON b.symbol = e.symbol AND e.ts >= b.ts),
 f AS (SELECT p.*, n.bar AS nb, n.ts AS nt FROM p ASOF LEFT JOIN bars n ON n.symbol = p.symbol AND p.ts <= n.ts) SELECT symbol, seq, CASE WHEN nt IS NULL OR (pt IS NOT NULL AND epoch(ts) - epoch(pt) <= epoch(nt) - epoch(ts)) THEN pb ELSE nb END AS near_bar FROM f""")
 def _(s, d):
-    ticks = src.ticks_of(s, d).filter("seq % 10 = 0").select("symbol", "ts", "seq")
+    ticks = src.ticks_of(s, d).select("symbol", "ts", "seq")
     bars = bars_of(s, d).select("symbol", "ts", F.col("bar").alias("near_bar"))
     return layout.asof_nearest(ticks, bars, "ts", ["near_bar"]).select("symbol", "seq", "near_bar")
 

@@ -313,3 +313,12 @@ def signal_rows(events: DataFrame, probability: float = 0.5) -> DataFrame:
     """The record that is sent for a group's representative: prices to five places, scores to four, a missing probability as ``probability``."""
     r = lambda c, n: F.round(c, n).alias(c)
     return events.select("symbol", "direction", "event_id", r("entry", 5), r("stop", 5), r("target", 5), r("rule_score", 4), F.round(F.coalesce("model_prob", F.lit(probability)), 4).alias("model_prob"))
+
+
+def overlap_counts(events: DataFrame, keys: tuple[str, ...] = ("symbol", "direction")) -> DataFrame:
+    """(keys, n, overlapping): events, and those whose span meets another's: one that starts before and ends no earlier than it starts, or one after that starts within it."""
+    w = Window.partitionBy(*keys).orderBy("start_bar", "end_bar")
+    before = F.max("end_bar").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start_bar")
+    after = F.lead("start_bar").over(w) <= F.col("end_bar")
+    marked = events.withColumn("_o", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
+    return marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("_o").alias("overlapping"))

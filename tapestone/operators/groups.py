@@ -32,7 +32,7 @@ def best_of_group(grouped: DataFrame, priority: Column, row_id: str = "event_id"
 
 def regime_gate(events: DataFrame, rules: DataFrame, key: str = "symbol") -> DataFrame:
     """``allowed`` and its reason; rules are (key, states array, min_confidence), one row for each key."""
-    df = events.join(F.broadcast(rules), key, "left")
+    df = events.join(rules, key, "left")
     reason = F.when(F.col("states").isNull(), "no_rule").when(F.col("state").isNull(), "no_regime").when(~F.array_contains("states", F.col("state")), "state").when(F.col("confidence") < F.col("min_confidence"), "confidence").otherwise("ok")
     return df.withColumn("gate_reason", reason).withColumn("allowed", F.col("gate_reason").isin("ok", "no_rule")).drop("states", "min_confidence")
 

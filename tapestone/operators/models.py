@@ -14,6 +14,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .regimes import log_sum, running_products
+
 
 def fit_scorer(train: DataFrame, features: Sequence[str], label: str = "label") -> PipelineModel:
     """Median imputation, standardisation and logistic regression, all fitted on ``train`` only."""
@@ -47,34 +49,26 @@ def regime_filter(rows: DataFrame, means: Sequence[float], sigmas: Sequence[floa
         density = -0.5 * ((x[:, None] - mu) / sd) ** 2 - np.log(sd)
         return np.where(np.isnan(x)[:, None], 0.0, density)
 
-    def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.logaddexp.reduce(a[:, :, None] + b[None, :, :], axis=1)
+    def matrices(pdf: pd.DataFrame) -> np.ndarray:
+        return running_products(trans[None] + steps(pdf["x"].to_numpy(float))[:, None, :])
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar")
-        m = None
-        for d in steps(pdf["x"].to_numpy(float)):
-            step = trans + d
-            m = step if m is None else multiply(m, step)
+        m = matrices(pdf.sort_values("bar"))[-1]
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "blk": [pdf["blk"].iloc[0]], "m": [m.ravel().tolist()]})
 
     def carries(pdf: pd.DataFrame) -> pd.DataFrame:
-        alpha, out = np.full(k, -np.log(k)), []
-        for m in pdf.sort_values("blk")["m"]:
-            out.append(alpha.tolist())
-            alpha = np.logaddexp.reduce(alpha[:, None] + np.array(m).reshape(k, k), axis=0)
-            alpha -= np.logaddexp.reduce(alpha)
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "blk": sorted(pdf["blk"]), "carry": out})
+        pdf = pdf.sort_values("blk")
+        ahead = running_products(np.array(pdf["m"].tolist()).reshape(-1, k, k))
+        start = np.full(k, -np.log(k))
+        into = np.concatenate([start[None], log_sum(start[None, :, None] + ahead[:-1], 1)])
+        into -= log_sum(into, 1)[:, None]
+        return pd.DataFrame({"symbol": pdf["symbol"], "blk": pdf["blk"], "carry": into.tolist()})
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar")
-        alpha, state, confidence = np.array(pdf["carry"].iloc[0]), [], []
-        for d in steps(pdf["x"].to_numpy(float)):
-            alpha = np.logaddexp.reduce(alpha[:, None] + trans, axis=0) + d
-            alpha -= np.logaddexp.reduce(alpha)
-            state.append(int(alpha.argmax()))
-            confidence.append(float(np.exp(alpha.max())))
-        return pd.DataFrame({"symbol": pdf["symbol"], "bar": pdf["bar"], "state": state, "confidence": confidence})
+        alpha = log_sum(np.array(pdf["carry"].iloc[0])[None, :, None] + matrices(pdf), 1)
+        alpha -= log_sum(alpha, 1)[:, None]
+        return pd.DataFrame({"symbol": pdf["symbol"], "bar": pdf["bar"], "state": alpha.argmax(1), "confidence": np.exp(alpha.max(1))})
 
     own = rows.select("symbol", "bar", F.col(value).alias("x"), F.floor(F.col("bar") / block).alias("blk"))
     maps = own.groupBy("symbol", "blk").applyInPandas(products, "symbol string, blk long, m array<double>")

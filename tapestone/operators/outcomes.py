@@ -24,14 +24,16 @@ def trade_levels(events: DataFrame, buffer: float = 0.1, reward: float = 1.5) ->
     return out.filter("risk > 0").withColumn("target", F.when(long, F.col("entry") + reward * F.col("risk")).otherwise(F.col("entry") - reward * F.col("risk")))
 
 
-def barrier_outcomes(trades: DataFrame, bars: DataFrame, horizon: int, preset: str = "labels", id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar")) -> DataFrame:
+def barrier_outcomes(trades: DataFrame, bars: DataFrame, horizon: int, preset: str = "labels", id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar"), own_horizon: str | None = None) -> DataFrame:
     """Which barrier is touched first, the result in risks, and the excursions, by one of PRESETS.
 
+    The window has ``horizon`` bars, or as many as the column ``own_horizon`` (one of ``id_cols``) says, at most ``horizon``.
+
     A trade's own columns are kept. Nothing touched means a time exit at the last bar's close; a window cut by the
     series' end is marked truncated.
     """
     first, more, tie, to_exit = PRESETS[preset]
-    span = trades.select(*id_cols, "entry", "stop", "target", "risk", (F.col("entry_bar") + first).alias("_from"), (F.col("entry_bar") + horizon + more).alias("_to"))
+    span = trades.select(*id_cols, "entry", "stop", "target", "risk", (F.col("entry_bar") + first).alias("_from"), (F.col("entry_bar") + (F.lit(horizon) if own_horizon is None else F.col(own_horizon)) + more).alias("_to"))
     near = range_join(span, bars.select("symbol", "bar", "high", "low", "close"), "_from", "_to", horizon + 2)
     long = F.col("direction") == "long"
     near = near.withColumn("_up", F.when(long, F.col("high") - F.col("entry")).otherwise(F.col("entry") - F.col("low")) / F.col("risk")).withColumn("_down", F.when(long, F.col("entry") - F.col("low")).otherwise(F.col("high") - F.col("entry")) / F.col("risk"))
@@ -76,15 +78,11 @@ def excursions(trades: DataFrame, bars: DataFrame, horizon: int, id_cols: tuple[
 
 
 def outcome_grid(trades: DataFrame, bars: DataFrame, rewards: list[float], horizons: list[int], preset: str = "fixed") -> DataFrame:
-    """One row for each trade, reward and horizon; the rewards share a join, and there is one join for each horizon."""
+    """One row for each trade, reward and horizon, by one join with the bars."""
     sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
-    spread = trades.withColumn("reward", F.explode(F.array(*[F.lit(float(r)) for r in rewards]))).withColumn("target", F.col("entry") + sign * F.col("reward") * F.col("risk"))
-    ids = ("symbol", "direction", "entry_bar", "reward")
-    out = None
-    for h in horizons:
-        part = barrier_outcomes(spread, bars, h, preset, ids).withColumn("horizon", F.lit(h))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cells = F.array(*[F.struct(F.lit(float(r)).alias("reward"), F.lit(h).alias("horizon")) for r in rewards for h in horizons])
+    spread = trades.withColumn("_c", F.explode(cells)).select(*trades.columns, "_c.*").withColumn("target", F.col("entry") + sign * F.col("reward") * F.col("risk"))
+    return barrier_outcomes(spread, bars, max(horizons), preset, ("symbol", "direction", "entry_bar", "reward", "horizon"), "horizon")
 
 
 def grid_table(grid: DataFrame, rewards: list[float], horizons: list[int], value: str = "result_r", id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar")) -> DataFrame:

@@ -56,8 +56,13 @@ def co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
     """Share of the groups with ``a`` that also have ``b``."""
     held = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
     sizes = held.groupBy(F.col("i").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-    both = held.select("g", F.col("i").alias("a")).join(held.select("g", F.col("i").alias("b")), "g").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    return both.join(F.broadcast(sizes), "a").select("a", "b", "both", (F.col("both") / F.col("n")).alias("share"))
+    return _pairs(held).join(sizes, "a").select("a", "b", "both", (F.col("both") / F.col("n")).alias("share"))
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """(a, b, both) of (g, i) rows: pairs are formed in the distinct item sets of groups, of which there are far fewer than groups."""
+    sets = held.groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    return sets.select("c", "s", F.explode("s").alias("a")).select("c", "a", F.explode("s").alias("b")).groupBy("a", "b").agg(F.sum("c").alias("both"))
 
 
 def psi(values: DataFrame, value: str, is_base: Column, keys: Sequence[str] = (), bins: int = 10, eps: float = 1e-4) -> DataFrame:
@@ -200,9 +205,7 @@ def symmetric_co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame
     """(a, b, share): the mean of the shares of a's groups with b and of b's groups with a; 1 for an item with itself, 0 for a pair that never meets."""
     held = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
     sizes = held.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    # a group counts once for each set of items in it: pairs are formed of sets, of which there are few, and not of groups
-    sets = held.groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    both = sets.select("c", "s", F.explode("s").alias("a")).select("c", "a", F.explode("s").alias("b")).groupBy("a", "b").agg(F.sum("c").alias("both"))
+    both = _pairs(held)
     every = sizes.select(F.col("i").alias("a"), F.col("n").alias("na")).crossJoin(sizes.select(F.col("i").alias("b"), F.col("n").alias("nb")))
     mean = F.when(F.col("a") == F.col("b"), 1.0).otherwise((F.coalesce("both", F.lit(0)) / F.col("na") + F.coalesce("both", F.lit(0)) / F.col("nb")) / 2)
     return every.join(both, ["a", "b"], "left").select("a", "b", mean.alias("share"))

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import indicators as ind
 from .functions.projections import score_bucket
 from .operators import events as ev
+from .operators import features as fea
 from .operators import groups as grp
 from .operators import outcomes as out
+from .operators import patterns as pat
 from .operators import reports as rep
 from .plans import layout
 from .sources import bars as src
+from .sources import lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,18 +123,12 @@ def _(s, d):
 j AS (SELECT b.symbol, b.bar, h.htf_close FROM bars b ASOF LEFT JOIN h4 h ON b.symbol = h.symbol AND b.ts >= h.at)
 SELECT symbol, bar, round(lag(htf_close) OVER ({W}), 6) AS htf_close FROM j""")
 def _(s, d):
-    bars = bars_of(s, d)
-    coarse = src.resample_bars(bars, "4 hours").select("symbol", F.col("bucket_end").alias("ts"), F.col("close").alias("htf_close"))
-    joined, w = layout.blocked(layout.asof_backward(bars.select("symbol", "ts", "bar"), coarse, "ts", ["htf_close"]), 1)
-    return layout.own_rows(joined.withColumn("htf_close", F.lag("htf_close").over(w))).select("symbol", "bar", "htf_close")
+    return fea.closed_coarse(bars_of(s, d), "4 hours", "htf_close")
 
 
 @query("tb4_previous_day", f"WITH {BARS}{DAILY}, p AS (SELECT symbol, day, lag(high) OVER (PARTITION BY symbol ORDER BY day) AS prev_high, lag(low) OVER (PARTITION BY symbol ORDER BY day) AS prev_low FROM days) SELECT b.symbol, b.bar, round(prev_high, 6) AS prev_high, round(prev_low, 6) AS prev_low FROM bars b JOIN p ON p.symbol = b.symbol AND p.day = date_trunc('day', b.ts)")
 def _(s, d):
-    bars = bars_of(s, d).withColumn("day", F.date_trunc("day", "ts"))
-    w = Window.partitionBy("symbol").orderBy("day")
-    days = bars.groupBy("symbol", "day").agg(F.max("high").alias("h"), F.min("low").alias("l")).select("symbol", "day", F.lag("h").over(w).alias("prev_high"), F.lag("l").over(w).alias("prev_low"))
-    return bars.join(days, ["symbol", "day"]).select("symbol", "bar", "prev_high", "prev_low")
+    return fea.previous_day(bars_of(s, d)).select("symbol", "bar", F.col("prev_day_high").alias("prev_high"), F.col("prev_day_low").alias("prev_low"))
 
 
 @query("tb6_sessions", f"""WITH {BARS}, h AS (SELECT symbol, bar, CAST(hour(ts) AS INT) AS hour, CAST((isodow(ts) - 1) % 5 AS INT) AS dow FROM bars)
@@ -183,27 +180,27 @@ def _(s, d):
 
 @query("flt3_pending", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def _(s, d):
-    r = s.read.parquet(f"{d}/lineitem.parquet").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey").join(r, "o_orderkey", "left_anti")
+    done = s.read.parquet(f"{d}/lineitem.parquet").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("event_id"))
+    return lake.pending_events(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("event_id")), done).withColumnRenamed("event_id", "o_orderkey")
 
 
 @query("flt2_outcomes_of_ids", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def _(s, d):
-    o = s.read.parquet(f"{d}/orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber").join(o, "l_orderkey", "left_semi")
+    ids = s.read.parquet(f"{d}/orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
+    return lake.outcomes_of(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), "l_linenumber"), ids).withColumnRenamed("event_id", "l_orderkey")
 
 
 @query("flt5_log_query", "SELECT event_id, event_type, user_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND CAST(user_id AS VARCHAR) LIKE '%7%'")
 def _(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
-    kinds = e.select("event_type").distinct().orderBy("event_type").limit(2)
-    return e.filter(F.col("ts").between("2024-01-05", "2024-01-25") & F.col("user_id").cast("string").contains("7")).join(F.broadcast(kinds), "event_type", "left_semi").select("event_id", "event_type", "user_id")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    rows = lake.log_rows(e.withColumn("user", F.col("user_id").cast("string")), {"event_type": kinds}, ("user", "7"), ("ts", "2024-01-05", "2024-01-25"))
+    return rows.select("event_id", "event_type", "user_id")
 
 
 @query("flt6_last_trades", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
 def _(s, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    return s.read.parquet(f"{d}/orders.parquet").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("o_custkey", "o_orderkey")
+    return lake.last_of_each(s.read.parquet(f"{d}/orders.parquet"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey")
 
 
 # --- indicators
@@ -251,7 +248,7 @@ def _(s, d):
 
 @query("ind20_median_range", f"WITH {BARS} SELECT symbol, round(median(high - low), 6) AS median_range FROM bars GROUP BY 1")
 def _(s, d):
-    return bars_of(s, d).groupBy("symbol").agg(F.median(F.col("high") - F.col("low")).alias("median_range"))
+    return pat.median_ranges(bars_of(s, d))
 
 
 # --- levels and events
@@ -274,11 +271,7 @@ for _name, _strict in (("lvl1_swing_levels", True), ("lvl2_pattern_swings", Fals
 
 @query("lvl5_previous_day_levels", f"WITH {BARS}{DAILY}, p AS (SELECT symbol, day, lag(high) OVER (PARTITION BY symbol ORDER BY day) AS h, lag(low) OVER (PARTITION BY symbol ORDER BY day) AS l FROM days), k AS (SELECT symbol, date_trunc('day', ts) AS day, min(bar) AS known_bar FROM bars GROUP BY 1, 2) SELECT k.symbol, known_bar, u.kind, round(u.price, 6) AS price FROM p JOIN k ON k.symbol = p.symbol AND k.day = p.day, LATERAL (SELECT 'H' AS kind, p.h AS price UNION ALL SELECT 'L', p.l) u WHERE u.price IS NOT NULL")
 def _(s, d):
-    bars = bars_of(s, d).withColumn("day", F.date_trunc("day", "ts"))
-    w = Window.partitionBy("symbol").orderBy("day")
-    days = bars.groupBy("symbol", "day").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.min("bar").alias("known_bar"))
-    days = days.withColumn("ph", F.lag("h").over(w)).withColumn("pl", F.lag("l").over(w))
-    return days.selectExpr("symbol", "known_bar", "stack(2, 'H', ph, 'L', pl) as (kind, price)").filter("price is not null")
+    return ev.previous_day_levels(bars_of(s, d)).select("symbol", "known_bar", "kind", "price")
 
 
 @query("lvl7_lifecycle", f"""WITH {BARS}{_swing_sql(True)}, n AS (SELECT s.symbol, s.bar AS origin_bar, s.kind, s.price, s.known_bar, b.bar AS b, CASE WHEN kind = 'L' THEN abs(b.low - price) ELSE abs(b.high - price) END <= 0.5 AS t,
@@ -341,9 +334,9 @@ def _(s, d):
     return layout.asof_backward(bars.select("symbol", "bar", "close"), lows, "bar", ["level"]).select("symbol", "bar", "level")
 
 
-@query("j2_asof_forward", f"WITH {BARS}, e AS (SELECT symbol, seq, ts FROM ticks WHERE seq % 10 = 0) SELECT e.symbol, e.seq, coalesce(b.bar, -1) AS entry_bar FROM e ASOF LEFT JOIN bars b ON b.symbol = e.symbol AND e.ts <= b.ts")
+@query("j2_asof_forward", f"WITH {BARS}, e AS (SELECT symbol, seq, ts FROM ticks) SELECT e.symbol, e.seq, coalesce(b.bar, -1) AS entry_bar FROM e ASOF LEFT JOIN bars b ON b.symbol = e.symbol AND e.ts <= b.ts")
 def _(s, d):
-    ticks = src.ticks_of(s, d).filter("seq % 10 = 0").select("symbol", "ts", "seq")
+    ticks = src.ticks_of(s, d).select("symbol", "ts", "seq")
     bars = bars_of(s, d).select("symbol", "ts", F.col("bar").alias("entry_bar"))
     return layout.asof_backward(ticks, bars, "ts", ["entry_bar"], forward=True).select("symbol", "seq", "entry_bar").fillna(-1)
 
@@ -366,11 +359,7 @@ def _(s, d):
 @query("j12_overlapping_events", f"WITH {BARS}{_reversal_sql(3)} SELECT symbol, direction, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM patterns q WHERE q.symbol = p.symbol AND q.direction = p.direction AND (q.start_bar, q.end_bar) <> (p.start_bar, p.end_bar) AND q.start_bar <= p.end_bar AND p.start_bar <= q.end_bar)) AS overlapping FROM patterns p GROUP BY 1, 2")
 def _(s, d):
     bars = bars_of(s, d)
-    p = ev.reversals(ev.swings(bars, strict=False), bars, 3, 0.3)
-    w = Window.partitionBy("symbol", "direction").orderBy("start_bar", "end_bar")
-    before = F.max("end_bar").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start_bar")
-    after = F.min("start_bar").over(w.rowsBetween(1, Window.unboundedFollowing)) <= F.col("end_bar")
-    return p.withColumn("o", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).groupBy("symbol", "direction").agg(F.count(F.lit(1)).alias("n"), F.count_if("o").alias("overlapping"))
+    return ev.overlap_counts(ev.reversals(ev.swings(bars, strict=False), bars, 3, 0.3))
 
 
 # --- outcomes, reports
@@ -448,8 +437,9 @@ def _(s, d):
 
 @query("agg15_gate_sweep", f"{RES}, arms AS (SELECT unnest([1.0, 1.5, 2.0, 3.0]) AS max_mae) SELECT max_mae, count(x) AS n, round({PF}, 6) AS pf FROM res, arms WHERE mae_r <= max_mae GROUP BY 1")
 def _(s, d):
-    arms = s.createDataFrame([(1.0,), (1.5,), (2.0,), (3.0,)], "max_mae double")
-    return results_of(s, d).crossJoin(F.broadcast(arms)).filter("mae_r <= max_mae").groupBy("max_mae").agg(F.count("result_r").alias("n"), rep.profit_factor(F.col("result_r")).alias("pf"))
+    arms = {str(m): F.col("mae_r") <= m for m in (1.0, 1.5, 2.0, 3.0)}
+    swept = rep.gate_arms(results_of(s, d), arms, F.lit(False)).filter("part = 'all'")
+    return swept.select(F.col("arm").cast("double").alias("max_mae"), "n", "pf")
 
 
 @query("agg18_exit_audit", f"WITH RECURSIVE {BARS}{_outcomes('stored')} SELECT symbol, exit_reason, count(*) AS n, round(avg(result_r), 6) AS mean_r, round(avg(bars_held), 6) AS mean_bars FROM outcomes GROUP BY 1, 2")

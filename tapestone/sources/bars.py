@@ -15,8 +15,10 @@ def read_export(spark: SparkSession, path: str, symbol: str, timeframe: str, utc
     raw = spark.read.csv(path, sep="\t", header=True)
     raw = raw.toDF(*[c.strip("<>").lower() for c in raw.columns])
     numbers = [c for c in raw.columns if c not in ("date", "time")]
-    votes = raw.agg(*[(F.sum(F.col(c).rlike(r",\d+$").cast("int")) > F.sum(F.col(c).rlike(r"\.\d+$").cast("int"))).alias(c) for c in numbers]).first()
-    parsed = [F.regexp_replace(F.regexp_replace(c, r"\.", ""), ",", ".").try_cast("double").alias(c) if votes[c] else F.regexp_replace(c, ",", "").try_cast("double").alias(c) for c in numbers]
+    votes = raw.agg(*[(F.count_if(F.col(c).rlike(r",\d+$")) > F.count_if(F.col(c).rlike(r"\.\d+$"))).alias(f"_comma_{c}") for c in numbers])
+    raw = raw.crossJoin(votes)  # one row, which the reader's plan carries along
+    comma = lambda c: F.regexp_replace(F.regexp_replace(c, r"\.", ""), ",", ".").try_cast("double")
+    parsed = [F.when(F.col(f"_comma_{c}"), comma(c)).otherwise(F.regexp_replace(c, ",", "").try_cast("double")).alias(c) for c in numbers]
     ts = F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit("yyyy.MM.dd HH:mm:ss")) - F.expr(f"interval {utc_offset_hours} hours")
     held = "tickvol" if volume == "tick" and "tickvol" in raw.columns else "vol"
     return raw.select(F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), ts.alias("ts"), *parsed).withColumn("volume", F.col(held)).select("symbol", "timeframe", "ts", *OHLCV)
@@ -73,7 +75,7 @@ def write_bars(bars: DataFrame, path: str) -> None:
 def read_window(bars: DataFrame, start: str, end: str, warmup: int = 1500, extra: int = 72) -> DataFrame:
     """Bars from ``start`` to ``end`` with a halo of bars before and after, so that indicators and outcomes are whole."""
     edge = bars.groupBy("symbol").agg(F.min(F.when(F.col("ts") >= start, F.col("bar"))).alias("lo"), F.max(F.when(F.col("ts") <= end, F.col("bar"))).alias("hi"))
-    return bars.join(F.broadcast(edge), "symbol").filter(F.col("bar").between(F.col("lo") - warmup, F.col("hi") + extra)).drop("lo", "hi")
+    return bars.join(edge, "symbol").filter(F.col("bar").between(F.col("lo") - warmup, F.col("hi") + extra)).drop("lo", "hi")
 
 
 def ohlc_counts(bars: DataFrame) -> DataFrame:

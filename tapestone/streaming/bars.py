@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lake import append_guarded
+
 
 def closed_bars(ticks: DataFrame, rule: str, lateness: str) -> DataFrame:
     """Bars of a stream (symbol, ts, seq, price, volume): each is emitted when the watermark passes its end.
@@ -19,13 +21,6 @@ def closed_bars(ticks: DataFrame, rule: str, lateness: str) -> DataFrame:
 
 
 def append_new(events: DataFrame, path: str, id_col: str = "event_id") -> None:
-    """Append the rows whose id the table at ``path`` doesn't have yet, partitioned by month."""
-    spark = events.sparkSession
-    new = events.dropDuplicates([id_col]).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    try:
-        known = spark.read.parquet(path).select(id_col)
-    except Exception as e:  # the table's first rows
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = None
-    (new if known is None else new.join(known, id_col, "left_anti")).write.mode("append").partitionBy("month").parquet(path)
+    """Append the rows whose id the table at ``path`` doesn't have yet in their month, partitioned by month."""
+    once = events.dropDuplicates([id_col]).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    append_guarded(once, path, [id_col], ["month"], known="skip")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .folders import saved
+
 KEYS = ("symbol",)
 #: Blocks that a scan composes before it goes from one such group to the next.
 SUPER = 256
@@ -146,6 +148,7 @@ def greedy_cooldown(df: DataFrame, k: int, keys: Sequence[str], order: str = "ba
 
     A gap over ``k`` starts afresh whatever was accepted before, so islands between such gaps are folded by themselves.
     """
+    df = saved(df, "cooling")  # read three times
     held = islands(df, k, keys, order).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.col(order))).alias("at"))
     apart = f"x - element_at(acc, -1) {'>=' if inclusive else '>'} {k}"
     taken = held.select(*keys, F.explode(F.expr(f"aggregate(slice(at, 2, size(at)), slice(at, 1, 1), (acc, x) -> if({apart}, concat(acc, array(x)), acc))")).alias(order))

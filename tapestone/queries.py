@@ -16,6 +16,7 @@ from .operators import outcomes as out
 from .operators import patterns as pat
 from .operators import reports as rep
 from .plans import layout
+from .plans.folders import saved
 from .sources import bars as src
 from .sources import lake
 
@@ -88,16 +89,23 @@ def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.bars_ev(spark, sf_dir, "1 hour")
 
 
+def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars as a table, for what reads them more than once."""
+    return saved(bars_of(spark, sf_dir), "bars")
+
+
 def rolled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ind.add_sweep_inputs(bars_of(spark, sf_dir))
 
 
-def cooled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.deduplicated_sweeps(ev.sweep_rows(ev.sweep_flags(rolled_of(spark, sf_dir))), 4)
+def cooled_of(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    rolled = ind.add_sweep_inputs(bars_of(spark, sf_dir) if bars is None else bars)
+    return ev.deduplicated_sweeps(ev.sweep_rows(ev.sweep_flags(rolled)), 4)
 
 
 def outcomes_of(spark: SparkSession, sf_dir: str, preset: str = "labels", horizon: int = 16) -> DataFrame:
-    return out.barrier_outcomes(out.trade_levels(cooled_of(spark, sf_dir)), bars_of(spark, sf_dir), horizon, preset)
+    bars = bar_table(spark, sf_dir)
+    return out.barrier_outcomes(out.trade_levels(cooled_of(spark, sf_dir, bars)), bars, horizon, preset)
 
 
 EPOCH = "unix_timestamp(ts) as epoch"

@@ -14,7 +14,7 @@ from .operators import portfolio as port
 from .operators import reports as rep
 from .pattern_queries import atr_bars, content_id
 from .plans.folders import saved, shared_folder
-from .queries import ATR, BARS, COOLED, EPOCH, ORACLE, PF, QUERIES, SCORED, SQL_EPOCH, SWEPT, _outcomes, _reversal_sql, _swing_sql, bars_of, cooled_of, outcomes_of, query, results_of, rolled_of, scored_of
+from .queries import ATR, BARS, COOLED, EPOCH, ORACLE, PF, QUERIES, SCORED, SQL_EPOCH, SWEPT, _outcomes, _reversal_sql, _swing_sql, bar_table, bars_of, cooled_of, outcomes_of, query, results_of, rolled_of, scored_of
 from .sources import bars as src
 from .sources import lake
 
@@ -27,8 +27,8 @@ pt AS (SELECT *, {ENTRY_ID} AS event_id FROM pool)"""
 
 def pool_of(s, d):
     """Backtest trades of the sweeps as a table, each with a pattern named after its side and half of the day."""
-    cooled = saved(cooled_of(s, d), "events")
-    bars = saved(bars_of(s, d), "bars")
+    bars = bar_table(s, d)
+    cooled = saved(cooled_of(s, d, bars), "events")
     done = out.net_results(out.barrier_outcomes(out.trade_levels(cooled), bars, 16, "backtest"), 0.05, 0.05).filter("result_r is not null")
     more = cooled.select("symbol", "direction", F.col("bar").alias("entry_bar"), "atr", "depth", (F.col("depth") / 3).alias("rule_score"), "ts")
     half = F.when(F.hour("ts") < 12, "am").otherwise("pm")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -18,7 +19,7 @@ from tapestone.operators import reports as rep
 from tapestone.plans import layout
 from tapestone.sources import bars as src
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -36,27 +37,55 @@ def _plain(v):
         return None
     if isinstance(v, bool) or isinstance(v, str):
         return v
+    if isinstance(v, (list, tuple)):
+        return str([_plain(x) for x in v])
     return round(float(v), 5) + 0.0
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """Rows of every query on whole tables; they are many small jobs, so several run at a time."""
+    def run(name):
+        try:
+            rows = q.QUERIES[name](spark, SF)
+            names = sorted(rows.columns)
+            return names, [tuple(r) for r in rows.select(*names).collect()]
+        except Exception as e:  # the test of this query tells it
+            return e
+
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(q.QUERIES, pool.map(run, q.QUERIES), strict=True))
+
+
+def rows_of(results, name):
+    if isinstance(results[name], Exception):
+        raise results[name]
+    assert results[name][1], "a query without rows tests nothing"
+    return results[name]
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLE))
-def test_against_sql(spark, duck, name):
-    rows = q.QUERIES[name](spark, SF)
-    names = sorted(rows.columns)
+def test_against_sql(results, duck, name):
+    names, rows = rows_of(results, name)
     cells = lambda data: sorted(str(tuple(_plain(x) for x in r)) for r in data)
-    mine = cells(rows.select(*names).collect())
     sql = f"SELECT {', '.join(f'{chr(34)}{n}{chr(34)}' for n in names)} FROM ({q.ORACLE[name]})"
-    assert mine == cells(duck.sql(sql).fetchall())
+    assert cells(rows) == cells(duck.sql(sql).fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLE)))
-def test_runs(spark, name):
-    assert q.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+def test_runs(results, name):
+    rows_of(results, name)
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
 
 
 @pytest.fixture(scope="module")
 def bars(spark):
-    return src.bars_ev(spark, SF, "1 hour").persist()
+    return src.bars_ev(spark, "/root/testdata/sf0.001", "1 hour").persist()
 
 
 def test_halo_blocks_match_plain_windows(bars):

@@ -391,7 +391,14 @@ def _(s, d):
     return rep.result_metrics(results_of(s, d), ["symbol"])
 
 
-query("flagship", METRICS)(lambda s, d: rep.result_metrics(results_of(s, d), ["symbol"]))
+def flagship(s: SparkSession, d: str, rule: str = "1 hour") -> DataFrame:
+    """Sweeps of bars of ``rule``, their barrier outcomes, and the report of each symbol."""
+    bars = saved(src.bars_ev(s, d, rule), "bars")
+    done = out.barrier_outcomes(out.trade_levels(cooled_of(s, d, bars)), bars, 16)
+    return rep.result_metrics(done.filter("result_r is not null"), ["symbol"])
+
+
+query("flagship", METRICS)(flagship)
 
 
 @query("agg3_drawdown", f"{RES}, c AS (SELECT symbol, entry_bar, direction, sum(x) OVER w AS c FROM res WINDOW w AS (PARTITION BY symbol ORDER BY entry_bar, direction)), p AS (SELECT *, max(c) OVER (PARTITION BY symbol ORDER BY entry_bar, direction) AS p FROM c) SELECT symbol, round(max(p - c), 6) AS max_drawdown, round(arg_max(c, (entry_bar, direction)), 6) AS final_r FROM p GROUP BY 1")

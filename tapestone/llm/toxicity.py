@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,12 +177,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         edge = kth_greatest(own.select((-F.col("_tp_u")).alias("u"), "_tp_id").distinct(), "u", "_tp_id", fit_rows // 2)
         least = own if edge is None else own.filter(F.col("_tp_u") <= -edge[0])
         single = least.groupBy("_tp_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("_tp_u").alias("_tp_u"))
-        held += single.select("text", "label", "_tp_u").mapInArrow(features, "grams binary, counts binary, label int, at double").collect()
-    held.sort(key=lambda r: (r["label"], r["at"], r["grams"]))
-    sample = [(np.frombuffer(r["grams"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in held]
-    marks = [r["label"] for r in held]
+        held.append(single.select("text", "label", "_tp_u").mapInArrow(features, "grams binary, counts binary, label int, at double").toArrow())
+    table = pa.concat_tables(held).combine_chunks()
     del held
-    weights, bias = fit_linear(sample, np.array(marks, np.float64), ratio, l2, steps)
+    # the same order whatever the tasks' order, so that a fit repeats
+    table = table.take(pa.compute.sort_indices(table, sort_keys=[("label", "ascending"), ("at", "ascending"), ("grams", "ascending")]))
+    marks = table["label"].to_numpy()
+    sample = [(np.frombuffer(g.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.int32)) for g, c in zip(table["grams"], table["counts"], strict=True)]
+    weights, bias = fit_linear(sample, marks.astype(np.float64), ratio, l2, steps)
     return Model(weights, bias)
 
 

@@ -521,7 +521,8 @@ def _(s, d):
 
 @query("prt2_exposure_replay")
 def _(s, d):
-    t = outcomes_of(s, d, "backtest").withColumn("event_id", F.xxhash64("symbol", "direction", "entry_bar"))
+    text = F.concat_ws(":", "symbol", "direction", F.col("entry_bar").cast("string"))
+    t = outcomes_of(s, d, "backtest").withColumn("event_id", F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"))
     return grp.exposure_replay(t, 2).select("symbol", "direction", "entry_bar", "exit_bar", "executed")
 
 

@@ -210,6 +210,18 @@ ORACLE["grp1_correlated_groups"] = f"{GROUPED} SELECT symbol, direction, group_i
 ORACLE["grp2_best_of_group"] = f"{GROUPED} SELECT symbol, direction, bar, group_id, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY depth DESC, event_id) > 1 THEN 'correlated' END AS discard_reason FROM grouped"
 
 
+ORACLE["grp3_confluence"] = GROUPED.replace("<= (x.atr + y.atr) / 2)", "<= 2 * (x.atr + y.atr) / 2)") + """, best AS (SELECT group_id, event_id AS best_id, bar AS b, close AS p, CASE WHEN atr > 0 THEN atr ELSE 1.0 END AS a, count(*) OVER (PARTITION BY group_id) AS n FROM grouped QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY depth DESC, event_id) = 1),
+gap AS (SELECT k.group_id, k.best_id, k.n, coalesce(min(abs(g.bar - k.b)) FILTER (WHERE g.event_id <> k.best_id), 0) AS dt, coalesce(min(abs(g.close - k.p) / k.a) FILTER (WHERE g.event_id <> k.best_id), 0) AS dp FROM best k JOIN grouped g USING (group_id) GROUP BY 1, 2, 3)
+SELECT group_id, best_id, n, round((CASE WHEN n > 1 THEN 1 ELSE 0 END + exp(-dt / 8.0) + exp(-dp)) / 3, 4) AS score FROM gap"""
+ORACLE["out11_entry_strategies"] = f"""WITH RECURSIVE {BARS}{COOLED}, cf AS (SELECT e.symbol, e.bar, e.direction, min(b.bar) AS confirm_bar FROM cooled e JOIN bars b ON b.symbol = e.symbol AND b.bar BETWEEN e.bar + 1 AND e.bar + 8 AND CASE WHEN direction = 'long' THEN b.close > e.high ELSE b.close < e.low END GROUP BY ALL),
+sg AS (SELECT 'after_sweep' AS strategy, e.symbol, e.direction, e.high, e.low, e.atr, e.bar AS at FROM cooled e UNION ALL SELECT 'after_confirmation', e.symbol, e.direction, e.high, e.low, e.atr, c.confirm_bar FROM cooled e JOIN cf c ON c.symbol = e.symbol AND c.bar = e.bar AND c.direction = e.direction),
+en AS (SELECT g.*, n.bar AS entry_bar, CASE WHEN direction = 'long' THEN 1.0 ELSE -1.0 END AS sgn, n.open + CASE WHEN direction = 'long' THEN 0.02 ELSE -0.02 END AS entry, CASE WHEN direction = 'long' THEN g.low - 0.1 * atr ELSE g.high + 0.1 * atr END AS stop FROM sg g JOIN bars n ON n.symbol = g.symbol AND n.bar = g.at + 1),
+tx AS (SELECT *, sgn * (entry - stop) AS risk, entry + sgn * 1.5 * sgn * (entry - stop) AS target FROM en WHERE sgn * (entry - stop) > 0),
+nr AS (SELECT strategy, t.symbol, direction, sgn, entry_bar, entry, stop, risk, min(b.bar) FILTER (WHERE CASE WHEN sgn > 0 THEN b.low <= stop ELSE b.high >= stop END) AS sb, min(b.bar) FILTER (WHERE CASE WHEN sgn > 0 THEN b.high >= target ELSE b.low <= target END) AS tb, arg_max(b.close, b.bar) AS last FROM tx t JOIN bars b ON b.symbol = t.symbol AND b.bar BETWEEN entry_bar + 1 AND entry_bar + 16 GROUP BY ALL),
+rs AS (SELECT symbol, strategy, CASE WHEN sb <= tb OR (sb IS NOT NULL AND tb IS NULL) THEN -1.0 WHEN tb IS NOT NULL THEN 1.5 ELSE sgn * (last - entry) / risk END AS x FROM nr)
+SELECT symbol, strategy, count(x) AS n, round({PF}, 6) AS pf, round(sum(x), 6) AS total_r, round(avg(x), 6) AS expectancy, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM rs GROUP BY 1, 2"""
+
+
 @query("grp4_independent", f"WITH RECURSIVE {BARS}{COOLED} SELECT symbol, direction, bar, {BAR_ID} AS event_id, {BAR_ID} AS group_id, CAST(NULL AS VARCHAR) AS discard_reason FROM cooled")
 def _(s, d):
     return grp.resolved_groups(cooled_of(s, d).withColumn("event_id", content_id("symbol", "direction", "bar")), "independent", F.col("depth")).select("symbol", "direction", "bar", "event_id", "group_id", "discard_reason")
@@ -257,6 +269,9 @@ rp_g AS (SELECT symbol, n, event_id, CAST(NULL AS VARCHAR) AS why, [{row}] AS op
 replayed AS (SELECT p.*, g.why AS cap_reason, g.event_id IS NOT NULL AND g.why IS NULL AS executed FROM {source} p LEFT JOIN rp_g g ON g.event_id = p.event_id)"""
 
 
+ORACLE["prt2_exposure_replay"] = f"""WITH RECURSIVE {BARS}{_outcomes('backtest')}, xo AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_bar, event_id) AS n FROM (SELECT symbol, direction, entry_bar, exit_bar, {ENTRY_ID} AS event_id FROM outcomes)),
+xg AS (SELECT symbol, n, true AS executed, [exit_bar] AS zs FROM xo WHERE n = 1 UNION ALL SELECT o.symbol, o.n, len(list_filter(g.zs, lambda z: z > o.entry_bar)) < 2, CASE WHEN len(list_filter(g.zs, lambda z: z > o.entry_bar)) < 2 THEN list_append(g.zs, o.exit_bar) ELSE g.zs END FROM xg g JOIN xo o ON o.symbol = g.symbol AND o.n = g.n + 1)
+SELECT o.symbol, o.direction, o.entry_bar, o.exit_bar, g.executed FROM xo o JOIN xg g ON g.symbol = o.symbol AND g.n = o.n"""
 CAPS = (1.5, 1.0)
 REPLAY = f"{POOL}, {_replay_sql('pt', *CAPS)}"
 

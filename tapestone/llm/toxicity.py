@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import byte_texts, id_uniform, kth_greatest, saved
 
-GRAMS, BITS, BLOCK = (3, 4, 5), 18, 1 << 20
+GRAMS, BITS, BLOCK, FIT_AT_ONCE = (3, 4, 5), 18, 1 << 20, 256
 
 
 def word_list(text: bytes) -> bytes:
@@ -102,25 +102,33 @@ def log_count_ratio(counts: np.ndarray, alpha: float = 1.0, errors: float = 3.0)
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ratio: np.ndarray, l2: float, steps: int, positive_share: float = 0.25) -> tuple[np.ndarray, float]:
     """Logistic regression over ``ratio`` times features by Adam; returns weights for plain features, and a bias.
 
-    A row is its distinct buckets and their counts (32-bit numbers, as they fill the driver's memory).
+    A row is its distinct buckets and their counts (32-bit numbers, as they fill the driver's memory). Gradients are summed
+    over ``FIT_AT_ONCE`` rows at a time, so that a step needs little memory of its own.
     """
-    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    columns, counts = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int32) for i in (0, 1))
     there = np.zeros(len(ratio), bool)
-    there[columns] = True
+    for buckets, _ in rows:
+        there[buckets] = True
     used = np.flatnonzero(there)
-    columns = (np.cumsum(there, dtype=np.int32) - 1)[columns]
+    place = np.cumsum(there, dtype=np.int32) - 1
+    parts = []
+    for at in range(0, len(rows), FIT_AT_ONCE):
+        some = rows[at : at + FIT_AT_ONCE]
+        row_of = np.repeat(np.arange(len(some), dtype=np.int32), [len(r[0]) for r in some])
+        parts.append((slice(at, at + len(some)), row_of, place[np.concatenate([r[0] for r in some])], np.concatenate([r[1] for r in some])))
     scale = ratio[used]
     weight, bias = np.zeros(len(used)), float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
     # the sample has as many of either label, the corpus does not
     importance = np.where(labels == 1, positive_share / max(labels.sum(), 1), (1 - positive_share) / max((1 - labels).sum(), 1))
     for step in range(1, steps + 1):
-        z = np.bincount(row_of, (scale * weight)[columns] * counts, len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * importance
-        slope = np.bincount(columns, error[row_of] * counts, len(used)) * scale + l2 * weight
+        plain, slope, total = scale * weight, l2 * weight, 0.0
+        for at, row_of, columns, counts in parts:
+            z = np.bincount(row_of, plain[columns] * counts, at.stop - at.start) + bias
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[at]) * importance[at]
+            slope += np.bincount(columns, error[row_of] * counts, len(used)) * scale
+            total += error.sum()
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        mb, vb = 0.9 * mb + 0.1 * error.sum(), 0.99 * vb + 0.01 * error.sum() ** 2
+        mb, vb = 0.9 * mb + 0.1 * total, 0.99 * vb + 0.01 * total**2
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
         weight -= 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         bias -= 0.05 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)

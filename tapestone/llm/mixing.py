@@ -15,6 +15,8 @@ from .common import id_uniform, saved
 MARGINS = ("source", "lang", "topic")
 #: Topics by the first rule that holds, else prose.
 TOPIC_RULES = (("contact", "[A-Za-z0-9]@[A-Za-z0-9]"), ("legal", "[Ll]icen[sc]e"), ("symbols", "[#*$%&|<>]{3}"), ("numbers", "[0-9]{4}"))
+#: Cells up to this number (about 20 MB) are raked in one partition and broadcast; beyond it both are done by shuffles.
+FEW_CELLS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,12 +54,19 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: flo
     """
     targets = targets or {}
     whole = Window.partitionBy()
+    few = cells.count() <= FEW_CELLS
+
+    def near(rows: DataFrame) -> DataFrame:
+        # so few cells are one partition, in which no margin's sum needs a shuffle of its own
+        return rows.coalesce(1) if few else rows
+
+    cells = near(cells)
     now = cells.withColumn("w", F.col("tokens") * F.lit(1.0 if keep is None else keep))
     for m in MARGINS:
         now = now.join(target_shares(cells, m, powers.get(m, 1.0), targets.get(m)).withColumnRenamed("share", f"t_{m}"), m)
         if keep is not None:
             now = now.withColumn(f"t_{m}", F.col(f"t_{m}") * keep * F.sum("tokens").over(whole))
-    now = saved(now, "cells")
+    now = near(saved(now, "cells"))
     for done in range(0, rounds, chunk):
         for _ in range(min(chunk, rounds - done)):
             for m in MARGINS:
@@ -65,7 +74,7 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: flo
                 now = now.withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{m}") / F.nullif(held, F.lit(0.0)), F.lit(0.0)))
             if keep is not None:
                 now = now.withColumn("w", F.least("w", F.col("tokens").cast("double")))
-        now = saved(now, "raked")
+        now = near(saved(now, "raked"))
         off = None
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum("w").alias("s"), F.first(f"t_{m}").alias("t")).select((F.abs(F.col("s") - F.col("t")) / F.sum("t").over(whole)).alias("off"))
@@ -86,10 +95,6 @@ def budget_scale(raked: DataFrame, keep: float) -> DataFrame:
     return at.filter(F.col("scale") * F.col("ratio") <= 1).agg(F.max_by("scale", F.struct("ratio", "scale")).alias("scale"))
 
 
-#: Cells up to this number are broadcast (about 20 MB); beyond it they are joined by a shuffle.
-MOST_BROADCAST = 200_000
-
-
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 20, seed: int = 13, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: float | None = None, targets: dict[str, dict[str, float]] | None = None, columns: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, and its ``columns`` (default: all), with topic, tokens, probability and selected.
 
@@ -124,7 +129,7 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 2
     chance = F.lit(1.0) if scale is None and keep is not None else F.least(F.lit(1.0), F.col("ratio") * F.lit(scale if scale is not None else 0.0))
     chances = raked.select(*[F.col(n).alias(f"_tp_c_{n}") for n in MARGINS], F.when(F.col("weight") > 0, chance).otherwise(0.0).alias("probability"))
     on = (F.col("_tp_source") == F.col("_tp_c_source")) & (F.col("_tp_lang") == F.col("_tp_c_lang")) & (F.col("topic") == F.col("_tp_c_topic"))
-    chances = F.broadcast(chances) if raked.count() <= MOST_BROADCAST else chances.hint("merge")
+    chances = F.broadcast(chances) if raked.count() <= FEW_CELLS else chances.hint("merge")
     drawn = told.join(chances, on, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     selected = id_uniform(seed, F.coalesce(F.col("_tp_id"), F.lit(-1))) < F.col("probability")
     return drawn.withColumn("selected", selected).drop("_tp_id", "_tp_source", "_tp_lang", *[f"_tp_c_{n}" for n in MARGINS])

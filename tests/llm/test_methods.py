@@ -79,7 +79,7 @@ def test_raking_ends_when_it_has_converged(spark):
 
 def test_wide_cells_are_joined_alike(spark, monkeypatch):
     plain = {(r["doc_id"], r["selected"]) for r in mixing.mix(_mix_rows(spark)).collect()}
-    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
     assert {(r["doc_id"], r["selected"]) for r in mixing.mix(_mix_rows(spark)).collect()} == plain
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from . import exact_dedup, hard_negatives, license_scan, line_dedup, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, token_alignment, toxicity
 
 MIX_POWERS = {"source": 0.7, "lang": 0.8}
 
@@ -80,6 +80,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    at, base, more = F.col("places.at"), F.col("places.label"), F.col("blocks.label")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))).alias("score"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), *paths)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_mixing, op4_quality_rules, op5_quality_classifier, op6_minhash, op7_toxicity, op8_pii, op9_line_dedup, op10_exact_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_mixing, op4_quality_rules, op5_quality_classifier, op6_minhash, op7_toxicity, op8_pii, op9_line_dedup, op10_exact_dedup, op11_hard_negatives, op12_license_scan, op13_token_alignment, pipeline)}
 
 
 EXACT = r"""
@@ -97,4 +118,4 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.oracle(MIX_POWERS), "op9_line_dedup": line_dedup.oracle(), "op10_exact_dedup": EXACT}
+    return {"op3_mixing": mixing.oracle(MIX_POWERS), "op9_line_dedup": line_dedup.oracle(), "op10_exact_dedup": EXACT, "op11_hard_negatives": hard_negatives.oracle(), "op12_license_scan": license_scan.oracle()}

@@ -91,7 +91,7 @@ def entropy(value: str) -> float:
 
 
 def secrets(text: str) -> Iterator[tuple[int, int, float]]:
-    """Values of secrets: known forms, and what a telling name is set to, where it is as mixed as no word is."""
+    """Values of secrets: known forms, and what a telling name is set to, where it has a digit and is as mixed as no word is (so a password of letters alone is no finding)."""
     formed = [m.span() for m in FORMED.finditer(text)] if FORM_HINT.search(text) else []
     yield from ((*span, 0.8) for span in formed)
     for m in NAMED.finditer(text) if ":" in text or "=" in text else ():
@@ -130,7 +130,9 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
     if "@" in text:
         for start, end in emails(text):
             yield "email", start, end, 0.6
-    if not DIGIT.search(text):
+    for start, end, base in secrets(text):
+        yield "secret", start, end, base
+    if not DIGIT.search(text):  # all other kinds have one
         return
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
@@ -145,8 +147,6 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
     for m in IBAN_START.finditer(text):
         if end := iban_end(text, m.start()):
             yield "iban", m.start(), end, 0.8
-    for start, end, base in secrets(text):
-        yield "secret", start, end, base
     for m in SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
@@ -187,7 +187,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with each span replaced by its kind in angle brackets; of overlapping spans the first stands."""
+    """(doc_id, text) with each span replaced by its kind in angle brackets; of overlapping spans the first stands.
+
+    A null text stays null; null and repeated ids pass through row by row; other columns are left out; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

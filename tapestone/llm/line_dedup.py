@@ -13,7 +13,8 @@ from .common import join_hot, saved
 
 
 def _hash(line: Column) -> Column:
-    return F.xxhash64(line)
+    """128 bits of two hashes, the second from another start: no two lines of a corpus share both."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
 def _long_enough(line: Column, min_words: int) -> Column:
@@ -26,13 +27,14 @@ def spread_lines(lines: DataFrame, min_sites: int, log_k: int = 8, errors: float
 
     An estimate at least ``errors`` standard errors (and two sites) off the threshold decides; the rest are counted.
     """
-    sketched = lines.groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(log_k)).alias("sites"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    # copies of a line on one site meet first, so that a hot line is a few rows of each task from here on
+    placed = saved(lines.groupBy("hash", "site").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "line-sites")
+    sketched = placed.groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(log_k)).alias("sites"), F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
     estimated = saved(sketched.filter(F.col("n") >= min_sites).select("hash", "first_id", "n", F.hll_sketch_estimate("sites").alias("estimate")), "line-spread")
     margin = max(2.0, errors * 1.04 / (1 << log_k) ** 0.5 * min_sites)
     sure = estimated.filter(F.col("estimate") >= min_sites + margin)
     near = estimated.filter((F.col("estimate") < min_sites + margin) & (F.col("estimate") > min_sites - margin))
-    # copies of (line, site) meet before the shuffle, so a hot line is a few rows
-    counted = lines.join(near.select("hash"), "hash", "left_semi").select("hash", "site").distinct().groupBy("hash").agg(F.count("site").alias("exact")).filter(F.col("exact") >= min_sites)
+    counted = placed.join(near.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.count("site").alias("exact")).filter(F.col("exact") >= min_sites)
     return sure.select("hash", "first_id", "n").unionByName(near.join(counted, "hash").select("hash", "first_id", "n"))
 
 

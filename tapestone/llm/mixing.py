@@ -7,6 +7,8 @@ Only DataFrame functions are used; a round of raking is three grouped sums over
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +45,15 @@ def target_shares(cells: DataFrame, margin: str, power: float, given: dict[str,
     return raw.select(margin, (F.col("share") / F.sum("share").over(Window.partitionBy())).alias("share"))
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: float | None = None, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-9, chunk: int = 5) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 500, keep: float | None = None, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-9, chunk: int = 5) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``weight`` and ``margin_error``.
 
     Each round scales every margin's values in turn to their target shares (``target_shares``), by sums grouped over the
     cells. With ``keep`` the weights sum to that share of all tokens; then no cell weighs more than its tokens, and each
     round rakes the others to what such cells lack. Every ``chunk`` rounds the weights are written, and the loop ends once
-    no margin's share is more than ``tolerance`` off its target, at ``rounds`` at the latest; ``margin_error`` is the
-    greatest distance then left (targets that contradict each other or the cells can't be met).
+    no margin's share is more than ``tolerance`` off its target, or a chunk has brought that distance down by less than a
+    twentieth: targets that contradict each other or the cells can't be met. ``margin_error`` is the distance then left;
+    if that is beyond ``tolerance``, or ``rounds`` are over first, a warning says so.
     """
     targets = targets or {}
     whole = Window.partitionBy()
@@ -66,7 +69,7 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: flo
         now = now.join(target_shares(cells, m, powers.get(m, 1.0), targets.get(m)).withColumnRenamed("share", f"t_{m}"), m)
         if keep is not None:
             now = now.withColumn(f"t_{m}", F.col(f"t_{m}") * keep * F.sum("tokens").over(whole))
-    now = near(saved(now, "cells"))
+    now, error = near(saved(now, "cells")), float("inf")
     for done in range(0, rounds, chunk):
         for _ in range(min(chunk, rounds - done)):
             for m in MARGINS:
@@ -79,9 +82,11 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 20, keep: flo
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum("w").alias("s"), F.first(f"t_{m}").alias("t")).select((F.abs(F.col("s") - F.col("t")) / F.sum("t").over(whole)).alias("off"))
             off = sums if off is None else off.unionByName(sums)
-        error = off.agg(F.max("off")).first()[0] or 0.0
-        if error <= tolerance:
+        last, error = error, off.agg(F.max("off")).first()[0] or 0.0
+        if error <= tolerance or error > 0.95 * last:
             break
+    if error > tolerance:
+        warnings.warn(f"raking ended {error:.2g} off its targets, which these cells may not be able to meet", stacklevel=2)
     return now.select(*MARGINS, "tokens", F.col("w").alias("weight"), F.lit(error).alias("margin_error"))
 
 
@@ -95,8 +100,11 @@ def budget_scale(raked: DataFrame, keep: float) -> DataFrame:
     return at.filter(F.col("scale") * F.col("ratio") <= 1).agg(F.max_by("scale", F.struct("ratio", "scale")).alias("scale"))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 20, seed: int = 13, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: float | None = None, targets: dict[str, dict[str, float]] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """All rows of ``docs``, and its ``columns`` (default: all), with topic, tokens, probability and selected.
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 500, seed: int = 13, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: float | None = None, targets: dict[str, dict[str, float]] | None = None, columns: list[str] | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """All rows of ``docs``, and its ``columns`` (default: all), with topic, tokens, probability, selected and margin_error.
+
+    ``margin_error`` is how far the greatest deviation of a margin's share from its target still is, the same in all rows; a
+    warning tells where it is beyond ``tolerance`` (see ``rake``).
 
     ``targets`` gives the target weights of a margin's values (``{"source": {"web": 3, "books": 1}}``, see
     ``target_shares``); margins that it leaves out are tempered by ``powers``. Tokens are words. The probability is the
@@ -107,7 +115,7 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 2
     names are replaced; an empty table gives an empty result.
     """
     powers = powers if powers is not None else {"source": 0.7, "lang": 0.8}
-    docs = docs.drop("topic", "tokens", "probability", "selected")
+    docs = docs.drop("topic", "tokens", "probability", "selected", "margin_error")
     carried = [c for c in docs.columns if columns is None or c in columns]
     # the texts are read and told once; what follows reads what was written
     told = saved(
@@ -123,8 +131,9 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 2
     )
     names = {"_tp_source": "source", "_tp_lang": "lang", "topic": "topic"}
     cells = told.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-    raked = rake(saved(cells, "cell-tokens"), powers, rounds, keep, targets).withColumn("ratio", F.col("weight") / F.col("tokens"))
+    raked = rake(saved(cells, "cell-tokens"), powers, rounds, keep, targets, tolerance).withColumn("ratio", F.col("weight") / F.col("tokens"))
     # one number for all cells
+    error = raked.agg(F.max("margin_error")).first()[0] or 0.0
     scale = (raked.agg((1.0 / F.nullif(F.max("ratio"), F.lit(0.0))).alias("scale")) if keep is None else budget_scale(raked, keep)).first()["scale"]
     chance = F.lit(1.0) if scale is None and keep is not None else F.least(F.lit(1.0), F.col("ratio") * F.lit(scale if scale is not None else 0.0))
     chances = raked.select(*[F.col(n).alias(f"_tp_c_{n}") for n in MARGINS], F.when(F.col("weight") > 0, chance).otherwise(0.0).alias("probability"))
@@ -132,7 +141,7 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 2
     chances = F.broadcast(chances) if raked.count() <= FEW_CELLS else chances.hint("merge")
     drawn = told.join(chances, on, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     selected = id_uniform(seed, F.coalesce(F.col("_tp_id"), F.lit(-1))) < F.col("probability")
-    return drawn.withColumn("selected", selected).drop("_tp_id", "_tp_source", "_tp_lang", *[f"_tp_c_{n}" for n in MARGINS])
+    return drawn.withColumn("selected", selected).withColumn("margin_error", F.lit(float(error))).drop("_tp_id", "_tp_source", "_tp_lang", *[f"_tp_c_{n}" for n in MARGINS])
 
 
 def oracle(powers: dict[str, float], rounds: int = 20, seed: int = 13) -> str:

@@ -33,7 +33,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS, columns=["doc_id"])
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS, columns=["doc_id"], tolerance=1e-9)
     return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "selected")
 
 

@@ -103,7 +103,12 @@ def kth_greatest(keys: DataFrame, key: str, tie: str, k: int, bins: int = 4096,
     return hi, _nth_of_id(left, tie, k - above, few)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with all columns but the ``used`` ones under private names, and the names that they had: an operator can't clash with them."""
     held = {c: c if c in used else f"_tp_held_{i}" for i, c in enumerate(docs.columns)}
-    return docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()]), {h: c for c, h in held.items()}
+    return docs.select(*[F.col(quoted(c)).alias(h) for c, h in held.items()]), {h: c for c, h in held.items()}

@@ -50,9 +50,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts, and rows of a null id, are in no group and stay; rows of one id stay or go together. Other
     columns, whatever their names, pass unchanged; an empty table stays empty.
     """
-    found = minhash.find_near_duplicates(docs.select("doc_id", "text"), k=5)
+    held, names = sheltered(docs, "doc_id", "text")
+    found = minhash.find_near_duplicates(held.select("doc_id", "text"), k=5)
     gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _restored(held.join(gone, "doc_id", "left_anti"), names)
 
 
 #: The share of all tokens that mixing keeps, whatever the skew of the sources.

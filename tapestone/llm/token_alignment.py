@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import per_worker, saved
 
-#: Segments that a worker keeps, and their longest length.
-KEPT, LONGEST = 300_000, 64
+#: Segments that a worker keeps before it begins anew, and the characters of texts that are looked up at a time.
+KEPT, AT_ONCE = 400_000, 1 << 20
 SPACE = "▁"
 CHUNK = "chunk long, ids array<long>, facts array<struct<n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string>>, cuts array<int>, places binary, times binary, pairs array<long>, docs array<int>"
 
@@ -37,27 +37,23 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups (from, to in a, from, to in b) and links (place in a, place in b) of two lists of cumulative ends of the same bytes."""
-    index_a = {end: i for i, end in enumerate(ends_a)}
-    index_b = {end: i for i, end in enumerate(ends_b)}
-    groups, links, at_a, at_b = [], [], 0, 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        to_a, to_b = index_a[end] + 1, index_b[end] + 1
-        groups.append((at_a, to_a, at_b, to_b))
-        i, j = at_a, at_b
-        while i < to_a and j < to_b:  # every overlap is met as one of the two lists moves on
-            links.append((i, j))
-            a, b = ends_a[i], ends_b[j]
-            i, j = i + (a <= b), j + (b <= a)
-        at_a, at_b = to_a, to_b
-    return groups, links
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Groups and links of two rising lists of cumulative ends of the same bytes.
+
+    Of each group its end, and how many tokens of a and of b end with it or before; of each link its end and its places in a
+    and b. Between two neighbouring ends of either list lie bytes of one token of a and one of b: a link each.
+    """
+    index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1), strict=True))
+    index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1), strict=True))
+    common = sorted(index_a.keys() & index_b.keys())
+    ends = np.union1d(ends_a, ends_b)
+    return common, [index_a[e] for e in common], [index_b[e] for e in common], ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
 class Aligner:
-    """Segments of texts as (groups, numbers of tokens, groups and links, distinct pairs and how often each is linked); None for a segment whose bytes the tokenizers don't give back."""
+    """Segments of texts, each kept under a number: its groups as text, its numbers of tokens, groups and links, and its linked pairs."""
 
-    segments = re.compile(r" (?:[^ ]|(?<!\S) )*").findall
+    before_space, segments = re.compile(r"\s ").search, re.compile(r" (?:[^ ]|(?<!\S) )*").findall
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pieces_path: str) -> None:
         import sentencepiece
@@ -75,45 +71,69 @@ class Aligner:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.encode_a = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        of = byte_of_char()
-        self.bytes_a = {i: bytes(of[c] for c in token) for token, i in whole.get_vocab(with_added_tokens=False).items() if all(c in of for c in token)}
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-        p = self.pieces
+        of, vocabulary = byte_of_char(), whole.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(of[c] for c in token) if all(c in of for c in token) else b""
+        self.pieces = p = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         names = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self.bytes_b = [bytes([int(n[3:5], 16)]) if p.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
+        self.lengths = [np.array([len(x) for x in known], np.int64) for known in (self.bytes_a, self.bytes_b)]
         #: whether a segment can stand by itself: no piece goes on with a space after another character
         self.cut = not any(SPACE in n.lstrip(SPACE) for n in names)
-        self.kept: dict[str, tuple | None] = {}
-
-    def segment(self, s: str) -> tuple | None:
-        """Of a segment with its first space."""
-        # the pieces' encoder sets no space before nothing
-        ids_a, ids_b = self.encode_a(s), self.pieces.encode(s[1:]) if len(s) > 1 else [self.pieces.piece_to_id(SPACE)]
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        raw = s.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        ends_a, ends_b = (np.cumsum([len(x) for x in parts]).tolist() for parts in (parts_a, parts_b))
-        groups, links = align(ends_a, ends_b)
-        told = ";".join(f"{','.join(map(str, ids_a[i:k]))}|{','.join(map(str, ids_b[j:m]))}" for i, k, j, m in groups)
-        pairs, times = np.unique(np.array([ids_a[i] << 32 | ids_b[j] for i, j in links], np.int64), return_counts=True)
-        return told, len(ids_a), len(ids_b), len(groups), len(links), pairs, times
-
-    def __call__(self, text: str) -> list[tuple] | None:
-        """The segments of a text; None if it is empty or doesn't come back."""
-        if not text:
-            return None
-        out, kept = [], self.kept
-        for s in self.segments(f" {text}") if self.cut else [f" {text}"]:
-            found = kept.get(s, 0)
-            if found == 0:
-                found = self.segment(s)
-                if len(kept) < KEPT and len(s) <= LONGEST:
-                    kept[s] = found
-            if found is None:
-                return None
-            out.append(found)
-        return out
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.told: list[str] = []
+        #: of each segment: tokens of a and b, groups, links; whether the bytes don't come back; where its links begin
+        self.facts, self.lost, self.starts, self.pairs = np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def split(self, text: str) -> list[str]:
+        """The segments of a space and ``text``, without the space that each begins with."""
+        if not self.cut:
+            return [text]
+        if not self.before_space(f" {text}"):
+            return text.split(" ")
+        return [s[1:] for s in self.segments(f" {text}")]
+
+    def learn(self, new: list[str]) -> None:
+        """Numbers for segments that have none yet: all are aligned as one list."""
+        ids_a = [self.encode_a(f" {s}") for s in new]
+        # the pieces' encoder sets the space, but none before nothing
+        ids_b = [b if s else [self.pieces.piece_to_id(SPACE)] for s, b in zip(new, self.pieces.encode(new, num_threads=1), strict=True)]
+        raw = [f" {s}".encode() for s in new]
+        lost = np.zeros(len(new), bool)
+        for ids, known in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if b"".join(known[i] for x in ids for i in x) != b"".join(raw):
+                lost |= np.array([b"".join(known[i] for i in x) != r for x, r in zip(ids, raw, strict=True)])
+        for i in np.flatnonzero(lost):
+            ids_a[i] = ids_b[i] = raw[i] = ()
+        n_a, n_b, n_bytes = (np.array([len(x) for x in xs], np.int64) for xs in (ids_a, ids_b, raw))
+        a, b = (np.fromiter((i for x in xs for i in x), np.int64, n.sum()) for xs, n in ((ids_a, n_a), (ids_b, n_b)))
+        common, to_a, to_b, ends, at_a, at_b = align(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]))
+        names_a, names_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
+        told = [f"{names_a[i] if k == i + 1 else ','.join(names_a[i:k])}|{names_b[j] if m == j + 1 else ','.join(names_b[j:m])}" for i, k, j, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+        stops = np.cumsum(n_bytes)  # segments end where both lists do
+        groups, links = np.searchsorted(common, stops, "right"), np.searchsorted(ends, stops, "right")
+        cuts = [0, *groups.tolist()]
+        self.told += [";".join(told[i:k]) for i, k in zip(cuts, cuts[1:], strict=False)]
+        self.facts = np.concatenate([self.facts, np.stack([n_a, n_b, np.diff(groups, prepend=0), np.diff(links, prepend=0)], 1)])
+        self.lost = np.concatenate([self.lost, lost])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + links])
+        self.pairs = np.concatenate([self.pairs, a[at_a] << 32 | b[at_b]])
+        self.number |= zip(new, range(len(self.number), len(self.number) + len(new)), strict=True)
+
+    def known(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """The numbers of each text's segments; None if it is empty or its bytes don't come back."""
+        if len(self.number) > KEPT:
+            self.clear()
+        parts = [self.split(t) if t else [] for t in texts]
+        if new := [s for s in dict.fromkeys(s for p in parts for s in p) if s not in self.number]:
+            self.learn(new)
+        for p in parts:
+            numbers = np.fromiter(map(self.number.__getitem__, p), np.int64, len(p))
+            yield None if not p or self.lost[numbers].any() else numbers
 
 
 class Chunk:
@@ -122,16 +142,20 @@ class Chunk:
     def __init__(self) -> None:
         self.ids, self.facts, self.pairs, self.times, self.size = [], [], [], [], 0
 
-    def add(self, doc_id: int | None, parts: list[tuple] | None) -> None:
-        told = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
-        pairs = times = np.zeros(0, np.int64)
-        if parts:
-            told = {k: sum(p[i] for p in parts) for i, k in enumerate(("n_a", "n_b", "n_groups", "n_links"), 1)}
-            told["groups_sha256"] = hashlib.sha256(";".join(p[0] for p in parts).encode()).hexdigest()
-            pairs, at = np.unique(np.concatenate([p[5] for p in parts]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([p[6] for p in parts])).astype(np.int64)
+    def add(self, doc_id: int | None, numbers: np.ndarray | None, of: Aligner) -> None:
+        told, pairs, times = [0, 0, 0, 0, ""], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if numbers is not None:
+            told = [*of.facts[numbers].sum(0).tolist(), hashlib.sha256(";".join(map(of.told.__getitem__, numbers.tolist())).encode()).hexdigest()]
+            segments, n = np.unique(numbers, return_counts=True)
+            sizes = of.starts[segments + 1] - of.starts[segments]
+            at = np.arange(sizes.sum()) + np.repeat(of.starts[segments] - np.cumsum(sizes) + sizes, sizes)
+            linked = of.pairs[at]
+            order = np.argsort(linked, kind="stable")
+            linked, n = linked[order], np.repeat(n, sizes)[order]
+            first = np.flatnonzero(np.diff(linked, prepend=-1))
+            pairs, times = linked[first], np.add.reduceat(n, first)
         self.ids.append(doc_id)
-        self.facts.append(told)
+        self.facts.append(dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"), told, strict=True)))
         self.pairs.append(pairs)
         self.times.append(times)
         self.size += len(pairs) + 1
@@ -149,11 +173,14 @@ def _chunks(paths: tuple[str, str | None, str], most: int):
         aligner = per_worker(("aligner", *paths), lambda: Aligner(*paths))
         number, chunk = TaskContext.get().partitionId() << 32, Chunk()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                chunk.add(doc_id.as_py(), aligner(text.as_py() or ""))
-                if chunk.size >= most:
-                    yield chunk.row(number)
-                    number, chunk = number + 1, Chunk()
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            stops = np.searchsorted(np.cumsum([len(t) for t in texts]), np.arange(AT_ONCE, sum(map(len, texts)) + AT_ONCE, AT_ONCE)) + 1
+            for i, k in zip([0, *stops], [*stops, len(texts)], strict=True):
+                for doc_id, numbers in zip(ids[i:k], aligner.known(texts[i:k]), strict=True):
+                    chunk.add(doc_id, numbers, aligner)
+                    if chunk.size >= most:
+                        yield chunk.row(number)
+                        number, chunk = number + 1, Chunk()
         if chunk.ids:
             yield chunk.row(number)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.layout import asof_backward, bar_index, blocked, greedy_cooldown, islands, own_rows, range_join
+from ..plans.passage import counts_from, passages, pyramid
 
 
 def swings(bars: DataFrame, left: int = 2, right: int = 2, strict: bool = True) -> DataFrame:
@@ -40,6 +41,46 @@ def level_lifecycle(levels: DataFrame, bars: DataFrame, horizon: int, tolerance:
     return out.withColumn("status", F.when(F.col("swept_bar").isNotNull(), "swept").when(F.col("broken_bar").isNotNull(), "invalidated").otherwise("active"))
 
 
+def level_states(levels: DataFrame, bars: DataFrame, tolerance: float = 0.1, max_age: int = 200, unit: float = 0.25) -> DataFrame:
+    """``levels`` (symbol, level_id, level_type, kind, price, origin_bar, known_bar, n_seed) with their state at the end of their series, however far that is.
+
+    A low is touched by a bar whose low is at most its price, and swept by one whose low is under it, from ``known_bar`` on;
+    highs likewise. Levels of type ``equal`` are touched ``tolerance`` ATR earlier and swept as much later. A swing is
+    touched from its own bar on, a day's level once it is known, and an equal level has its ``n_seed`` first touches, up to
+    the one that made it known, before those that follow. A bar without ATR counts for nothing. A level is swept
+    by its first sweep, else invalidated when it is more than ``max_age`` bars old, else active. ``unit`` is the width
+    of the price buckets in which touches are counted.
+    """
+    wide = F.col("level_type") == "equal"
+    side = F.concat("kind", F.when(wide, "1").otherwise("0"))
+    own = levels.withColumn("side", side).withColumn("_p", F.when(F.col("kind") == "L", F.col("price")).otherwise(-F.col("price")))
+    own = own.withColumn("_since", F.when(wide, F.col("known_bar") + 1).when(F.col("level_type") == "prev_day", F.col("known_bar")).otherwise(F.col("origin_bar")))
+    # highs are lows of the other sign
+    sides = F.array(*[F.struct(F.lit(f"{kind}{i}").alias("side"), (F.col("low") if kind == "L" else -F.col("high")).alias("v"), (F.col("atr") * t).alias("r")) for kind in "LH" for i, t in enumerate((0.0, tolerance))])
+    reach = bars.select("symbol", "bar", F.explode(sides).alias("s")).select("symbol", "bar", "s.side", (F.col("s.v") - F.col("s.r")).alias("touch"), (F.col("s.v") + F.col("s.r")).alias("pass"))
+    keys, at = ("symbol", "side"), ["symbol", "level_id"]
+    touch = pyramid(reach, F.col("touch"), keys)
+    asks = own.select("symbol", "side", "level_id", "_p", "_since", "known_bar")
+    touched = counts_from(asks, reach, F.col("touch"), F.col("_p"), F.col("_since"), "_n", unit, keys)
+    firsts = passages(asks, reach, F.col("touch"), F.col("_p"), F.col("_since"), "_first", keys=keys, levels=touch)
+    lasts = passages(asks, reach, F.col("touch"), F.col("_p"), F.lit((1 << 62)), "_last", last=True, keys=keys, levels=touch)
+    swept = passages(asks, reach, F.col("pass"), F.col("_p"), F.col("known_bar"), "swept_bar", strict=True, keys=keys)
+    out = own
+    for part, c in ((touched, "_n"), (firsts, "_first"), (lasts, "_last"), (swept, "swept_bar")):
+        out = out.join(part.select(*at, c), at, "left")
+    ends = bars.groupBy("symbol").agg(F.max("bar").alias("_end"))
+    out = out.join(ends, "symbol").filter(F.col("known_bar") <= F.col("_end"))
+    again = F.when(F.col("_first").isNotNull(), F.col("_last"))  # the last touch of all is one since
+    age = F.col("_end") - F.col("origin_bar")
+    state = F.when(F.col("swept_bar").isNotNull(), "swept").when(age > max_age, "invalidated").otherwise("active")
+    last = F.coalesce(again, F.when(wide, F.col("known_bar")))
+    return out.select(
+        *levels.columns, (F.coalesce("_n", F.lit(0)) + F.when(wide, F.col("n_seed")).otherwise(0)).cast("long").alias("touch_count"),
+        F.when(wide, F.col("origin_bar")).otherwise(F.col("_first")).alias("first_touch_bar"), last.alias("last_touch_bar"), age.alias("age_bars"), (F.col("_end") - last).alias("bars_since_last_touch"),
+        "swept_bar", state.alias("sweep_state"), F.when(state == "active", "active").otherwise("expired").alias("status"), F.when(state == "invalidated", F.col("origin_bar") + max_age + 1).alias("invalidated_bar"),
+    )
+
+
 def sweep_flags(rolled: DataFrame, min_wick: float = 0.3, max_depth: float = 3.0) -> DataFrame:
     """Bars whose low (high) passes the prior extreme and closes back inside: long and short flags, depth in ATR."""
     atr = F.expr("nullif(atr, 0)")

@@ -10,6 +10,8 @@ from ..plans.layout import range_join
 #: name: (first bar after entry, last bar after entry less the horizon, tie, excursions up to the exit only)
 PRESETS = {
     "labels": (0, -1, "ambiguous", True),
+    "conservative": (0, -1, "stop", True),
+    "optimistic": (0, -1, "target", True),
     "stored": (1, 0, "stop", False),
     "fixed": (1, 0, "target", False),
     "backtest": (1, 1, "target", True),
@@ -24,13 +26,13 @@ def trade_levels(events: DataFrame, buffer: float = 0.1, reward: float = 1.5) ->
     return out.filter("risk > 0").withColumn("target", F.when(long, F.col("entry") + reward * F.col("risk")).otherwise(F.col("entry") - reward * F.col("risk")))
 
 
-def barrier_outcomes(trades: DataFrame, bars: DataFrame, horizon: int, preset: str = "labels", id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar"), own_horizon: str | None = None) -> DataFrame:
+def barrier_outcomes(trades: DataFrame, bars: DataFrame, horizon: int, preset: str = "labels", id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar"), own_horizon: str | None = None, time_result: str = "close") -> DataFrame:
     """Which barrier is touched first, the result in risks, and the excursions, by one of PRESETS.
 
     The window has ``horizon`` bars, or as many as the column ``own_horizon`` (one of ``id_cols``) says, at most ``horizon``.
 
-    A trade's own columns are kept. Nothing touched means a time exit at the last bar's close; a window cut by the
-    series' end is marked truncated.
+    A trade's own columns are kept. Nothing touched means a time exit, at the last bar's close or, with ``time_result``
+    "zero", without gain or loss; a window cut by the series' end is marked truncated.
     """
     first, more, tie, to_exit = PRESETS[preset]
     span = trades.select(*id_cols, "entry", "stop", "target", "risk", (F.col("entry_bar") + first).alias("_from"), (F.col("entry_bar") + (F.lit(horizon) if own_horizon is None else F.col(own_horizon)) + more).alias("_to"))
@@ -46,7 +48,7 @@ def barrier_outcomes(trades: DataFrame, bars: DataFrame, horizon: int, preset: s
     reason = F.when(same, {"ambiguous": "ambiguous", "stop": "sl", "target": "tp"}[tie]).when(wins, "tp").when(F.col("stop_bar").isNotNull(), "sl").otherwise("time")
     out = out.withColumn("exit_reason", reason).withColumn("exit_bar", F.coalesce(F.least("stop_bar", "target_bar"), "last_bar"))
     mark = F.when(F.col("direction") == "long", F.col("last_close") - F.col("entry")).otherwise(F.col("entry") - F.col("last_close")) / F.col("risk")
-    result = F.when(F.col("exit_reason") == "tp", F.abs(F.col("target") - F.col("entry")) / F.col("risk")).when(F.col("exit_reason") == "sl", -1.0).when(F.col("exit_reason") == "time", mark)
+    result = F.when(F.col("exit_reason") == "tp", F.abs(F.col("target") - F.col("entry")) / F.col("risk")).when(F.col("exit_reason") == "sl", -1.0).when(F.col("exit_reason") == "time", F.lit(0.0) if time_result == "zero" else mark)
     upto = F.col("exit_bar") if to_exit else F.col("last_bar")
     held = F.filter("_path", lambda p: p["bar"] <= upto)
     return (
@@ -77,6 +79,17 @@ def excursions(trades: DataFrame, bars: DataFrame, horizon: int, id_cols: tuple[
     )
 
 
+def horizon_labels(trades: DataFrame, bars: DataFrame, horizon: int = 72, target_r: float = 1.25, id_cols: tuple[str, ...] = ("symbol", "direction", "entry_bar")) -> DataFrame:
+    """Excursions over the whole ``horizon`` bars after entry, ``label`` 1 if the gain reached ``target_r`` risks, and ``pnl_r``.
+
+    The result is the target where it was reached, else -1 where the loss reached a risk, else the last close. Trades whose
+    window the series' end cuts have no label and go.
+    """
+    told = excursions(trades.filter("risk > 0"), bars, horizon, id_cols).filter(F.col("n_bars") == horizon)
+    won, lost = F.col("mfe_r") >= target_r, F.col("mae_r") >= 1
+    return told.select(*id_cols, "mfe_r", "mae_r", "close_r", won.cast("int").alias("label"), F.when(won, F.lit(target_r)).when(lost, F.lit(-1.0)).otherwise(F.col("close_r")).alias("pnl_r"))
+
+
 def outcome_grid(trades: DataFrame, bars: DataFrame, rewards: list[float], horizons: list[int], preset: str = "fixed") -> DataFrame:
     """One row for each trade, reward and horizon, by one join with the bars."""
     sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -143,16 +145,51 @@ def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return running_sum(df.withColumn("_one", F.lit(1)), "_one", "place", keys, order).withColumn("place", (F.col("place") - 1).cast("long")).drop("_one")
 
 
+def _chosen(bars: np.ndarray, k: int, at: int) -> tuple[np.ndarray, int]:
+    """The places of rising ``bars`` that are accepted from ``at`` on, each more than ``k`` after the last; and from where the next may be."""
+    out, i = [], int(np.searchsorted(bars, at))
+    while i < len(bars):
+        out.append(i)
+        at = int(bars[i]) + k + 1
+        i = int(np.searchsorted(bars, at))
+    return np.array(out, np.int64), at
+
+
 def greedy_cooldown(df: DataFrame, k: int, keys: Sequence[str], order: str = "bar", inclusive: bool = False) -> DataFrame:
     """Rows accepted one after the other, each more than ``k`` (``inclusive``: at least k) after the last accepted one.
 
-    A gap over ``k`` starts afresh whatever was accepted before, so islands between such gaps are folded by themselves.
+    All that a block needs to know of those before it is how far into it the last accepted row still reaches: one of
+    0 to k. So a block is a map of these numbers; maps of 1, 2, 4, ... blocks on end are composed in as many rounds as a
+    series has doublings, and then each block is replayed from its own number. A task holds the distinct ``order``
+    values of one block (at least ``BUCKET`` and 2 k wide), however dense a series is. Rows of one ``order`` value stay or go together.
     """
-    df = saved(df, "cooling")  # read three times
-    held = islands(df, k, keys, order).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.col(order))).alias("at"))
-    apart = f"x - element_at(acc, -1) {'>=' if inclusive else '>'} {k}"
-    taken = held.select(*keys, F.explode(F.expr(f"aggregate(slice(at, 2, size(at)), slice(at, 1, 1), (acc, x) -> if({apart}, concat(acc, array(x)), acc))")).alias(order))
-    return df.join(taken, [*keys, order], "left_semi")
+    k = max(0, k - 1) if inclusive else k
+    width = max(BUCKET, 2 * (k + 1))
+    df = saved(df, "cooling")  # read twice
+    places = df.filter(F.col(order).isNotNull()).select(*keys, F.col(order).cast("long").alias("_at")).distinct().withColumn("_blk", F.floor(F.col("_at") / width))
+    named = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in places.select(*keys).schema)
+
+    def maps(key: tuple, rows: pa.Table) -> pa.Table:
+        bars, begin = np.sort(rows["_at"].to_numpy()), key[-1].as_py() * width
+        reach = [max(0, _chosen(bars, k, begin + i)[1] - begin - width) for i in range(k + 1)]
+        return pa.table({**{c: rows[c][:1] for c in keys}, "_blk": pa.array([key[-1].as_py()], pa.int64()), "map": pa.array([reach], pa.list_(pa.int32()))})
+
+    blocks = saved(places.groupBy(*keys, "_blk").applyInArrow(maps, f"{named}, _blk long, map array<int>"), "cooling-maps")
+    span = blocks.groupBy(*keys).agg((F.max("_blk") - F.min("_blk")).alias("n")).agg(F.max("n")).first()[0] or 0
+    so_far = blocks  # of each block: what the last 2^r blocks, itself with them, make of a number; an absent block makes it 0
+    for r in range(int(span).bit_length()):
+        earlier = so_far.select(*keys, (F.col("_blk") + (1 << r)).alias("_blk"), F.col("map").alias("_before"))
+        both = F.when(F.col("_before").isNotNull(), F.transform("_before", lambda x: F.get("map", x))).otherwise(F.transform("map", lambda x: F.get("map", F.lit(0))))
+        so_far = saved(so_far.join(earlier, [*keys, "_blk"], "left").select(*keys, "_blk", both.alias("map")), "cooling-maps")
+    into = so_far.select(*keys, (F.col("_blk") + 1).alias("_blk"), F.get("map", F.lit(0)).alias("_reach"))
+
+    def replay(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_at")
+        at = _chosen(rows["_at"].to_numpy(), k, key[-1].as_py() * width + (rows["_reach"][0].as_py() or 0))[0]
+        return rows.select([*keys, "_at"]).take(pa.array(at))
+
+    taken = places.join(into, [*keys, "_blk"], "left").groupBy(*keys, "_blk").applyInArrow(replay, f"{named}, _at long")
+    return df.join(taken.withColumnRenamed("_at", order), [*keys, order], "left_semi")
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

@@ -572,4 +572,4 @@ def _(s, d):
     return s.read.parquet(path).selectExpr("symbol", EPOCH, *src.OHLCV)
 
 
-from . import feature_queries, further_queries, more_queries, pattern_queries, trade_queries  # noqa: E402, F401  register their own queries
+from . import feature_queries, further_queries, more_queries, passage_queries, pattern_queries, trade_queries  # noqa: E402, F401  register their own queries

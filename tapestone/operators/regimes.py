@@ -1,5 +1,8 @@
 """Regimes: a Gaussian hidden Markov model fitted by EM over blocks of each series, its causal filter, and their use on events.
 
+States have full covariance matrices. The fit starts at a mixture of Gaussians, itself fitted by EM, whose sums need no
+order of the rows.
+
 A block of bars is a product of K x K matrices in the log semiring. Blocks are multiplied by themselves, the products of
 a series (a row for each block) give every block what comes in from both sides, and the statistics of a round are sums
 over blocks. Only the parameters, a row for each series, go from round to round.
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from ..plans.folders import saved
 from ..plans.layout import asof_backward
 
+#: trans, means and vars hold (k, k), (k, d) and the covariances (k, d, d) row by row.
 PARAMS = "symbol string, k long, start array<double>, trans array<double>, means array<double>, vars array<double>, shift array<double>, scale array<double>, n long, loglik double"
 TINY = 1e-300
 
@@ -42,10 +46,12 @@ def running_products(steps: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_density(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
-    """(n, K): the log density of each row under each state's Gaussian with its own variance in every dimension."""
-    away = (x[:, None, :] - means[None]) ** 2 / variances[None]
-    return -0.5 * (away + np.log(2 * np.pi * variances)[None]).sum(2)
+def log_density(x: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
+    """(n, K): the log density of each row under each state's Gaussian, by the Cholesky factor of its covariance matrix."""
+    roots = np.linalg.cholesky(covariances)
+    away = np.linalg.solve(roots, (x[None] - means[:, None]).transpose(0, 2, 1))
+    size = 2 * np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(1)
+    return -0.5 * ((away**2).sum(1) + size[:, None] + x.shape[1] * np.log(2 * np.pi)).T
 
 
 class _Model:
@@ -55,7 +61,7 @@ class _Model:
         self.k = int(row["k"])
         self.d = len(row["shift"])
         self.start, self.trans = np.log(np.array(row["start"]) + TINY), np.log(np.array(row["trans"]).reshape(self.k, self.k) + TINY)
-        self.means, self.vars = (np.array(row[c], float).reshape(self.k, self.d) for c in ("means", "vars"))
+        self.means, self.vars = np.array(row["means"], float).reshape(self.k, self.d), np.array(row["vars"], float).reshape(self.k, self.d, self.d)
         self.shift, self.scale = np.array(row["shift"], float), np.array(row["scale"], float)
 
     def rows(self, x: Sequence) -> np.ndarray:
@@ -104,6 +110,11 @@ def _carries(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"symbol": frame["symbol"], "blk": frame["blk"], "into": [list(map(float, v)) for v in into], "after": [list(map(float, v)) for v in after], "loglik": total})
 
 
+def outer_sums(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each state the sum of its weight times a row's outer product with itself."""
+    return np.concatenate([((x * w[:, None]).T @ x).ravel() for w in weights.T])
+
+
 def _statistics(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("bar")
     head = frame.iloc[0]
@@ -124,7 +135,7 @@ def _statistics(frame: pd.DataFrame) -> pd.DataFrame:
         moved[at] = False
         started = gamma[at]
     x = np.where(np.isfinite(x), x, 0.0)
-    sums = {"start": started, "xi": xi[moved].sum(0).ravel(), "g": gamma.sum(0), "gx": (gamma.T @ x).ravel(), "gxx": (gamma.T @ x**2).ravel()}
+    sums = {"start": started, "xi": xi[moved].sum(0).ravel(), "g": gamma.sum(0), "gx": (gamma.T @ x).ravel(), "gxx": outer_sums(gamma, x)}
     return pd.DataFrame({"symbol": [head["symbol"]], **{n: [list(map(float, v))] for n, v in sums.items()}, "loglik": [total]})
 
 
@@ -132,8 +143,28 @@ def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
     return rows.join(params.drop("loglik", "n"), "symbol")
 
 
+def _mixture_statistics(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block's sums where each row is drawn by itself: the states' weights, first and second moments."""
+    head = frame.iloc[0]
+    model = _Model(head)
+    x = model.rows(frame["x"])
+    x = x[np.isfinite(x).all(1)]
+    joint = log_density(x, model.means, model.vars) + model.start
+    own = log_sum(joint, 1)
+    gamma = np.exp(joint - own[:, None])
+    sums = np.concatenate([gamma.sum(0), (gamma.T @ x).ravel(), outer_sums(gamma, x), [own.sum()]])
+    return pd.DataFrame({"symbol": [head["symbol"]], "v": [sums.tolist()]})
+
+
+def mixture_expectation(blocks: DataFrame, params: DataFrame) -> DataFrame:
+    """(symbol, v): a mixture round's sums, with the log likelihood at the end."""
+    sums = _with(blocks, params).groupBy("symbol", "blk").applyInPandas(_mixture_statistics, "symbol string, v array<double>")
+    long = sums.select("symbol", F.posexplode("v").alias("i", "v")).groupBy("symbol", "i").agg(F.sum("v").alias("v"))
+    return long.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
+
+
 def expectation(blocks: DataFrame, params: DataFrame) -> DataFrame:
-    """A round's sums for each series: start, transitions, and the states' weights, first and second moments."""
+    """A round's sums for each series: start, transitions, and the states' weights, first moments and outer products."""
     own = _with(blocks, params)
     maps = saved(own.groupBy("symbol", "blk").applyInPandas(_products, "symbol string, blk long, m array<double>"), "block-products")
     carries = maps.groupBy("symbol").applyInPandas(_carries, "symbol string, blk long, into array<double>, after array<double>, loglik double")
@@ -143,15 +174,21 @@ def expectation(blocks: DataFrame, params: DataFrame) -> DataFrame:
     return long.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"), F.first("loglik").alias("loglik"))
 
 
-def _maximise(floor: float):
+def _gaussians(g: np.ndarray, gx: np.ndarray, gxx: np.ndarray, k: int, d: int, floor: float, full: bool) -> dict:
+    """Means and covariances of the sums; ``floor`` is added to the variances."""
+    g = g + TINY
+    means = gx.reshape(k, d) / g[:, None]
+    spread = gxx.reshape(k, d, d) / g[:, None, None] - means[:, :, None] * means[:, None, :]
+    own = np.eye(d)
+    spread = np.where(own > 0, np.maximum(spread, 0.0), spread if full else 0.0)
+    return {"means": means.ravel(), "vars": (spread + floor * own).ravel()}
+
+
+def _maximise(floor: float, full: bool):
     def run(row, k: int, d: int) -> dict:
-        v = np.array(row)
-        start, xi, g, gx, gxx = np.split(v, np.cumsum([k, k * k, k, k * d]))
+        start, xi, g, gx, gxx = np.split(np.array(row), np.cumsum([k, k * k, k, k * d]))
         xi = xi.reshape(k, k) + 1e-9
-        g = g + TINY
-        means = gx.reshape(k, d) / g[:, None]
-        variances = np.maximum(gxx.reshape(k, d) / g[:, None] - means**2, 0.0) + floor
-        return {"start": (start + TINY) / (start + TINY).sum(), "trans": (xi / xi.sum(1, keepdims=True)).ravel(), "means": means.ravel(), "vars": variances.ravel()}
+        return {"start": (start + TINY) / (start + TINY).sum(), "trans": (xi / xi.sum(1, keepdims=True)).ravel(), **_gaussians(g, gx, gxx, k, d, floor, full)}
 
     return run
 
@@ -169,20 +206,45 @@ def initial_parameters(rows: DataFrame, names: Sequence[str], k: int, stay: floa
     means = F.flatten(F.array(*[F.array((F.col("q")[i] - F.col("shift")[0]) / F.col("scale")[0], *zeros) for i in range(k)]))
     move = [F.lit(stay if i == j else (1 - stay) / max(k - 1, 1)) for i in range(k) for j in range(k)]
     return stats.select(
-        "symbol", F.lit(k).cast("long").alias("k"), F.array(*[F.lit(1.0 / k)] * k).alias("start"), F.array(*move).alias("trans"), means.alias("means"), F.array(*[F.lit(1.0)] * (k * len(names))).alias("vars"),
+        "symbol", F.lit(k).cast("long").alias("k"), F.array(*[F.lit(1.0 / k)] * k).alias("start"), F.array(*move).alias("trans"), means.alias("means"), F.array(*[F.lit(float(i == j)) for _ in range(k) for i in range(len(names)) for j in range(len(names))]).alias("vars"),
         "shift", "scale", F.col("n").cast("long").alias("n"), F.lit(float("-inf")).alias("loglik"),
     )
 
 
-def fit_regimes(rows: DataFrame, names: Sequence[str], k: int = 3, rounds: int = 50, tolerance: float = 1e-4, least_rows: int = 50, block: int = 1024, floor: float = 1e-3) -> DataFrame:
+def fit_mixture(blocks: DataFrame, params: DataFrame, d: int, rounds: int, tolerance: float, floor: float, full: bool) -> DataFrame:
+    """``params`` with the start, means and covariances of a mixture of Gaussians: EM from ``params`` until no series' mean log likelihood moves by ``tolerance``."""
+    now = params
+    for _ in range(rounds):
+        joined = saved(now.withColumnRenamed("loglik", "before").join(mixture_expectation(blocks, now), "symbol"), "mixture-sums")
+
+        def better(frames):
+            for frame in frames:
+                out = []
+                for row in frame.to_dict("records"):
+                    k, v = int(row["k"]), np.array(row["v"])
+                    g, gx, gxx, total = np.split(v, np.cumsum([k, k * d, k * d * d]))
+                    made = _gaussians(g, gx, gxx, k, d, floor, full)
+                    out.append({**row, "start": (g / g.sum()).tolist(), "means": made["means"].tolist(), "vars": made["vars"].tolist(), "loglik": float(total[0])})
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in PARAMS.split(", ")])
+
+        now = saved(joined.mapInPandas(better, PARAMS), "mixture")
+        moved = joined.select("symbol", "before", "n").join(now.select("symbol", "loglik"), "symbol").filter(F.abs(F.col("loglik") - F.col("before")) >= tolerance * F.col("n"))
+        if not moved.limit(1).count():
+            break
+    return now.withColumn("loglik", F.lit(float("-inf")))
+
+
+def fit_regimes(rows: DataFrame, names: Sequence[str], k: int = 3, rounds: int = 50, tolerance: float = 1e-4, least_rows: int = 50, block: int = 1024, floor: float = 1e-3, full: bool = True, mixture_rounds: int = 20) -> DataFrame:
     """PARAMS of each series of at least ``least_rows`` whole rows: EM until no series' log likelihood moves by ``tolerance``, or ``rounds`` rounds.
 
-    ``rows`` is (symbol, bar, names), a null or NaN being a missing row; shorter series have no parameters (see
+    States start at a mixture of Gaussians (``mixture_rounds`` at most, 0 for none). Covariances are full, or diagonal without
+    ``full``. ``rows`` is (symbol, bar, names), a null or NaN being a missing row; shorter series have no parameters (see
     ``regime_states``).
     """
     blocks = saved(_blocked(rows, names, block), "regime-blocks")
     params = saved(initial_parameters(rows, names, k).filter(F.col("n") >= least_rows), "parameters")
-    step, d = _maximise(floor), len(names)
+    step, d = _maximise(floor, full), len(names)
+    params = fit_mixture(blocks, params, d, mixture_rounds, 1e-6, floor, full)
 
     def better(frame: pd.DataFrame) -> pd.DataFrame:
         made = [step(v, k, d) for v in frame["v"]]
@@ -211,11 +273,12 @@ def ordered_by_drift(params: DataFrame, least_share: float = 0.0) -> DataFrame:
                 means, trans = np.array(row["means"]).reshape(k, d), np.array(row["trans"]).reshape(k, k)
                 order = np.argsort(means[:, 0], kind="stable")
                 entered = (trans - np.diag(np.diag(trans))).sum(0)
-                if not np.isfinite(means).all() or (k > 1 and entered.min() < least_share) or np.array(row["vars"]).min() <= 0:
+                spreads = np.array(row["vars"]).reshape(k, d, d)
+                if not np.isfinite(means).all() or (k > 1 and entered.min() < least_share) or np.linalg.eigvalsh(spreads).min() <= 0:
                     raise ValueError(f"degenerate regimes of {row['symbol']}")
                 row["start"] = np.array(row["start"])[order].tolist()
                 row["trans"] = trans[np.ix_(order, order)].ravel().tolist()
-                row["means"], row["vars"] = means[order].ravel().tolist(), np.array(row["vars"]).reshape(k, d)[order].ravel().tolist()
+                row["means"], row["vars"] = means[order].ravel().tolist(), spreads[order].ravel().tolist()
                 out.append(row)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PARAMS.split(", ")])
 

@@ -528,7 +528,7 @@ def fitted_of(s, d):
     from .operators import regimes
 
     rows = saved(fea.trend_inputs(ind.add_atr(bars_of(s, d)), INPUTS), "inputs")
-    return rows, regimes.fit_regimes(rows, INPUTS, 2, 8)
+    return rows, regimes.fit_regimes(rows, INPUTS, 2, 8, mixture_rounds=5)
 
 
 @query("reg1_fitted_regimes")
@@ -551,6 +551,14 @@ def states_of(s, d):
     return saved(regimes.regime_states(rows, INPUTS, regimes.ordered_by_drift(params), 2, lag=1), "states")
 
 
+@query("udx2_regime_estimator")
+def _(s, d):
+    from .operators.regime_models import RegimeEstimator
+
+    rows = saved(fea.trend_inputs(ind.add_atr(bars_of(s, d)), INPUTS), "inputs")
+    return RegimeEstimator(inputCols=INPUTS, states=2, rounds=2, mixtureRounds=2, lag=1).fit(rows).transform(rows).select("symbol", "bar", "state", "confidence", "stamp_bar")
+
+
 @query("reg6_state_shares")
 def _(s, d):
     from .operators import regimes

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from .functions import indicators as ind
 from .operators import events as ev
 from .operators import features as fea
+from .further_queries import COARSE
 from .pattern_queries import ALL, NAMED, atr_bars, named_events
 from .plans.folders import saved
 from .queries import ATR, BARS, COOLED, DAILY, SWEPT, W, _frame, _full, _swing_sql, bars_of, cooled_of, query
+from .sources import bars as src
 
 RULES, SPAN = ("4 hours", "12 hours"), 20
 SESSIONS = {"asia": (0, 8), "london": (8, 16), "new_york": (13, 21)}
@@ -80,7 +82,7 @@ def _(s, d):
 
 def rolled_of_table(s, d):
     rolled = ind.add_sweep_inputs(bars_of(s, d))
-    return saved(ind.add_percentile(ind.add_percentile(rolled, "close", 50), "volume", 50, "volume_pct"), "rolled")
+    return saved(ind.add_percentile(ind.add_percentile(rolled, "atr", 200), "volume", 200, "volume_pct"), "rolled")
 
 
 def _confirm_sql(source: str, out: str = "conf") -> str:
@@ -110,17 +112,22 @@ def _(s, d):
     return confirmed_of(s, d).select(*KEYS, "confirm_bar", "delay", "confirm_range", "confirm_body", "confirm_type", "strength")
 
 
-LEVELS = """, pfirst AS (SELECT symbol, date_trunc('day', ts) AS day, min(bar) AS known_bar FROM bars GROUP BY 1, 2),
-levels AS (SELECT symbol, 'swing_' || kind || '_' || CAST(known_bar AS VARCHAR) AS level_id, 'swing' AS level_type, kind, price, known_bar FROM swings
- UNION ALL SELECT p.symbol, 'prev_day_' || k.kind || '_' || CAST(f.known_bar AS VARCHAR), 'prev_day', k.kind, CASE WHEN k.kind = 'H' THEN p.prev_day_high ELSE p.prev_day_low END, f.known_bar FROM pday p JOIN pfirst f ON f.symbol = p.symbol AND f.day = p.day, (SELECT unnest(['H', 'L']) AS kind) k WHERE p.prev_day_high IS NOT NULL),
-lnear AS (SELECT e.symbol, e.direction, e.bar, l.level_id, l.level_type, l.kind, l.price, l.known_bar FROM conf e JOIN levels l ON l.symbol = e.symbol AND l.known_bar <= e.bar AND l.kind = CASE WHEN e.direction = 'long' THEN 'L' ELSE 'H' END AND abs(l.price - e.level) <= 2 * e.atr
+#: Swings of the coarse bars; their CTE's name is taken by a context.
+COARSE_LEVELS = COARSE.replace("h4 AS", "c4 AS").replace("FROM h4", "FROM c4") + ", h1w AS (SELECT c.symbol, kind, price, b.bar AS known_bar FROM csw c ASOF JOIN bars b ON b.symbol = c.symbol AND c.kts <= b.ts)"
+LEVELS = COARSE_LEVELS + """, pfirst AS (SELECT symbol, date_trunc('day', ts) AS day, min(bar) AS known_bar FROM bars GROUP BY 1, 2),
+levels AS (SELECT symbol, 'swing_' || kind || '_' || CAST(known_bar AS VARCHAR) AS level_id, 'swing' AS level_type, kind, price, known_bar, false AS is_h1 FROM swings
+ UNION ALL SELECT symbol, 'h1_' || kind || '_' || CAST(known_bar AS VARCHAR), 'swing', kind, price, known_bar, true FROM h1w
+ UNION ALL SELECT p.symbol, 'prev_day_' || k.kind || '_' || CAST(f.known_bar AS VARCHAR), 'prev_day', k.kind, CASE WHEN k.kind = 'H' THEN p.prev_day_high ELSE p.prev_day_low END, f.known_bar, false FROM pday p JOIN pfirst f ON f.symbol = p.symbol AND f.day = p.day, (SELECT unnest(['H', 'L']) AS kind) k WHERE p.prev_day_high IS NOT NULL),
+lnear AS (SELECT e.symbol, e.direction, e.bar, l.level_id, l.level_type, l.kind, l.price, l.known_bar, l.is_h1 FROM conf e JOIN levels l ON l.symbol = e.symbol AND l.known_bar <= e.bar AND l.kind = CASE WHEN e.direction = 'long' THEN 'L' ELSE 'H' END AND abs(l.price - e.level) <= 2 * e.atr
  QUALIFY row_number() OVER (PARTITION BY e.symbol, e.direction, e.bar ORDER BY abs(l.price - e.level), l.known_bar, l.level_id) = 1),
 lstate AS (SELECT n.symbol, n.direction, n.bar, count(*) FILTER (WHERE t) AS touches, max(b) FILTER (WHERE t) AS touched, bool_or(g AND b < bar) AS gone FROM (SELECT n.*, b.bar AS b, abs(CASE WHEN kind = 'L' THEN b.low ELSE b.high END - price) <= 0.1 * b.atr AS t, CASE WHEN kind = 'L' THEN b.low < price ELSE b.high > price END AS g FROM lnear n JOIN atr b ON b.symbol = n.symbol AND b.bar > n.known_bar AND b.bar <= n.bar) n GROUP BY 1, 2, 3),
 lvl AS (SELECT n.*, coalesce(s.touches, 0) AS level_touch_count, n.bar - n.known_bar AS level_age_bars, n.bar - s.touched AS bars_since_last_touch, coalesce(s.gone, false) AS swept_before FROM lnear n LEFT JOIN lstate s ON s.symbol = n.symbol AND s.direction = n.direction AND s.bar = n.bar)"""
 
 
 def levels_of(rolled):
-    return saved(ev.level_table({"swing": ev.swings(rolled), "prev_day": ev.previous_day_levels(rolled)}), "levels")
+    """Swings of the bars and of coarse bars, and the last days' highs and lows."""
+    coarse = ev.coarse_swings(src.resample_bars(rolled, "4 hours"), rolled)
+    return saved(ev.level_table({"swing": ev.swings(rolled), "h1": coarse, "prev_day": ev.previous_day_levels(rolled)}, ("h1",)), "levels")
 
 
 @query("j9_levels_within_reach", f"WITH RECURSIVE {BARS}{ANCHORED}{CONTEXT}{LEVELS} SELECT symbol, direction, bar, level_id, level_type, round(price, 6) AS price, level_touch_count, level_age_bars, bars_since_last_touch, swept_before FROM lvl")
@@ -131,11 +138,11 @@ def _(s, d):
 
 FLOATS = ("range_atr", "body_ratio", "lower_wick_ratio", "upper_wick_ratio", "close_location", "penetration_atr", "reclaim_atr", "wick_ratio", "sweep_volume_zscore", "equal_level_dispersion_atr", "atr_percentile", "volume_zscore", "distance_to_previous_day_high_atr", "distance_to_previous_day_low_atr", "confirmation_range_atr", "confirmation_body_ratio", "confirmation_volume_zscore")
 Z = f"{_full('(volume - avg(volume) @) / nullif(stddev_samp(volume) @, 0)', -50, -1)}"
-SWEEP_MATRIX = f"""{LEVELS}, px AS (SELECT symbol, bar, ts, {Z} AS vz, list(close) OVER {_frame(-49, 0)} AS xs, list(volume) OVER {_frame(-49, 0)} AS vs, close, volume FROM bars),
-pc AS (SELECT *, CASE WHEN len(xs) = 50 THEN (len(list_filter(xs, lambda x: x < close)) + (len(list_filter(xs, lambda x: x = close)) + 1) / 2.0) / 50 END AS pct, CASE WHEN len(vs) = 50 THEN (len(list_filter(vs, lambda x: x < volume)) + (len(list_filter(vs, lambda x: x = volume)) + 1) / 2.0) / 50 END AS vpct FROM px),
+SWEEP_MATRIX = f"""{LEVELS}, px AS (SELECT symbol, bar, ts, {Z} AS vz, list(atr) OVER {_frame(-199, 0)} AS xs, count(atr) OVER {_frame(-199, 0)} AS xn, list(volume) OVER {_frame(-199, 0)} AS vs, atr, volume FROM atr),
+pc AS (SELECT *, CASE WHEN xn = 200 THEN (len(list_filter(xs, lambda x: x < atr)) + (len(list_filter(xs, lambda x: x = atr)) + 1) / 2.0) / 200 END AS pct, CASE WHEN len(vs) = 200 THEN (len(list_filter(vs, lambda x: x < volume)) + (len(list_filter(vs, lambda x: x = volume)) + 1) / 2.0) / 200 END AS vpct FROM px),
 fea AS (SELECT e.symbol, e.direction, e.bar, (e.high - e.low) / nullif(e.atr, 0) AS range_atr, abs(e.close - e.open) / nullif(e.high - e.low, 0) AS body_ratio, (least(e.open, e.close) - e.low) / nullif(e.high - e.low, 0) AS lower_wick_ratio, (e.high - greatest(e.open, e.close)) / nullif(e.high - e.low, 0) AS upper_wick_ratio,
  (e.close - e.low) / nullif(e.high - e.low, 0) AS close_location, e.depth AS penetration_atr, CASE WHEN e.direction = 'long' THEN e.close - e.level ELSE e.level - e.close END / nullif(e.atr, 0) AS reclaim_atr, CASE WHEN e.direction = 'long' THEN least(e.open, e.close) - e.low ELSE e.high - greatest(e.open, e.close) END / nullif(e.high - e.low, 0) AS wick_ratio,
- p.vz AS sweep_volume_zscore, coalesce(l.level_type, 'rolling') AS level_type, l.level_age_bars, l.level_touch_count, l.bars_since_last_touch, CAST(NULL AS DOUBLE) AS equal_level_dispersion_atr, coalesce(l.level_type = 'prev_day', false) AS level_is_previous_day_high_low, false AS level_is_h1_swing, coalesce(l.swept_before, false) AS level_already_partially_swept,
+ p.vz AS sweep_volume_zscore, coalesce(l.level_type, 'rolling') AS level_type, l.level_age_bars, l.level_touch_count, l.bars_since_last_touch, CAST(NULL AS DOUBLE) AS equal_level_dispersion_atr, coalesce(l.level_type = 'prev_day', false) AS level_is_previous_day_high_low, coalesce(l.is_h1, false) AS level_is_h1_swing, coalesce(l.swept_before, false) AS level_already_partially_swept,
  p.pct AS atr_percentile, CASE WHEN p.pct < 0.33 THEN 'low' WHEN p.pct > 0.67 THEN 'high' WHEN p.pct IS NOT NULL THEN 'normal' END AS volatility_regime, p.vz AS volume_zscore, CAST(hour(p.ts) AS INT) AS hour_utc, CAST((isodow(p.ts) - 1) % 5 AS INT) AS day_of_week,
  hour(p.ts) < 8 AS session_asia, hour(p.ts) BETWEEN 13 AND 20 AS session_new_york, hour(p.ts) BETWEEN 8 AND 15 AS session_london, c.h1_trend, (e.close - c.prev_day_high) / nullif(e.atr, 0) AS distance_to_previous_day_high_atr, (e.close - c.prev_day_low) / nullif(e.atr, 0) AS distance_to_previous_day_low_atr,
  e.delay AS confirmation_delay_bars, e.confirm_range AS confirmation_range_atr, e.confirm_body AS confirmation_body_ratio, q.vz AS confirmation_volume_zscore, e.confirm_type, e.strength, e.confirm_volume, p.vpct AS volume_percentile, e.anchor_bar, e.confirm_bar

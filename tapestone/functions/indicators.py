@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.layout import affine_scan, blocked, own_rows, when_full
 
@@ -72,13 +76,33 @@ def _rolling(df: DataFrame, w: WindowSpec) -> DataFrame:
     )
 
 
+def window_ranks(values: np.ndarray, window: int) -> np.ndarray:
+    """Average-tie rank of each value among the ``window`` that end with it, as a share; NaN without a full window."""
+    out = np.full(len(values), np.nan)
+    if len(values) >= window:
+        held = np.lib.stride_tricks.sliding_window_view(values, window)
+        last = held[:, -1:]
+        rank = (held < last).sum(1) + ((held == last).sum(1) + 1) / 2
+        out[window - 1 :] = np.where(np.isfinite(held).all(1), rank / window, np.nan)
+    return out
+
+
 def add_percentile(bars: DataFrame, value: str, window: int = 50, out: str = "pct") -> DataFrame:
-    """Average-tie rank of a bar's value in its trailing window, as a share; null without a full window."""
-    df, w = blocked(bars, window)
-    df = df.withColumn("_xs", F.collect_list(value).over(w.rowsBetween(1 - window, 0)))
-    rank = F.expr(f"(size(filter(_xs, v -> v < {value})) + (size(filter(_xs, v -> v = {value})) + 1) / 2) / size(_xs)")
+    """Average-tie rank of a bar's value in its trailing window, as a share, and its regime; null without a full window of values.
+
+    Halo blocks are ranked one by one in arrays of numbers; no row carries its window.
+    """
+    df, _ = blocked(bars.drop(out, f"{out}_regime"), window)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bar")
+        values = pa.compute.cast(rows[value], pa.float64()).to_numpy(zero_copy_only=False)
+        return rows.append_column("_rank", pa.array(window_ranks(values, window), from_pandas=True)).filter(rows["_own"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_rank", T.DoubleType())])
+    ranked = df.groupBy("symbol", "_blk").applyInArrow(run, schema).withColumnRenamed("_rank", out)
     regime = F.expr(f"case when {out} is null then null when {out} < 0.33 then 'low' when {out} > 0.67 then 'high' else 'normal' end")
-    return own_rows(df.withColumn(out, F.when(F.size("_xs") == window, rank)).withColumn(f"{out}_regime", regime).drop("_xs"))
+    return ranked.withColumn(f"{out}_regime", regime).drop("_own", "_blk")
 
 
 def add_trend_context(bars: DataFrame, lookback: int = 20, min_r2: float = 0.1, out: str = "trend") -> DataFrame:

@@ -11,16 +11,12 @@ from .operators import groups as grp
 from .operators import outcomes as out
 from .operators import reports as rep
 from .plans import layout
-from .queries import BARS, DAILY, PF, RES, SWEPT, TRADES, ATR, _frame, _full, _outcomes, _swing_sql, bars_of, cooled_of, outcomes_of, query, results_of, rolled_of
+from .queries import ATR, BARS, DAILY, PF, RANKED, RES, SWEPT, TRADES, bars_of, cooled_of, outcomes_of, query, results_of, rolled_of, _frame, _full, _outcomes, _swing_sql
 from .sources import bars as src
 
-PCT = f"""l AS (SELECT symbol, bar, close, list(close) OVER {_frame(-49, 0)} AS xs FROM atr),
-p AS (SELECT symbol, bar, CASE WHEN len(xs) = 50 THEN (len(list_filter(xs, lambda x: x < close)) + (len(list_filter(xs, lambda x: x = close)) + 1) / 2.0) / 50 END AS pct FROM l)"""
-
-
-@query("ind6_volatility_regime", f"WITH {BARS}{ATR}, {PCT} SELECT symbol, bar, CASE WHEN pct < 0.33 THEN 'low' WHEN pct > 0.67 THEN 'high' WHEN pct IS NOT NULL THEN 'normal' END AS pct_regime FROM p")
+@query("ind6_volatility_regime", f"WITH {BARS}{ATR}, {RANKED} SELECT symbol, bar, CASE WHEN pct < 0.33 THEN 'low' WHEN pct > 0.67 THEN 'high' WHEN pct IS NOT NULL THEN 'normal' END AS pct_regime FROM p")
 def _(s, d):
-    return ind.add_percentile(bars_of(s, d), "close", 50).select("symbol", "bar", "pct_regime")
+    return ind.add_percentile(ind.add_atr(bars_of(s, d)), "atr", 200).select("symbol", "bar", "pct_regime")
 
 
 @query("flt1_window_of_events", "SELECT event_id, event_type, user_id FROM events WHERE event_type = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'")

@@ -19,7 +19,7 @@ SCORE_PARTS = {"level": 20, "sweep": 25, "reclaim": 15, "confirmation": 20, "con
 SWEEP_FEATURES = (
     "range_atr", "body_ratio", "lower_wick_ratio", "upper_wick_ratio", "close_location", "penetration_atr", "reclaim_atr", "wick_ratio", "sweep_volume_zscore", "level_type", "level_age_bars", "level_touch_count",
     "bars_since_last_touch", "equal_level_dispersion_atr", "level_is_previous_day_high_low", "level_is_h1_swing", "level_already_partially_swept", "atr_percentile", "volatility_regime", "volume_zscore", "hour_utc", "day_of_week",
-    "session_asia", "session_new_york", "session_london", "h1_trend", "distance_to_previous_day_high_atr", "distance_to_previous_day_low_atr", "confirmation_delay_bars", "confirmation_range_atr", "confirmation_body_ratio", "confirmation_volume_zscore",
+    "session_asia", "session_london", "session_new_york", "h1_trend", "distance_to_previous_day_high_atr", "distance_to_previous_day_low_atr", "confirmation_delay_bars", "confirmation_range_atr", "confirmation_body_ratio", "confirmation_volume_zscore",
 )
 
 

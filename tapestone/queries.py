@@ -232,9 +232,12 @@ def _(s, d):
     return ind.add_wilder_atr(bars_of(s, d)).select("symbol", "bar", "watr")
 
 
-@query("ind5_percentile", f"WITH {BARS}{ATR}, l AS (SELECT symbol, bar, close, list(close) OVER {_frame(-49, 0)} AS xs FROM atr) SELECT symbol, bar, CASE WHEN len(xs) = 50 THEN round((len(list_filter(xs, lambda x: x < close)) + (len(list_filter(xs, lambda x: x = close)) + 1) / 2.0) / 50, 6) END AS pct FROM l")
+RANKED = f"l AS (SELECT symbol, bar, atr, list(atr) OVER w AS xs, count(atr) OVER w AS n FROM atr WINDOW w AS ({W} ROWS 199 PRECEDING)), p AS (SELECT symbol, bar, CASE WHEN n = 200 THEN (len(list_filter(xs, lambda x: x < atr)) + (len(list_filter(xs, lambda x: x = atr)) + 1) / 2.0) / 200 END AS pct FROM l)"
+
+
+@query("ind5_percentile", f"WITH {BARS}{ATR}, {RANKED} SELECT symbol, bar, round(pct, 6) AS pct FROM p")
 def _(s, d):
-    return ind.add_percentile(bars_of(s, d), "close", 50).select("symbol", "bar", "pct")
+    return ind.add_percentile(ind.add_atr(bars_of(s, d)), "atr", 200).select("symbol", "bar", "pct")
 
 
 @query("ind7_rolling", f"""WITH {BARS}{ATR} SELECT symbol, bar, round({_full('(volume - avg(volume) @) / nullif(stddev_samp(volume) @, 0)', -50, -1)}, 6) AS volume_z, round({_full('(volume - avg(volume) @) / nullif(stddev_samp(volume) @, 0)', -19, 0)}, 6) AS volume_z20,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -28,11 +29,47 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def append_guarded(rows: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str] = (), required: Sequence[str] = (), known: str = "reject") -> int:
+#: Buckets of a table's id index; an append reads those of its own ids.
+ID_BUCKETS = 64
+
+
+def ids_known(rows: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """The keys among ``rows`` that the table at ``path`` has in any partition.
+
+    Beside the table lie an index of its keys in buckets, each with the append it came by, and a marker of each append
+    that ended. Keys of ended appends are in the table. An append that broke off may have left its rows or not, so its
+    keys are looked up in the table itself, and so are all keys of a table that has no index yet.
+    """
+    spark, keys = rows.sparkSession, list(keys)
+    table, index, ended = (stored(spark, p) for p in (path, f"{path}-ids", f"{path}-ended"))
+    asked = rows.select(*keys).distinct()
+    if table is None:
+        return asked.limit(0)
+    if index is None:
+        return asked.join(table.select(*keys), keys, "left_semi")
+    buckets = [r[0] for r in rows.select(id_bucket(keys)).distinct().collect()]  # ID_BUCKETS at most
+    held = asked.join(index.filter(F.col("bucket").isin(buckets)).select(*keys, "append"), keys)
+    if ended is None:
+        return asked.join(held, keys, "left_semi").join(table.select(*keys), keys, "left_semi")
+    ended = ended.select("append").distinct()
+    sure = held.join(ended, "append", "left_semi").select(*keys)
+    doubtful = saved(held.join(ended, "append", "left_anti").select(*keys), "doubtful")
+    if doubtful.limit(1).count():
+        sure = sure.unionByName(doubtful.join(table.select(*keys), keys, "left_semi"))
+    return sure.distinct()
+
+
+def id_bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+
+
+def append_guarded(rows: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str] = (), required: Sequence[str] = (), known: str = "reject", everywhere: bool = False) -> int:
     """Append ``rows`` to the table at ``path``, partitioned by ``partitions``; returns how many went in.
 
     A null in ``required`` or a key, and a key twice in ``rows``, are rejected. A key that the table has is rejected too,
-    or with ``known`` skip left out; only the partitions that ``rows`` touches are read for that.
+    or with ``known`` skip left out. Only the partitions that ``rows`` touches are read for that; with ``everywhere`` a key
+    is unique in the whole table, by an index of ids beside it (see ``ids_known``), which is written before the rows
+    and marked as ended after them, so that an append that breaks off can be sent again. One append runs at a time.
     """
     rows = saved(rows, "incoming")
     missing = F.lit(False)
@@ -43,15 +80,26 @@ def append_guarded(rows: DataFrame, path: str, keys: Sequence[str], partitions:
     if n := rows.groupBy(*keys).count().filter("count > 1").count():
         raise RejectedRows(f"{n} keys {list(keys)} come more than once")
     table = stored(rows.sparkSession, path)
-    if table is not None:
+    if everywhere:
+        held = ids_known(rows, path, keys)
+    elif table is not None:
         if partitions:
             table = table.join(rows.select(*partitions).distinct(), list(partitions), "left_semi")
         held = table.select(*keys)
+    if everywhere or table is not None:
         if known == "skip":
             rows = saved(rows.join(held, list(keys), "left_anti"), "new")
         elif n := rows.join(held, list(keys), "left_semi").count():
             raise RejectedRows(f"{n} keys {list(keys)} are stored already")
+    if everywhere:
+        number = uuid.uuid4().hex
+        entries = rows.select(*keys)
+        if table is not None and stored(rows.sparkSession, f"{path}-ids") is None:
+            entries = entries.unionByName(table.select(*keys))  # of a table from before its index
+        entries.withColumn("append", F.lit(number)).withColumn("bucket", id_bucket(keys)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}-ids")
     rows.write.mode("append").partitionBy(*partitions).parquet(path)
+    if everywhere:
+        rows.sparkSession.range(1).select(F.lit(number).alias("append")).coalesce(1).write.mode("append").parquet(f"{path}-ended")
     return rows.count()
 
 
@@ -65,8 +113,8 @@ def append_events(events: DataFrame, path: str, known: str = "reject") -> int:
 
 
 def append_outcomes(outcomes: DataFrame, path: str, known: str = "reject") -> int:
-    """Outcomes by month of the exit, one for each event."""
-    return append_guarded(outcomes.withColumn("month", month_of("exit_time")), path, ["event_id"], ["month"], ["exit_time"], known)
+    """Outcomes by month of the exit, one for each event, whatever its month."""
+    return append_guarded(outcomes.withColumn("month", month_of("exit_time")), path, ["event_id"], ["month"], ["exit_time"], known, everywhere=True)
 
 
 def append_metrics(rows: DataFrame, path: str, known: str = "reject") -> int:

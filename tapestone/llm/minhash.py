@@ -2,8 +2,9 @@
 
 Texts of the same word sequence are one class from the start. In each band bucket all members are held against the
 smallest one; what these links join is one component. In buckets that then still hold several components, members
-outside the largest meet a few delegates of it, and those still outside meet every member of another component, so no
-pair of a bucket is left out. Before the exact check, parity bitmaps of whole sets stand in for the texts.
+outside the largest meet a few delegates of it; those still in several components meet where their rarest shingles do
+(``prefix_pairs``), so no pair of a bucket is left out, and texts of one template, whose rare shingles are their own,
+aren't all held against each other. Before the exact check, parity bitmaps of whole sets stand in for the texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from .common import byte_texts, join_hot, per_worker, saved
+from .prefix_pairs import prefix_pairs
 
 KEPT_WORDS, LONGEST, CHUNK = 400_000, 40, 8192
 SIGNATURE = "doc_id long, n_shingles long, sequence binary, bands array<long>, sketch array<long>"
@@ -111,6 +113,16 @@ def _parities(k: int, bits: int):
     return run
 
 
+def _sets(k: int):
+    """The shingle sets of the last column's texts."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        kept = per_worker("minhash words", dict)
+        return (shingle_set(words_of(text), k, kept) for text in byte_texts(batch.column(batch.num_columns - 1)))
+
+    return of
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = per_worker("minhash words", dict)
@@ -170,7 +182,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     banded = classes.select("rep", F.explode("bands").alias("key"))
     # written, so that the joins with it have plain shuffles on both sides, in which large partitions can be split
     centres = saved(banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "centres")
-    facts = classes.select("rep", "n", "sketch", "bands").dropDuplicates(["rep"])
+    facts = classes.select("rep", "n", "sketch").dropDuplicates(["rep"])
     members = saved(banded.join(centres, "key").select("key", "rep", "centre", "members"), "members")
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -213,29 +225,28 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         mixed = saved(mixed, "mixed")
         return saved(placed.join(mixed, "key").filter("rep <> centre").join(facts, "rep").join(parity.select(F.col("doc_id").alias("rep"), "parity"), "rep"), "apart")
 
-    def across(apart: DataFrame, some: Column, more: Column) -> DataFrame:
-        """Plausible pairs of one bucket and two components, the first outside the largest; each pair in one bucket only."""
-        sides = ("rep", "component", "n", "sketch", "bands", "parity")
+    def across(apart: DataFrame, some: Column) -> DataFrame:
+        """Plausible pairs of one bucket and two components: the first outside the largest, the other one of ``some``."""
+        sides = ("rep", "component", "n", "sketch", "parity")
         minor = apart.filter("component <> major").select(F.col("key").alias("key_a"), *(F.col(c).alias(f"{c}_a") for c in sides))
-        other = apart.filter(some).select("key", "major", *(F.col(c).alias(f"{c}_b") for c in sides))
+        other = apart.filter(some).select("key", *(F.col(c).alias(f"{c}_b") for c in sides))
         near = sketch_similarity(F.col("sketch_a"), F.col("sketch_b"), bits, samples) >= least
         sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        on = (F.col("key_a") == F.col("key")) & (F.col("component_a") != F.col("component_b")) & more & sizes & near & alike()
+        on = (F.col("key_a") == F.col("key")) & (F.col("component_a") != F.col("component_b")) & sizes & near & alike()
         return minor.join(other, on).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
     apart = left_apart(joined)
     if apart.limit(1).count():
         # about so many members of the largest component stand for it in each bucket, others in another bucket
         chosen = (F.col("component") == F.col("major")) & (F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("majors") / delegates)) == 0)
-        met = saved(across(apart, chosen, F.lit(True)).join(starred, ["a", "b"], "left_anti"), "delegates")
+        met = saved(across(apart, chosen).join(starred, ["a", "b"], "left_anti"), "delegates")
         more_links = confirmed(met)
         if more_links.limit(1).count():
             joined = merged(joined, more_links)
             apart = left_apart(joined)
-        first = F.col("key_a") == F.array_min(F.array_intersect("bands_a", "bands_b"))
-        once = (F.col("component_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b"))
         if apart.limit(1).count():
-            rest = across(apart, F.lit(True), once & first)
+            loose = apart.select("rep", "component").distinct().join(held.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", "text")
+            rest = plausible(prefix_pairs(saved(loose, "loose-texts"), _sets(k), percent))
             rest = rest.join(starred, ["a", "b"], "left_anti").join(met, ["a", "b"], "left_anti")
             last_links = confirmed(saved(rest, "rest"))
             if last_links.limit(1).count():

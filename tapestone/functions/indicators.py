@@ -115,13 +115,18 @@ def add_trend_context(bars: DataFrame, lookback: int = 20, min_r2: float = 0.1,
 
 
 def add_sessions(bars: DataFrame, sessions: dict[str, tuple[int, int]]) -> DataFrame:
-    """A flag for each session's half-open UTC hours (which may wrap midnight), hour, and weekday with weekends folded."""
+    """A flag for each session's half-open UTC hours (which may wrap midnight), hour, weekday with weekends folded, the number of open sessions, and ``minutes_from_open``.
+
+    These minutes count from the start of the earliest (by its hour) open session to the bar's hour, so they are below
+    zero where only one that wraps midnight is open after it; null where none is.
+    """
     out = bars.withColumn("hour", F.hour("ts")).withColumn("dow", F.weekday("ts"))
     out = out.withColumn("dow", F.when(F.col("dow") >= 5, F.col("dow") - 5).otherwise(F.col("dow")))
     for name, (a, b) in sessions.items():
         h = F.col("hour")
         out = out.withColumn(f"in_{name}", (h >= a) & (h < b) if a <= b else (h >= a) | (h < b))
-    return out.withColumn("n_sessions", sum(F.col(f"in_{n}").cast("int") for n in sessions))
+    opened = F.array_min(F.array(*[F.when(F.col(f"in_{n}"), F.lit(a)) for n, (a, _) in sessions.items()]))
+    return out.withColumn("n_sessions", sum(F.col(f"in_{n}").cast("int") for n in sessions)).withColumn("minutes_from_open", (F.col("hour") - opened) * 60)
 
 
 def add_confirm_context(bars: DataFrame, back: int = 24, atr_back: int = 200) -> DataFrame:

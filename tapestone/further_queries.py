@@ -250,19 +250,13 @@ def _(s, d):
 
 
 SWEEP_GRID = [(b, r2) for b in (10, 20) for r2 in (0.1, 0.3)]
-AGG16 = " UNION ALL ".join(f"SELECT {b} AS lookback, {r2} AS min_r2, count(*) FILTER (WHERE r2_{b} >= {r2} AND sign(sl_{b}) = CASE direction WHEN 'long' THEN 1 ELSE -1 END) AS kept, count(*) AS n FROM j" for b, r2 in SWEEP_GRID)
+OOS_START = "2024-01-22 00:00:00"
+AGG16 = " UNION ALL ".join(f"SELECT direction, {b} AS lookback, {r2} AS min_r2, count(*) FILTER (WHERE ok) AS kept, count(*) AS n, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 1) AS kept_pct, count(*) FILTER (WHERE late) AS n_oos, count(*) FILTER (WHERE ok AND late) AS kept_oos, count(*) FILTER (WHERE ok AND late) >= 100 AS oos_ok FROM (SELECT direction, ts >= TIMESTAMP '{OOS_START}' AS late, coalesce(r2_{b} >= {r2} AND sign(sl_{b}) = CASE direction WHEN 'long' THEN 1 ELSE -1 END, false) AS ok FROM j) GROUP BY 1" for b, r2 in SWEEP_GRID)
 
 
-@query("agg16_trend_parameters", f"WITH {BARS}{SWEPT}, c AS (SELECT symbol, bar, {', '.join(f'''{_full('regr_slope(close, CAST(bar AS DOUBLE)) @', -b, -1)} AS sl_{b}, {_full('regr_r2(close, CAST(bar AS DOUBLE)) @', -b, -1)} AS r2_{b}''' for b in (10, 20))} FROM bars), j AS (SELECT s.direction, c.* FROM sweeps s JOIN c ON c.symbol = s.symbol AND c.bar = s.bar) {AGG16}")
+@query("agg16_trend_parameters", f"WITH {BARS}{SWEPT}, c AS (SELECT symbol, bar, {', '.join(f'''{_full('regr_slope(close, CAST(bar AS DOUBLE)) @', -b, -1)} AS sl_{b}, {_full('regr_r2(close, CAST(bar AS DOUBLE)) @', -b, -1)} AS r2_{b}''' for b in (10, 20))} FROM bars), j AS (SELECT s.direction, s.ts, c.* FROM sweeps s JOIN c ON c.symbol = s.symbol AND c.bar = s.bar) {AGG16}")
 def _(s, d):
-    sweeps = ev.sweep_rows(ev.sweep_flags(rolled_of(s, d))).select("symbol", "bar", "direction")
-    for i, (b, r2) in enumerate(SWEEP_GRID):
-        trend = ind.add_trend_context(bars_of(s, d), b, r2).select("symbol", "bar", F.col("trend").alias(f"t{i}"))
-        sweeps = sweeps.join(trend, ["symbol", "bar"])
-    wanted = F.when(F.col("direction") == "long", 1).otherwise(-1)
-    counts = sweeps.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"t{i}") == wanted).alias(f"k{i}") for i in range(len(SWEEP_GRID))])
-    cells = F.array(*[F.struct(F.lit(b).alias("lookback"), F.lit(r2).alias("min_r2"), F.col(f"k{i}").alias("kept")) for i, (b, r2) in enumerate(SWEEP_GRID)])
-    return counts.select("n", F.explode(cells).alias("c")).select("c.lookback", "c.min_r2", "c.kept", "n")
+    return rep.trend_parameters(ev.sweep_rows(ev.sweep_flags(rolled_of(s, d))), bars_of(s, d), SWEEP_GRID, OOS_START)
 
 
 @query("agg21_balanced_sample", "WITH r AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders) SELECT o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority ORDER BY r, o_orderstatus) AS rank FROM r QUALIFY rank <= 30")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.indicators import add_trend_context
+
 
 def profit_factor(x: Column) -> Column:
     """Gains over losses; infinite without a loss, 0 for nothing."""
@@ -340,3 +342,22 @@ def stage_counts(events: DataFrame, stages: dict[str, Column], keys: Sequence[st
 def in_order(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """``rows`` sorted by ``order``, which must be a whole tie-break, with their place: two runs give the same order."""
     return rows.orderBy(*order)
+
+
+def trend_parameters(events: DataFrame, bars: DataFrame, grid: Sequence[tuple[int, float]], oos_start: str, floor: int = 100) -> DataFrame:
+    """(direction, lookback, min_r2, kept, n, kept_pct, n_oos, kept_oos, oos_ok) for each pair of ``grid``.
+
+    An event is kept if the closes of the ``lookback`` bars before it run its way with at least ``min_r2``; those from
+    ``oos_start`` on are out of sample, and ``oos_ok`` says whether ``floor`` of them are kept.
+    """
+    rows = events.select("symbol", "bar", "ts", "direction")
+    for i, (lookback, least) in enumerate(grid):
+        rows = rows.join(add_trend_context(bars, lookback, least).select("symbol", "bar", F.col("trend").alias(f"t{i}")), ["symbol", "bar"])
+    way, late = F.when(F.col("direction") == "long", 1).otherwise(-1), F.col("ts") >= F.lit(oos_start).cast("timestamp")
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(late).alias("n_oos")]
+    for i in range(len(grid)):
+        counts += [F.count_if(F.col(f"t{i}") == way).alias(f"k{i}"), F.count_if((F.col(f"t{i}") == way) & late).alias(f"o{i}")]
+    cells = [F.struct(F.lit(b).alias("lookback"), F.lit(r2).alias("min_r2"), F.col(f"k{i}").alias("kept"), F.col(f"o{i}").alias("kept_oos")) for i, (b, r2) in enumerate(grid)]
+    told = rows.groupBy("direction").agg(*counts).select("direction", "n", "n_oos", F.explode(F.array(*cells)).alias("c"))
+    share = F.round(F.lit(100.0) * F.col("c.kept") / F.col("n"), 1)
+    return told.select("direction", "c.lookback", "c.min_r2", "c.kept", "n", share.alias("kept_pct"), "n_oos", "c.kept_oos", (F.col("c.kept_oos") >= floor).alias("oos_ok"))

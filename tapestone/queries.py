@@ -140,9 +140,9 @@ def _(s, d):
 
 
 @query("tb6_sessions", f"""WITH {BARS}, h AS (SELECT symbol, bar, CAST(hour(ts) AS INT) AS hour, CAST((isodow(ts) - 1) % 5 AS INT) AS dow FROM bars)
-SELECT symbol, bar, hour, dow, hour < 8 AS in_asia, hour >= 8 AND hour < 16 AS in_london, hour >= 22 OR hour < 2 AS in_late, CAST(hour < 8 AS INT) + CAST(hour >= 8 AND hour < 16 AS INT) + CAST(hour >= 22 OR hour < 2 AS INT) AS n_sessions FROM h""")
+SELECT symbol, bar, hour, dow, hour < 8 AS in_asia, hour >= 8 AND hour < 16 AS in_london, hour >= 22 OR hour < 2 AS in_late, CAST(hour < 8 AS INT) + CAST(hour >= 8 AND hour < 16 AS INT) + CAST(hour >= 22 OR hour < 2 AS INT) AS n_sessions, CAST((hour - CASE WHEN hour < 8 THEN 0 WHEN hour < 16 THEN 8 WHEN hour >= 22 THEN 22 END) * 60 AS INT) AS minutes_from_open FROM h""")
 def _(s, d):
-    return ind.add_sessions(bars_of(s, d), {"asia": (0, 8), "london": (8, 16), "late": (22, 2)}).select("symbol", "bar", "hour", "dow", "in_asia", "in_london", "in_late", "n_sessions")
+    return ind.add_sessions(bars_of(s, d), {"asia": (0, 8), "london": (8, 16), "late": (22, 2)}).select("symbol", "bar", "hour", "dow", "in_asia", "in_london", "in_late", "n_sessions", "minutes_from_open")
 
 
 @query("src5_first_per_time", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id) = 1")
@@ -176,6 +176,22 @@ def _(s, d):
     return src.gaps(bars_of(s, d), 60).groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("minutes").alias("longest"), F.avg("minutes").alias("mean_minutes"))
 
 
+QUALITY = f"""WITH {BARS}{GAPS}, spr AS (SELECT symbol, floor(100 * round(high - low, 6)) AS x FROM bars),
+days AS (SELECT symbol, CAST(ts AS DATE) AS day, hour(min(ts)) AS h FROM bars GROUP BY 1, 2), told AS (SELECT *, CASE h WHEN 1 THEN 3 WHEN 0 THEN 2 END AS o FROM days),
+offs AS (SELECT symbol, coalesce(last_value(o IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING), first_value(o IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS o FROM told)
+SELECT symbol, 'rows' AS section, 'bars' AS item, count(*) AS n, CAST(NULL AS DOUBLE) AS value FROM bars GROUP BY 1
+UNION ALL SELECT symbol, 'rows', 'zero_volume', count(*) FILTER (WHERE volume <= 0), NULL FROM bars GROUP BY 1
+UNION ALL SELECT symbol, 'gap', kind, count(*), CAST(max(minutes) AS DOUBLE) FROM gaps GROUP BY 1, 3
+UNION ALL SELECT g.symbol, 'break_hour', CAST(hour(b.ts) AS VARCHAR), count(*), NULL FROM gaps g JOIN bars b ON b.symbol = g.symbol AND b.bar = g.bar - 1 WHERE kind = 'daily_break' GROUP BY 1, 3
+UNION ALL SELECT symbol, 'offset', CAST(o AS VARCHAR), count(*), NULL FROM offs GROUP BY 1, 3
+UNION ALL SELECT symbol, 'spread', item, count(x), CASE item WHEN 'min' THEN min(x) WHEN 'max' THEN max(x) WHEN 'mean' THEN round(avg(x), 3) WHEN 'median' THEN median(x) ELSE count(*) FILTER (WHERE x = 0) END FROM spr, (SELECT unnest(['min', 'max', 'mean', 'median', 'zero']) AS item) GROUP BY 1, 3"""
+
+
+@query("flt10_quality_report", QUALITY)
+def _(s, d):
+    return src.quality_report(bars_of(s, d).withColumn("spread", F.floor(100 * F.round(F.col("high") - F.col("low"), 6))), 60, "spread")
+
+
 @query("set5_largest_gaps", f"WITH {BARS}{GAPS} SELECT * FROM gaps ORDER BY minutes DESC, symbol, bar LIMIT 20")
 def _(s, d):
     return src.gaps(bars_of(s, d), 60).orderBy(F.col("minutes").desc(), "symbol", "bar").limit(20)

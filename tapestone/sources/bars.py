@@ -86,9 +86,38 @@ def ohlc_counts(bars: DataFrame) -> DataFrame:
     )
 
 
-def gaps(bars: DataFrame, step_minutes: int) -> DataFrame:
-    """Bars that follow a gap, classified by its length, hour and weekday."""
+def _gap_rows(bars: DataFrame, step_minutes: int) -> DataFrame:
     held, w = blocked(bars, 1)
     out = own_rows(held.withColumn("previous", F.lag("ts").over(w))).withColumn("minutes", ((F.unix_timestamp("ts") - F.unix_timestamp("previous")) / 60).cast("long")).filter(F.col("minutes") > step_minutes)
-    kind = F.expr("case when minutes >= 2880 then 'holiday' when weekday(previous) >= 4 and minutes >= 1440 then 'weekend' when hour(previous) >= 20 then 'daily_break' else 'short_gap' end")
-    return out.select("symbol", "bar", "minutes", kind.alias("kind"))
+    return out.withColumn("kind", F.expr("case when minutes >= 2880 then 'holiday' when weekday(previous) >= 4 and minutes >= 1440 then 'weekend' when hour(previous) >= 20 then 'daily_break' else 'short_gap' end"))
+
+
+def gaps(bars: DataFrame, step_minutes: int) -> DataFrame:
+    """Bars that follow a gap, classified by its length, hour and weekday."""
+    return _gap_rows(bars, step_minutes).select("symbol", "bar", "minutes", "kind")
+
+
+def quality_report(bars: DataFrame, step_minutes: int, spread: str | None = None) -> DataFrame:
+    """(symbol, section, item, n, value) on a series' quality; ``set5``'s largest gaps and ``flt8``'s counts are apart.
+
+    ``rows``: bars, and those without volume; ``gap``: each kind's gaps and the longest in minutes; ``break_hour``: the
+    UTC hour of the bar before each daily break; ``offset``: days of each inferred UTC offset (null, where none is);
+    ``spread``, if the column is named: least, greatest, mean, median and zeros of its known values, which ``n`` counts.
+    """
+    section = lambda rows, name, item, n, value=None: rows.select("symbol", F.lit(name).alias("section"), item.cast("string").alias("item"), n.cast("long").alias("n"), (F.lit(None) if value is None else value).cast("double").alias("value"))
+    n = F.col("count")
+    found = _gap_rows(bars, step_minutes)
+    kinds = found.groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("count"), F.max("minutes").alias("longest"))
+    hours = found.filter("kind = 'daily_break'").groupBy("symbol", F.hour("previous").alias("hour")).count()
+    offsets = infer_utc_offsets(bars).groupBy("symbol", "utc_offset").count()
+    figures = {"bars": F.count(F.lit(1)), "zero_volume": F.count_if(F.col("volume") <= 0)}
+    if spread:
+        x = F.col(spread).cast("double")
+        figures |= {"known": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.round(F.avg(x), 3), "median": F.percentile(x, F.lit(0.5)), "zero": F.count_if(x == 0)}
+    whole = bars.groupBy("symbol").agg(*[v.alias(k) for k, v in figures.items()])
+    tall = lambda items: F.explode(F.create_map(*[v for k in items for v in (F.lit(k), F.col(k).cast("double"))]))
+    out = section(whole.select("symbol", tall(["bars", "zero_volume"])), "rows", F.col("key"), F.col("value"))
+    out = out.unionByName(section(kinds, "gap", F.col("kind"), n, F.col("longest"))).unionByName(section(hours, "break_hour", F.col("hour"), n)).unionByName(section(offsets, "offset", F.col("utc_offset"), n))
+    if spread:
+        out = out.unionByName(section(whole.select("symbol", "known", tall(["min", "max", "mean", "median", "zero"])), "spread", F.col("key"), F.col("known"), F.col("value")))
+    return out

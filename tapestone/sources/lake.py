@@ -20,11 +20,11 @@ class RejectedRows(ValueError):
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``; None if there is none yet."""
+    """The table at ``path``; None if there is none yet, or only an empty first append of a partitioned one."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 

@@ -3,94 +3,235 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.lake import append_guarded, stored
+from ..plans.folders import saved
+from ..sources.bars import resample_ticks
+from ..sources.lake import append_guarded, pending_events, stored, track_outcomes
 
-SWEEPS = "symbol string, bar long, direction string, level double, depth double, taken boolean"
-RING = "bars array<long>, opens array<double>, highs array<double>, lows array<double>, closes array<double>, last_long long, last_short long"
+SWEEPS = "symbol string, bar long, direction string, level double, depth double, taken boolean, anchor long, ema double"
 CONFIRMED = "symbol string, bar long, direction string, status string, at long"
-PENDING = "last_bar long, event_bars array<long>, sides array<string>, highs array<double>, lows array<double>"
+BARS_AND_LATE = "symbol string, late boolean, at long, seq long, price double, open double, high double, low double, close double, volume double"
 STATES = "symbol string, bar long, state long, confidence double"
 
 
-def incremental_sweeps(bars: DataFrame, lookback: int = 20, period: int = 14, min_wick: float = 0.3, max_depth: float = 3.0, cooldown: int = 4) -> DataFrame:
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which ``incremental_sweeps``, ``pending_confirmations`` and ``bars_and_late`` need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def incremental_sweeps(bars: DataFrame, lookback: int = 20, period: int = 14, min_wick: float = 0.3, max_depth: float = 3.0, cooldown: int = 4, span: int = 50) -> DataFrame:
     """Sweeps of a stream of closed bars (symbol, bar, open, high, low, close), each new bar judged once.
 
-    The state is a ring of the last bars and the last sweep taken on each side; a bar seen before is left out. ``taken``
-    tells those that are over ``cooldown`` bars after the last one taken.
+    ``ema`` (of ``span`` bars) is carried from bar to bar, ``anchor`` is the first bar of the run of consecutive sweeps of
+    one side, and ``taken`` tells the runs' first bars that are over ``cooldown`` bars after the last one taken. A bar
+    seen before is left out. The state is a map of slots in which a new bar replaces the oldest, so that a batch
+    writes its own bars only, one row of carried numbers, and one row for each side.
     """
-    keep = max(lookback, period) + 1
+    keep = max(lookback, period)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ("bar", "open", "high", "low", "close")
-        if state.exists:
-            *held, last_long, last_short = state.get
-            ring = pd.DataFrame(dict(zip(names, map(list, held), strict=True)))
-        else:
-            ring, last_long, last_short = pd.DataFrame({n: [] for n in names}), -1, -1
-        seen = int(ring["bar"].max()) if len(ring) else -1
-        new = pd.concat([f[list(names)] for f in frames]).sort_values("bar").drop_duplicates("bar", keep="last")
-        new = new[new["bar"] > seen]
-        if len(new):
-            all_bars = pd.concat([ring, new], ignore_index=True) if len(ring) else new.reset_index(drop=True)
-            prior = all_bars["close"].shift(1)
-            tr = np.fmax(all_bars["high"] - all_bars["low"], np.fmax((all_bars["high"] - prior).abs(), (all_bars["low"] - prior).abs()))
-            if all_bars["bar"].iloc[0] > 0 and len(ring):
-                tr.iloc[0] = np.nan  # its close before has left the ring
-            atr = tr.rolling(period).mean()
-            size = (all_bars["high"] - all_bars["low"]).replace(0.0, np.nan)
-            low, high = all_bars["low"].shift(1).rolling(lookback).min(), all_bars["high"].shift(1).rolling(lookback).max()
-            body_low, body_high = np.minimum(all_bars["open"], all_bars["close"]), np.maximum(all_bars["open"], all_bars["close"])
-            sides = {
-                "long": (low, (low - all_bars["low"]) / atr.replace(0.0, np.nan), all_bars["close"] > low, (body_low - all_bars["low"]) / size),
-                "short": (high, (all_bars["high"] - high) / atr.replace(0.0, np.nan), all_bars["close"] < high, (all_bars["high"] - body_high) / size),
+    class Sweeps(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.ring = handle.getMapState("ring", "slot int", "bar long, high double, low double, tr double")
+            self.carry = handle.getValueState("carry", "n long, bar long, close double, ema double")
+            self.sides = handle.getMapState("sides", "side string", "anchor long, last long, taken long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            n, seen, close, ema = self.carry.get() if self.carry.exists() else (0, -1, np.nan, np.nan)
+            new = pd.concat(list(rows)).sort_values("bar").drop_duplicates("bar", keep="last")
+            new = new[new["bar"] > seen].astype({c: "float64" for c in ("open", "high", "low", "close")}).reset_index(drop=True)
+            if not len(new):
+                return
+            prior = new["close"].shift(1)
+            prior.iloc[0] = close
+            new["tr"] = np.fmax(new["high"] - new["low"], np.fmax((new["high"] - prior).abs(), (new["low"] - prior).abs()))
+            emas = []
+            for c in new["close"]:
+                ema = c if n == 0 and not emas else ema + 2 / (span + 1) * (c - ema)
+                emas.append(ema)
+            held = sorted(tuple(r) for r in self.ring.values())
+            ring = pd.DataFrame(held, columns=["bar", "high", "low", "tr"])
+            both = pd.concat([ring, new[["bar", "high", "low", "tr"]]], ignore_index=True) if len(ring) else new
+            own = slice(len(ring), None)
+            past = lambda s: s.shift(1).rolling(lookback)
+            new["atr"] = both["tr"].rolling(period).mean().to_numpy()[own]
+            new["floor"], new["roof"] = past(both["low"]).min().to_numpy()[own], past(both["high"]).max().to_numpy()[own]
+            new["ema"] = emas
+            atr, size = new["atr"].replace(0.0, np.nan), (new["high"] - new["low"]).replace(0.0, np.nan)
+            judged = {
+                "long": ("floor", (new["floor"] - new["low"]) / atr, new["close"] > new["floor"], (new[["open", "close"]].min(axis=1) - new["low"]) / size),
+                "short": ("roof", (new["high"] - new["roof"]) / atr, new["close"] < new["roof"], (new["high"] - new[["open", "close"]].max(axis=1)) / size),
             }
-            out, last = [], {"long": last_long, "short": last_short}
-            fresh = all_bars["bar"] > seen
-            for side, (level, depth, back, wick) in sides.items():
-                hit = fresh & (depth > 0) & (depth <= max_depth) & back & (wick >= min_wick)
-                for bar, lv, dp in zip(all_bars["bar"][hit], level[hit], depth[hit], strict=True):
-                    taken = last[side] < 0 or bar - last[side] > cooldown
-                    last[side] = int(bar) if taken else last[side]
-                    out.append((key[0], int(bar), side, float(lv), float(dp), bool(taken)))
-            ring = all_bars.tail(keep)
-            state.update((*[ring[n].astype("int64" if n == "bar" else "float64").tolist() for n in names], int(last["long"]), int(last["short"])))
+            out = []
+            for side, (level, depth, back, wick) in judged.items():
+                hit = (depth > 0) & (depth <= max_depth) & back & (wick >= min_wick)
+                if not hit.any():
+                    continue
+                anchor, last, taken = self.sides.getValue((side,)) if self.sides.containsKey((side,)) else (-1, -2, -1)
+                for bar, lv, dp, e in zip(new["bar"][hit], new[level][hit], depth[hit], new["ema"][hit], strict=True):
+                    fresh = last < 0 or bar - last > 1
+                    anchor, last = (int(bar) if fresh else anchor), int(bar)
+                    take = fresh and (taken < 0 or bar - taken > cooldown)
+                    taken = int(bar) if take else taken
+                    out.append((key[0], int(bar), side, float(lv), float(dp), bool(take), anchor, float(e)))
+                self.sides.updateValue((side,), (anchor, last, taken))
+            total = n + len(new)
+            for i, r in enumerate(new.tail(keep).itertuples(), max(n, total - keep)):
+                self.ring.updateValue((i % keep,), (int(r.bar), float(r.high), float(r.low), float(r.tr)))
+            self.carry.update((total, int(new["bar"].iloc[-1]), float(new["close"].iloc[-1]), float(ema)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SWEEPS.split(", ")])
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, SWEEPS, RING, "append", GroupStateTimeout.NoTimeout)
+        def close(self) -> None:
+            pass
 
+    return bars.groupBy("symbol").transformWithStateInPandas(Sweeps(), SWEEPS, "Append", "None")
 
-def pending_confirmations(bars: DataFrame, max_wait: int = 8) -> DataFrame:
-    """A stream of bars with sweep flags (sweep_long, sweep_short) to their fate: confirmed at the first close beyond the sweep's range, or expired after ``max_wait`` bars without one."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, waiting = -1, []
-        if state.exists:
-            seen, *held = state.get
-            waiting = list(zip(*held, strict=True))
-        new = pd.concat(list(frames)).sort_values("bar").drop_duplicates("bar", keep="last")
-        out = []
-        for row in new[new["bar"] > seen].itertuples():
-            still = []
-            for bar, side, high, low in waiting:
-                if row.close > high if side == "long" else row.close < low:
-                    out.append((key[0], bar, side, "confirmed", row.bar))
-                elif row.bar - bar >= max_wait:
-                    out.append((key[0], bar, side, "expired", row.bar))
-                else:
-                    still.append((bar, side, high, low))
-            waiting = still + [(int(row.bar), s, float(row.high), float(row.low)) for s in ("long", "short") if getattr(row, f"sweep_{s}")]
-            seen = int(row.bar)
-        columns = [[w[i] for w in waiting] for i in range(4)]
-        state.update((seen, *columns))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CONFIRMED.split(", ")])
-
-    return bars.groupBy("symbol").applyInPandasWithState(run, CONFIRMED, PENDING, "append", GroupStateTimeout.NoTimeout)
+
+def pending_confirmations(bars: DataFrame, max_wait: int = 8, patience: str | None = None, lateness: str = "0 seconds") -> DataFrame:
+    """A stream of bars with sweep flags (sweep_long, sweep_short) to their fate: confirmed at the first close beyond the sweep's range, or expired after ``max_wait`` bars without one.
+
+    With ``patience`` (bars need ``ts``) a sweep also expires, ``at`` null, when event time passes its own by that much:
+    by a timer on the stream's watermark, so that a series that falls silent leaves nothing behind; bars that come
+    later than that confirm nothing. Rows of the state are one for each waiting sweep, written when it comes and when
+    it goes.
+    """
+    timed = patience is not None
+    if timed:
+        wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+        bars = bars.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
+
+    class Waiting(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "bar long")
+            self.waiting = handle.getMapState("waiting", "bar long, side string", "high double, low double, deadline long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            seen = self.seen.get()[0] if self.seen.exists() else -1
+            new = pd.concat(list(rows)).sort_values("bar").drop_duplicates("bar", keep="last")
+            before = {tuple(k): tuple(v) for k, v in self.waiting.iterator()}
+            now, out = dict(sorted(before.items())), []
+            for row in new[new["bar"] > seen].itertuples():
+                for (bar, side), (high, low, deadline) in list(now.items()):
+                    if timed and row.ms > deadline:
+                        fate = ("expired", None)
+                    elif row.close > high if side == "long" else row.close < low:
+                        fate = ("confirmed", int(row.bar))
+                    elif row.bar - bar >= max_wait:
+                        fate = ("expired", int(row.bar))
+                    else:
+                        continue
+                    out.append((key[0], bar, side, *fate))
+                    del now[bar, side]
+                for side in ("long", "short"):
+                    if getattr(row, f"sweep_{side}"):
+                        now[int(row.bar), side] = (float(row.high), float(row.low), int(row.ms) + wait if timed else 0)
+                seen = int(row.bar)
+            for k in before.keys() - now.keys():
+                self.waiting.removeKey(k)
+            for k in now.keys() - before.keys():
+                self.waiting.updateValue(k, now[k])
+                if timed:
+                    self.handle.registerTimer(now[k][2])
+            self.seen.update((seen,))
+            yield _fates(out)
+
+        def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+            at = expiredTimerInfo.getExpiryTimeInMs()
+            gone = sorted(tuple(k) for k, v in self.waiting.iterator() if v[2] <= at)
+            for k in gone:
+                self.waiting.removeKey(k)
+            yield _fates([(key[0], bar, side, "expired", None) for bar, side in gone])
+
+        def close(self) -> None:
+            pass
+
+    def _fates(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CONFIRMED.split(", ")]).astype({"at": "Int64"})
+
+    return bars.groupBy("symbol").transformWithStateInPandas(Waiting(), CONFIRMED, "Append", "EventTime" if timed else "None")
+
+
+def bars_and_late(ticks: DataFrame, rule: str, lateness: str) -> DataFrame:
+    """Closed bars of a stream of ticks (symbol, ts, seq, price, volume), and beside them the ticks that came too late for theirs (``late``).
+
+    A series' window closes when one of its ticks lies ``lateness`` beyond its end; a tick for a window that earlier
+    batches have closed is a late row, all others count, once for each ``seq``. The state is the open windows' ticks,
+    one row each, and how far the series has come. Split the output by ``late``; ``window_repairs`` mends the bars.
+    """
+    width, delay = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (rule, lateness))
+    columns = [c.split()[0] for c in BARS_AND_LATE.split(", ")]
+
+    class Windows(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.ticks = handle.getMapState("ticks", "start long, seq long", "at long, price double, volume double")
+            self.front = handle.getValueState("front", "latest long, oldest long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            latest, oldest = self.front.get() if self.front.exists() else (None, None)
+            new = pd.concat(list(rows))
+            new = new[new["at"].notna()].astype({"at": "int64", "seq": "int64", "price": "float64", "volume": "float64"})
+            if not len(new):
+                return
+            new["start"] = new["at"] // width * width
+            late = new["start"] + width <= latest - delay if latest is not None else new["at"] != new["at"]
+            tardy, new = new[late], new[~late]
+            if len(tardy):
+                yield pd.DataFrame({"symbol": key[0], "late": True, "at": tardy["at"], "seq": tardy["seq"].astype("Int64"), "price": tardy["price"], "volume": tardy["volume"]}).reindex(columns=columns)
+            if not len(new):
+                return
+            latest = max(int(new["at"].max()), new["at"].min() if latest is None else latest)
+            oldest = min(int(new["start"].min()), new["start"].min() if oldest is None else oldest)
+            fresh = {(int(r.start), int(r.seq)): (int(r.at), float(r.price), float(r.volume)) for r in new.itertuples()}
+            closed = (latest - delay) // width * width  # windows that start before this less one width are over
+            if oldest + width <= closed:
+                held = {tuple(k): tuple(v) for k, v in self.ticks.iterator()}
+                over = [(*k, *v) for k, v in {**held, **fresh}.items() if k[0] + width <= closed]
+                t = pd.DataFrame(over, columns=["start", "seq", "at", "price", "volume"]).sort_values(["start", "at", "seq"])
+                b = t.groupby("start").agg(open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"), volume=("volume", "sum")).reset_index(names="at")
+                yield b.assign(symbol=key[0], late=False).reindex(columns=columns).astype({"seq": "Int64"})
+                for k in held:
+                    if k[0] + width <= closed:
+                        self.ticks.removeKey(k)
+                fresh = {k: v for k, v in fresh.items() if k[0] + width > closed}
+                oldest = int(min((k[0] for k in (*held, *fresh) if k[0] + width > closed), default=closed))
+            for k, v in fresh.items():
+                self.ticks.updateValue(k, v)
+            self.front.update((int(latest), int(oldest)))
+
+        def close(self) -> None:
+            pass
+
+    rows = ticks.select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "price", "volume")
+    out = rows.groupBy("symbol").transformWithStateInPandas(Windows(), BARS_AND_LATE, "Append", "None")
+    return out.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")
+
+
+def window_repairs(ticks: DataFrame, late: DataFrame, rule: str) -> DataFrame:
+    """Bars of just those windows that ``late`` rows fall into, from all stored ``ticks``; a tick stored twice counts once."""
+    start = F.window(F.col("ts").cast("timestamp"), rule).start
+    hurt = late.select("symbol", start.alias("_start")).distinct()
+    touched = ticks.withColumn("_start", start).join(hurt, ["symbol", "_start"], "left_semi")
+    return resample_ticks(touched.dropDuplicates(["symbol", "seq"]).drop("_start"), rule)
+
+
+def with_repairs(stored_bars: DataFrame, repairs: DataFrame) -> DataFrame:
+    """The bars with the repaired ones in the place of theirs."""
+    return stored_bars.join(repairs, ["symbol", "ts"], "left_anti").unionByName(repairs)
 
 
 def streaming_states(rows: DataFrame, means: tuple[float, ...], sigmas: tuple[float, ...], stay: float = 0.95) -> DataFrame:
@@ -147,6 +288,65 @@ def signal_job(plan: Callable[[DataFrame], DataFrame], lake: str, signals: str,
     return run
 
 
+def span_job(plan: Callable[[DataFrame], DataFrame], lake: str, signals: str, shadow: str, marks: str, span: str, rule: str) -> Callable[[DataFrame, int], None]:
+    """``signal_job`` with work bounded by ``span``: a ``foreachBatch`` function for ticks (symbol, ts, ...) whose batches read the same however long the lake is.
+
+    New rows go to the table ``lake`` by day. Of each series in the batch, ``plan`` sees the ticks from ``span`` before the
+    first bar (of length ``rule``) that the batch changes or closes; its events (event_id, symbol, ts of the bar,
+    lifecycle_state, ...) from that bar on are kept, but none at the series' last bar, which is still open. How far each
+    series is judged is stored under ``marks`` for each batch, so that a batch that is run again does the same. The id
+    must be a function of the event's series and time, since sinks are by day and known ids are looked for there.
+    ``span`` has to hold the longest pattern's bars, gaps included.
+    """
+    length = F.expr(f"interval {span}")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = saved(batch, "batch")
+        rows.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(lake)
+        bar = F.window(F.col("ts").cast("timestamp"), rule).start
+        fresh = rows.groupBy("symbol").agg(F.min(bar).alias("_lo"), F.max(bar).alias("_hi"))
+        old = stored(spark, f"{marks}/batch={batch_id - 1}")
+        if old is None:
+            old = spark.createDataFrame([], "symbol string, open_bar timestamp")
+        reach = fresh.join(old, "symbol", "full").select("symbol", "_lo", F.least("_lo", "open_bar").alias("_since"), F.greatest("_hi", "open_bar").alias("open_bar"))
+        reach = saved(reach, "reach")
+        asked = reach.filter(F.col("_lo").isNotNull())
+        # a series that was silent reads around its last bar and around the new ones, not what lies between
+        spans = F.array(F.struct((F.col("_since") - length).alias("a"), F.col("_since").alias("b")), F.struct((F.col("_lo") - length).alias("a"), F.col("open_bar").alias("b")))
+        days = asked.select(F.explode(spans).alias("s")).select(F.explode(F.sequence(F.to_date("s.a"), F.to_date(F.col("s.b") + F.expr(f"interval {rule}")))).alias("day")).distinct()
+        wanted = [r[0] for r in days.collect()]  # the days of a batch and a span
+        schema = f"{rows.schema.simpleString()[7:-1]},day:date,batch:bigint".replace(":", " ")
+        seen = spark.read.schema(schema).parquet(lake).filter(F.col("day").isin(wanted)).drop("day", "batch")
+        near = seen.join(asked.select("symbol", "_since"), "symbol").filter(F.col("ts") >= F.col("_since") - length).drop("_since")
+        events = plan(near).join(asked.select("symbol", "_since", F.col("open_bar").alias("_open")), "symbol").filter((F.col("ts") >= F.col("_since")) & (F.col("ts") < F.col("_open"))).drop("_since", "_open")
+        events = saved(events.withColumn("day", F.to_date("ts")), "events")
+        for state, path in (("live", signals), ("shadow", shadow)):
+            append_guarded(events.filter(F.col("lifecycle_state") == state), path, ["event_id"], ["day"], known="skip")
+        reach.select("symbol", "open_bar").write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+
+    return run
+
+
+def outcome_job(events: str, lake: str, outcomes: str, horizon: int) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for closed bars (symbol, bar, ts, ...): they go to the table ``lake``, and outcomes of the table ``events`` whose window has closed to ``outcomes`` (see ``track_outcomes``).
+
+    Only bars from a series' first pending entry on are read. Meant for ``availableNow`` runs at intervals; a batch that
+    is run again adds nothing twice.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{lake}/batch={batch_id}")
+        known = stored(spark, events)
+        if known is None:
+            return
+        first = pending_events(known, stored(spark, outcomes)).groupBy("symbol").agg(F.min("entry_bar").alias("_first"))
+        bars = spark.read.parquet(lake).drop("batch").join(first, "symbol").filter(F.col("bar") >= F.col("_first")).drop("_first")
+        track_outcomes(known, outcomes, saved(bars, "pending-bars"), horizon)
+
+    return run
+
+
 def sent(spark, signals: str, shadow: str) -> DataFrame:
     """All rows of both sinks, with ``sink``."""
     parts = [(stored(spark, p), n) for p, n in ((signals, "signals"), (shadow, "shadow"))]

@@ -14,7 +14,7 @@ from .operators import portfolio as port
 from .operators import reports as rep
 from .pattern_queries import atr_bars, content_id
 from .plans.folders import saved, shared_folder
-from .queries import ATR, BARS, COOLED, EPOCH, ORACLE, PF, QUERIES, SCORED, SQL_EPOCH, SWEPT, _outcomes, _reversal_sql, _swing_sql, bar_table, bars_of, cooled_of, outcomes_of, query, results_of, rolled_of, scored_of
+from .queries import ATR, BARS, COOLED, EPOCH, ORACLE, PF, QUERIES, RUNS, SCORED, SQL_EPOCH, SWEPT, TICKS, _outcomes, _recurrence, _reversal_sql, _swing_sql, bar_table, bars_of, cooled_of, outcomes_of, query, results_of, rolled_of, scored_of
 from .sources import bars as src
 from .sources import lake
 
@@ -595,12 +595,15 @@ def _(s, d):
 
 def _in_two_runs(s, rows, first, make, sink):
     """Write the rows for which ``first`` holds, run the stream to the end, write the rest, and run it again."""
+    from .streaming.signals import rocksdb
+
     source, state = shared_folder(s, "stream"), shared_folder(s, "stream-state")
     rows = saved(rows, "stream-rows")
     for part in (rows.filter(first), rows.filter(~first)):
         part.coalesce(1).write.mode("append").parquet(source)
         stream = make(s.readStream.schema(rows.schema).parquet(source))
-        q = sink(stream.writeStream.option("checkpointLocation", state)).trigger(availableNow=True).start()
+        with rocksdb(s):
+            q = sink(stream.writeStream.option("checkpointLocation", state)).trigger(availableNow=True).start()
         q.awaitTermination()
 
 
@@ -638,6 +641,14 @@ def _(s, d):
     return table.select("symbol", "bar", "direction", "level", "depth")
 
 
+@query("str4_carried_state", f"WITH RECURSIVE {BARS}{COOLED}, {_recurrence(1 - 2 / 51, 'bars', 'close')}, a AS (SELECT *, min(bar) OVER (PARTITION BY symbol, direction, run) AS anchor FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol, direction ORDER BY bar) AS run FROM r1)) SELECT a.symbol, a.bar, a.direction, a.anchor, round(y.y, 6) AS ema, c.bar IS NOT NULL AS taken FROM a JOIN y ON y.symbol = a.symbol AND y.bar = a.bar LEFT JOIN cooled c ON c.symbol = a.symbol AND c.direction = a.direction AND c.bar = a.bar")
+def _(s, d):
+    from .streaming.signals import incremental_sweeps
+
+    table = _to_table(s, bars_of(s, d), F.col("bar") < 300, incremental_sweeps)
+    return table.select("symbol", "bar", "direction", "anchor", "ema", "taken")
+
+
 FATES = f"WITH {BARS}{SWEPT}, h AS (SELECT s.symbol, s.bar, s.direction, min(b.bar) FILTER (WHERE CASE WHEN s.direction = 'long' THEN b.close > s.high ELSE b.close < s.low END) AS hit, max(b.bar) AS last FROM sweeps s JOIN bars b ON b.symbol = s.symbol AND b.bar BETWEEN s.bar + 1 AND s.bar + 8 GROUP BY 1, 2, 3)"
 
 
@@ -649,6 +660,17 @@ def _(s, d):
     return _to_table(s, flagged, F.col("bar") < 300, pending_confirmations)
 
 
+TIMED = f"WITH {BARS}{SWEPT}, f AS (SELECT *, ts + INTERVAL '8 hours 30 minutes' AS until FROM sweeps), h AS (SELECT s.symbol, s.bar, s.direction, s.until, min(b.bar) FILTER (WHERE b.ts <= s.until AND CASE WHEN s.direction = 'long' THEN b.close > s.high ELSE b.close < s.low END) AS hit, max(b.bar) FILTER (WHERE b.ts <= s.until) AS last FROM f s LEFT JOIN bars b ON b.symbol = s.symbol AND b.bar BETWEEN s.bar + 1 AND s.bar + 8 GROUP BY 1, 2, 3, 4), m AS (SELECT max(ts) AS m FROM bars)"
+
+
+@query("str5_timed_confirmations", f"{TIMED} SELECT symbol, bar, direction, CASE WHEN hit IS NOT NULL THEN 'confirmed' ELSE 'expired' END AS status, coalesce(hit, CASE WHEN last = bar + 8 THEN last END) AS at FROM h, m WHERE hit IS NOT NULL OR last = bar + 8 OR until < m")
+def _(s, d):
+    from .streaming.signals import pending_confirmations
+
+    flagged = ev.sweep_flags(rolled_of(s, d)).select("symbol", "bar", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close", "sweep_long", "sweep_short")
+    return _to_table(s, flagged, F.col("ts") < F.lit("2024-01-16").cast("timestamp"), lambda b: pending_confirmations(b, patience="8 hours 30 minutes"))
+
+
 @query("str6_signal_job", f"WITH RECURSIVE {BARS}{COOLED}, l AS (SELECT symbol, max(bar) AS last FROM bars GROUP BY 1) SELECT {BAR_ID} AS event_id, c.symbol, direction, bar, CASE WHEN direction = 'long' THEN 'signals' ELSE 'shadow' END AS sink FROM cooled c JOIN l ON l.symbol = c.symbol WHERE c.bar < l.last".replace(BAR_ID, BAR_ID.replace("symbol", "c.symbol")))
 def _(s, d):
     from .streaming.signals import sent, signal_job
@@ -665,6 +687,35 @@ def _(s, d):
     return sent(s, signals, shadow).select("event_id", "symbol", "direction", "bar", "sink")
 
 
+@query("str6_bounded_job", f"WITH RECURSIVE {BARS}{RUNS}, l AS (SELECT symbol, max(bar) AS last FROM bars GROUP BY 1) SELECT r.symbol, direction, {SQL_EPOCH.replace('ts', 'r.ts')}, round(level, 6) AS level, CASE WHEN direction = 'long' THEN 'signals' ELSE 'shadow' END AS sink FROM runs r JOIN l ON l.symbol = r.symbol WHERE r.bar < l.last")
+def _(s, d):
+    from .streaming.signals import sent, span_job
+
+    def plan(ticks):
+        bars = src.bar_index(src.resample_ticks(ticks, "1 hour"))
+        events = ev.group_runs(ev.sweep_rows(ev.sweep_flags(ind.add_sweep_inputs(bars))))
+        rows = events.withColumn("epoch", F.unix_timestamp("ts")).select(content_id("symbol", "direction", "epoch").alias("event_id"), "symbol", "direction", "ts", "level")
+        return rows.withColumn("lifecycle_state", F.when(F.col("direction") == "long", "live").otherwise("shadow"))
+
+    store, signals, shadow, marks = (shared_folder(s, n) for n in ("tick-lake", "signals", "shadow", "marks"))
+    job = span_job(plan, store, signals, shadow, marks, "5 days", "1 hour")
+    ticks = src.ticks_of(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    _in_two_runs(s, ticks, F.col("ts") < F.lit("2024-01-16").cast("timestamp"), lambda t: t, lambda w: w.foreachBatch(job))
+    return sent(s, signals, shadow).select("symbol", "direction", F.unix_timestamp("ts").alias("epoch"), "level", "sink")
+
+
+@query("str8_matured_by_stream", f"{STORED} SELECT {ENTRY_ID} AS event_id, symbol, exit_reason, exit_bar, round(result_r, 6) AS result_r FROM outcomes WHERE NOT truncated OR exit_reason IN ('tp', 'sl')")
+def _(s, d):
+    from .streaming.signals import outcome_job
+
+    bars, events = bar_table(s, d), shared_folder(s, "events")
+    trades = out.trade_levels(cooled_of(s, d, bars)).withColumn("event_id", content_id("symbol", "direction", "entry_bar"))
+    trades.select("event_id", "symbol", "direction", "entry_bar", "entry", "stop", "target", "risk").write.parquet(events)
+    path = shared_folder(s, "outcomes")
+    _in_two_runs(s, bars, F.col("bar") < 300, lambda b: b, lambda w: w.foreachBatch(outcome_job(events, shared_folder(s, "bar-lake"), path, 16)))
+    return s.read.parquet(path).select("event_id", "symbol", "exit_reason", "exit_bar", "result_r")
+
+
 @query("str10_streaming_regimes", None)
 def _(s, d):
     from .streaming.signals import streaming_states
@@ -681,3 +732,26 @@ def _(s, d):
     ticks = src.ticks_of(s, d)
     stored = src.resample_ticks(ticks.filter("price <= 120"), "1 hour")
     return repaired(stored, bars_of(s, d))[1].select("symbol", "bar", "high", "volume")
+
+
+def _late_stream(s, d):
+    """Ticks and the stream's table of closed bars and late ticks: ticks over 120 come in the second run."""
+    from .streaming.signals import bars_and_late
+
+    ticks = src.ticks_of(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    early = (F.col("ts") < F.lit("2024-01-16").cast("timestamp")) & (F.col("price") <= 120)
+    return ticks, _to_table(s, ticks, F.coalesce(early, F.lit(False)), lambda t: bars_and_late(t, "1 hour", "10 minutes"))
+
+
+@query("str11_late_rows", f"WITH {TICKS}, m AS (SELECT symbol, max(ts) AS m FROM ticks WHERE ts < TIMESTAMP '2024-01-16' AND price <= 120 GROUP BY 1) SELECT t.symbol, t.seq, round(t.price, 6) AS price FROM ticks t JOIN m ON m.symbol = t.symbol WHERE NOT coalesce(t.ts < TIMESTAMP '2024-01-16' AND t.price <= 120, false) AND date_trunc('hour', t.ts) + INTERVAL '1 hour' <= m.m - INTERVAL '10 minutes'")
+def _(s, d):
+    return _late_stream(s, d)[1].filter("late").select("symbol", "seq", "price")
+
+
+@query("str11_mended_stream", f"WITH {BARS}, m AS (SELECT symbol, max(ts) AS m FROM ticks GROUP BY 1) SELECT b.symbol, {SQL_EPOCH.replace('ts', 'b.ts')}, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars b JOIN m ON m.symbol = b.symbol WHERE b.ts + INTERVAL '1 hour' <= m.m - INTERVAL '10 minutes'")
+def _(s, d):
+    from .streaming.signals import window_repairs, with_repairs
+
+    ticks, table = _late_stream(s, d)
+    repairs = window_repairs(ticks, table.filter("late"), "1 hour")
+    return with_repairs(table.filter("not late").select("symbol", "ts", *src.OHLCV), repairs).select("symbol", F.unix_timestamp("ts").alias("epoch"), *src.OHLCV)

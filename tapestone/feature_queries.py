@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import indicators as ind
 from .operators import events as ev
 from .operators import features as fea
+from .operators.clusters import equal_levels
 from .further_queries import COARSE
 from .pattern_queries import ALL, NAMED, atr_bars, named_events
 from .plans.folders import saved
@@ -236,4 +237,4 @@ def _(s, d):
 
 @query("lvl4_equal_levels")
 def _(s, d):
-    return ev.equal_levels(atr_bars(s, d), 0.1, 2, 200)
+    return equal_levels(atr_bars(s, d), 0.1, 2, 200)

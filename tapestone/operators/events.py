@@ -279,43 +279,6 @@ def level_table(sources: dict[str, DataFrame], h1: tuple[str, ...] = ()) -> Data
     return out
 
 
-EQUAL = "symbol string, kind string, level_id string, price double, price_min double, price_max double, origin_bar long, known_bar long, touch_count long"
-
-
-def equal_levels(bars: DataFrame, tolerance: float = 0.1, min_touches: int = 2, max_age: int = 200) -> DataFrame:
-    """Levels of lows (L) and highs (H) that come back to one price, known at the touch that makes ``min_touches``.
-
-    A bar's price joins the nearest live cluster within ``tolerance`` ATR (of two as near the earlier one), whose price
-    becomes the middle of its extremes; else it opens one. A cluster untouched for over ``max_age`` bars is closed. Each
-    step depends on all before it, so a series and side is one group; its live clusters are what ``max_age`` bars opened.
-    """
-    def run(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("bar")
-        symbol, kind = frame["symbol"].iloc[0], frame["kind"].iloc[0]
-        live: list[dict] = []
-        made = []
-        for bar, price, atr in zip(frame["bar"], frame["price"], frame["atr"], strict=True):
-            if not (atr == atr and tolerance * atr > 0):
-                continue
-            reach = [c for c in live if abs(price - c["mid"]) <= tolerance * atr]
-            if reach:
-                c = min(reach, key=lambda c: abs(price - c["mid"]))
-                c["low"], c["high"] = min(c["low"], price), max(c["high"], price)
-                c["mid"], c["last"], c["n"] = (c["low"] + c["high"]) / 2, bar, c["n"] + 1
-            else:
-                c = {"mid": price, "low": price, "high": price, "first": bar, "last": bar, "n": 1}
-                live.append(c)
-            if c["n"] == min_touches:
-                made.append((symbol, kind, f"equal_{kind}_{c['first']}", c["mid"], c["low"], c["high"], c["first"], bar, c["n"]))
-            live = [c for c in live if bar - c["last"] <= max_age]
-        return pd.DataFrame(made, columns=[c.split()[0] for c in EQUAL.split(", ")])
-
-    sides = F.explode(F.array(F.struct(F.lit("L").alias("kind"), F.col("low").alias("price")), F.struct(F.lit("H").alias("kind"), F.col("high").alias("price")))).alias("s")
-    return bars.select("symbol", F.col("bar").cast("long").alias("bar"), "atr", sides).select("symbol", "bar", "atr", "s.kind", "s.price").groupBy("symbol", "kind").applyInPandas(run, EQUAL)
-
-
 def bar_at(rows: DataFrame, bars: DataFrame, ts: str = "ts", out: str = "bar", strict: bool = True) -> DataFrame:
     """``rows`` with the bar of exactly their time; without one, an error if ``strict``, else the row goes."""
     places = bars.select("symbol", F.col("ts").alias(ts), F.col("bar").alias(out))

@@ -16,6 +16,7 @@ from tapestone.operators import patterns as pat
 from tapestone.operators import portfolio as port
 from tapestone.operators import regimes, trainers
 from tapestone.operators import reports as rep
+from tapestone.operators.clusters import equal_levels
 from tapestone.plans import layout
 from tapestone.sources import bars as src
 from tapestone.sources import lake
@@ -73,7 +74,7 @@ def test_affine_scan_over_groups_of_blocks(spark, monkeypatch):
 
 def test_equal_levels_are_the_state_machine(spark):
     bars = ind.add_atr(series(spark))
-    got = {(r["symbol"], r["kind"], r["known_bar"], round(r["price"], 6), r["touch_count"]) for r in ev.equal_levels(bars, 0.1, 2, 30).collect()}
+    got = {(r["symbol"], r["kind"], r["known_bar"], round(r["price"], 6), r["touch_count"]) for r in equal_levels(bars, 0.1, 2, 30).collect()}
     want, rows = set(), bars.orderBy("symbol", "bar").collect()
     for symbol in ("a", "b"):
         for kind, column in (("L", "low"), ("H", "high")):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.layout import asof_backward, bar_index, blocked, greedy_cooldown, islands, own_rows, range_join
 from ..plans.passage import counts_from, passages, pyramid
+from ..plans.winners import best_first
 
 
 def swings(bars: DataFrame, left: int = 2, right: int = 2, strict: bool = True) -> DataFrame:
@@ -151,16 +152,16 @@ def reversals(swing: DataFrame, bars: DataFrame, n: int = 3, equality: float = 0
 def suppress_overlaps(events: DataFrame, start: str = "start_bar", end: str = "end_bar", score: str = "depth") -> DataFrame:
     """Non-maximum suppression: of overlapping spans the best score stays, then the earliest start.
 
-    Spans are cut where one starts after all before it have ended; inside such an island the best are taken in turn.
+    Rows without a span or a score go. See ``best_first``: no task holds an island of overlapping spans.
     """
-    w = Window.partitionBy("symbol", "direction").orderBy(start, end)
-    prior = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = events.withColumn("_new", F.coalesce((F.col(start) > prior).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(w))
-    span = F.struct((-F.col(score)).alias("s"), F.col(start).alias("a"), F.col(end).alias("b"))
-    held = df.groupBy("symbol", "direction", "_island").agg(F.array_sort(F.collect_list(span)).alias("xs"))
-    kept = held.select("symbol", "direction", F.explode(F.expr("aggregate(slice(xs, 2, size(xs)), slice(xs, 1, 1), (acc, x) -> if(exists(acc, y -> x.a <= y.b and y.a <= x.b), acc, concat(acc, array(x))))")).alias("k"))
-    kept = kept.select("symbol", "direction", F.col("k.a").alias(start), F.col("k.b").alias(end), (-F.col("k.s")).alias(score)).distinct()
-    return events.join(kept, ["symbol", "direction", start, end, score], "left_semi")
+    keys = ["symbol", "direction", start, end, score]
+    spans = events.select(*keys).dropna().distinct()
+
+    def meets(cols: dict, i: int, those: object) -> object:
+        return (cols[start][those] <= cols[end][i]) & (cols[start][i] <= cols[end][those])
+
+    kept = best_first(spans, ["symbol", "direction"], start, end, [-F.col(score), F.col(start), F.col(end)], meets).filter("_kept")
+    return events.join(kept.select(*keys), keys, "left_semi")
 
 
 def latest_pivot(bars: DataFrame, swing: DataFrame, kind: str, max_age: int) -> DataFrame:

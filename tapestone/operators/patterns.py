@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as ind
 from ..plans.folders import saved
 from ..plans.layout import blocked, own_rows, placed, range_join
+from ..plans.winners import best_first
 from . import events as ev
 
 EVENT = ("symbol", "pattern", "direction", "start_bar", "neck_bar", "end_bar", "detect_bar", "cross_bar", "confirm_bar", "entry_bar", "entry", "stop", "target", "neckline", "rule_score", "depth_atr", "offset_atr", "left_len", "right_len", "discard_reason")
@@ -240,17 +241,19 @@ def settled(events: DataFrame, cooldown: int, overlap: bool = True) -> DataFrame
 def drop_opposite(events: DataFrame) -> DataFrame:
     """Of two readings of one structure in opposite directions the better score stays, then the smaller ``event_id``.
 
-    They conflict where their spans meet and the neckline's bar of one lies in the other's span. Spans are cut into
-    islands of overlap, and inside an island the best are taken in turn.
+    They conflict where their spans meet and the neckline's bar of one lies in the other's span. An event without a span
+    conflicts with none; one without a score comes first. See ``best_first``: no task holds an island of them.
     """
-    w = Window.partitionBy("symbol").orderBy("start_bar", "end_bar", "event_id")
-    prior = F.max("end_bar").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = events.withColumn("_new", F.coalesce((F.col("start_bar") > prior).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(w))
-    row = F.struct((-F.col("rule_score")).alias("s"), F.col("event_id").alias("i"), F.col("start_bar").alias("a"), F.col("end_bar").alias("z"), F.col("neck_bar").alias("n"), F.col("direction").alias("d"))
-    held = df.groupBy("symbol", "_island").agg(F.array_sort(F.collect_list(row)).alias("xs"))
-    clash = "x.d <> y.d and x.a <= y.z and y.a <= x.z and (coalesce(x.n between y.a and y.z, false) or coalesce(y.n between x.a and x.z, false))"
-    kept = held.select(F.explode(F.expr(f"aggregate(slice(xs, 2, size(xs)), slice(xs, 1, 1), (acc, x) -> if(exists(acc, y -> {clash}), acc, concat(acc, array(x))))")).alias("k")).select(F.col("k.i").alias("event_id"))
-    return events.join(kept, "event_id", "left_semi")
+    a, z, n, d = "start_bar", "end_bar", "neck_bar", "direction"
+
+    def meets(cols: dict, i: int, those: object) -> object:
+        inner = ((cols[n][i] >= cols[a][those]) & (cols[n][i] <= cols[z][those])) | ((cols[n][those] >= cols[a][i]) & (cols[n][those] <= cols[z][i]))
+        return (cols[d][those] != cols[d][i]) & (cols[a][those] <= cols[z][i]) & (cols[a][i] <= cols[z][those]) & inner
+
+    spans = events.select("symbol", "event_id", a, z, F.col(n).cast("double").alias(n), d, "rule_score")
+    order = [F.coalesce(-F.col("rule_score"), F.lit(float("-inf"))), F.col("event_id")]
+    lost = best_first(spans, ["symbol"], a, z, order, meets, [n, d]).filter("not _kept")
+    return events.join(lost.select("event_id"), "event_id", "left_anti")
 
 
 def plain_detections(bars: DataFrame, look: int = 3, lookahead: int = 14, line_lookahead: int = 15) -> DataFrame:

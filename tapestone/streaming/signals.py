@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.folders import saved
 from ..sources.bars import resample_ticks
@@ -24,7 +23,7 @@ STATES = "symbol string, bar long, state long, confidence double"
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, which ``incremental_sweeps``, ``pending_confirmations`` and ``bars_and_late`` need."""
+    """Streams started inside keep their state in RocksDB, which all functions here on ``transformWithStateInPandas`` need."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -241,20 +240,28 @@ def streaming_states(rows: DataFrame, means: tuple[float, ...], sigmas: tuple[fl
     trans = np.full((k, k), np.log((1 - stay) / max(k - 1, 1)))
     np.fill_diagonal(trans, np.log(stay))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, alpha = (state.get[0], np.array(state.get[1])) if state.exists else (-1, np.full(k, -np.log(k)))
-        new = pd.concat(list(frames)).sort_values("bar").drop_duplicates("bar", keep="last")
-        new, out = new[new["bar"] > seen], []
-        density = -0.5 * ((new["x"].to_numpy(float)[:, None] - mu) / sd) ** 2 - np.log(sd)
-        density = np.where(np.isnan(density), 0.0, density)
-        for bar, d in zip(new["bar"], density, strict=True):
-            alpha = np.logaddexp.reduce(alpha[:, None] + trans, axis=0) + d
-            alpha = alpha - np.logaddexp.reduce(alpha)
-            out.append((key[0], int(bar), int(alpha.argmax()), float(np.exp(alpha.max()))))
-        state.update((int(new["bar"].max()) if len(new) else seen, alpha.tolist()))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
-
-    return rows.groupBy("symbol").applyInPandasWithState(run, STATES, "bar long, alpha array<double>", "append", GroupStateTimeout.NoTimeout)
+    class Filter(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.posterior = handle.getValueState("posterior", "bar long, alpha array<double>")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            seen, alpha = self.posterior.get() if self.posterior.exists() else (-1, np.full(k, -np.log(k)))
+            new = pd.concat(list(rows)).sort_values("bar").drop_duplicates("bar", keep="last")
+            new, alpha, out = new[new["bar"] > seen], np.array(alpha, float), []
+            density = -0.5 * ((new["x"].to_numpy(float)[:, None] - mu) / sd) ** 2 - np.log(sd)
+            density = np.where(np.isnan(density), 0.0, density)
+            for bar, d in zip(new["bar"], density, strict=True):
+                alpha = np.logaddexp.reduce(alpha[:, None] + trans, axis=0) + d
+                alpha = alpha - np.logaddexp.reduce(alpha)
+                out.append((key[0], int(bar), int(alpha.argmax()), float(np.exp(alpha.max()))))
+            if len(new):
+                self.posterior.update((int(new["bar"].max()), alpha.tolist()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
+
+        def close(self) -> None:
+            pass
+
+    return rows.groupBy("symbol").transformWithStateInPandas(Filter(), STATES, "Append", "None")
 
 
 def latest_candles(candles: DataFrame, rule: str, lateness: str) -> DataFrame:

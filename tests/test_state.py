@@ -141,3 +141,19 @@ def test_late_tick_in_a_batch_of_its_own_is_judged_again(spark, tmp_path):
     for i, f in enumerate([ticks([(10, 1, 50), (70, 2, 50), (130, 3, 50)]), ticks([(20, 4, 150)])]):
         sink(spark.createDataFrame(f, TICKS), i)
     assert [r["ts"].hour for r in spark.read.parquet(f"{tmp_path}/signals").collect()] == [0]
+
+
+def test_filter_goes_on_where_it_stopped(spark, tmp_path):
+    r = np.random.default_rng(1)
+    x = np.r_[r.normal(-1, 0.5, 40), r.normal(1, 0.5, 40)]
+    rows = pd.DataFrame({"symbol": "a", "bar": np.arange(80), "x": x})
+    rows.loc[10, "x"] = np.nan
+    out = run(spark, tmp_path, "symbol string, bar long, x double", [rows[:33], rows[30:]], lambda d: st.streaming_states(d, (-1.0, 1.0), (0.5, 0.7), 0.9))
+    p, want = np.array([0.5, 0.5]), []
+    for v in rows["x"]:
+        like = np.ones(2) if np.isnan(v) else np.exp(-0.5 * ((v - np.array([-1.0, 1.0])) / [0.5, 0.7]) ** 2) / [0.5, 0.7]
+        p = p @ np.array([[0.9, 0.1], [0.1, 0.9]]) * like
+        p = p / p.sum()
+        want.append((int(p.argmax()), round(float(p.max()), 9)))
+    got = [(r["state"], round(r["confidence"], 9)) for r in out.orderBy("bar").collect()]
+    assert got == want

@@ -15,6 +15,11 @@ OUTCOME_CODES = {"tp": 1.0, "sl": 0.0, "time": -1.0}
 STATES = ("trained", "validated", "shadow", "live", "degraded", "retired")
 
 
+def half_up(value: Column, places: int) -> Column:
+    """A double rounded by its own arithmetic, as SQL engines do: scaled, rounded half away from zero, scaled back. Spark's ``round`` takes the number's decimal text instead and differs where that or the product is a tie."""
+    return F.round(value * 10**places) / 10**places
+
+
 def normal_direction(word: Column) -> Column:
     """``long`` or ``short`` for any known word, in any case; null for others."""
     low = F.lower(F.trim(word))
@@ -45,7 +50,7 @@ def unit_score(score: Column, scale: float | None = None) -> Column:
 
 
 def combined_score(score: Column, probability: Column, scale: float | None = None) -> Column:
-    return F.round((unit_score(score, scale) + probability) / 2, 4)
+    return half_up((unit_score(score, scale) + probability) / 2, 4)
 
 
 def first_finite(*columns: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.projections import half_up
 from ..plans.layout import asof_backward, bar_index, blocked, greedy_cooldown, islands, own_rows, range_join
 from ..plans.passage import counts_from, passages, pyramid
 from ..plans.winners import best_first
@@ -316,8 +317,8 @@ def levels_near(events: DataFrame, levels: DataFrame, unit: float, within_atr: f
 
 def signal_rows(events: DataFrame, probability: float = 0.5) -> DataFrame:
     """The record that is sent for a group's representative: prices to five places, scores to four, a missing probability as ``probability``."""
-    r = lambda c, n: F.round(c, n).alias(c)
-    return events.select("symbol", "direction", "event_id", r("entry", 5), r("stop", 5), r("target", 5), r("rule_score", 4), F.round(F.coalesce("model_prob", F.lit(probability)), 4).alias("model_prob"))
+    r = lambda c, n: half_up(F.col(c), n).alias(c)
+    return events.select("symbol", "direction", "event_id", r("entry", 5), r("stop", 5), r("target", 5), r("rule_score", 4), half_up(F.coalesce("model_prob", F.lit(probability)), 4).alias("model_prob"))
 
 
 def overlap_counts(events: DataFrame, keys: tuple[str, ...] = ("symbol", "direction")) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.projections import half_up
 from ..plans.components import components
 from ..plans.layout import placed, running_sum
 
@@ -157,7 +158,7 @@ def confluence(grouped: DataFrame, priority: Column, weights: tuple[float, float
     size = F.when(F.col("n") > 1, (F.col("n") - 1) / F.greatest(F.lit(most) - 1 if most and most > 1 else F.col("n") - 1, F.lit(1))).otherwise(0.0)
     a, b, c = weights
     score = (a * size + b * F.exp(-F.col("dt") / tau_bars) + c * F.exp(-F.col("dp") / tau_price)) / (a + b + c)
-    return gaps.select("group_id", "best_id", "n", F.round(score, 4).alias("score"))
+    return gaps.select("group_id", "best_id", "n", half_up(score, 4).alias("score"))
 
 
 def balanced_sample(rows: DataFrame, strata: Sequence[str], side: str, row_id: str, quota: int, seed: int = 42) -> DataFrame:

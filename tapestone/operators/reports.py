@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import add_trend_context
+from ..functions.projections import half_up
 
 
 def profit_factor(x: Column) -> Column:
@@ -139,7 +140,7 @@ def drift_report(rows: DataFrame, columns: Sequence[str], is_base: Column) -> Da
 def confluence_buckets(groups: DataFrame, n: str = "n_patterns", executed: str = "executed", result: str = "net_r") -> DataFrame:
     """For each number of agreeing patterns (at least 1): groups, executed trades, their mean net result and profit factor."""
     net = F.when(F.col(executed), F.col(result))
-    return groups.groupBy(F.greatest(F.lit(1), F.col(n)).alias(n)).agg(F.count(F.lit(1)).alias("groups"), F.count(net).alias("trades"), F.round(F.avg(net), 4).alias("expectancy_r"), F.when(F.count(net) > 0, F.round(profit_factor(net), 4)).alias("pf"))
+    return groups.groupBy(F.greatest(F.lit(1), F.col(n)).alias(n)).agg(F.count(F.lit(1)).alias("groups"), F.count(net).alias("trades"), half_up(F.avg(net), 4).alias("expectancy_r"), F.when(F.count(net) > 0, half_up(profit_factor(net), 4)).alias("pf"))
 
 
 def block_bootstrap_pf(trades: DataFrame, keys: Sequence[str], order: Sequence[str], reps: int = 3000, seed: int = 42, result: str = "result_r") -> DataFrame:
@@ -276,7 +277,7 @@ def threshold_table(trades: DataFrame, column: str, thresholds: Sequence[float],
 def confluence_panel(events: DataFrame, group: str = "group_id", score: str = "rule_score", most: int = 4) -> DataFrame:
     """(n_patterns, count, avg_score): events and their mean rule score by the size of their group, 1 to ``most``; sizes that don't occur have 0."""
     sized = events.withColumn("n_patterns", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    stats = sized.groupBy("n_patterns").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(score), 4).alias("avg_score"))
+    stats = sized.groupBy("n_patterns").agg(F.count(F.lit(1)).alias("count"), half_up(F.avg(score), 4).alias("avg_score"))
     every = events.sparkSession.range(1, most + 1).select(F.col("id").alias("n_patterns"))
     return every.join(stats, "n_patterns", "left").select("n_patterns", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"))
 
@@ -359,5 +360,5 @@ def trend_parameters(events: DataFrame, bars: DataFrame, grid: Sequence[tuple[in
         counts += [F.count_if(F.col(f"t{i}") == way).alias(f"k{i}"), F.count_if((F.col(f"t{i}") == way) & late).alias(f"o{i}")]
     cells = [F.struct(F.lit(b).alias("lookback"), F.lit(r2).alias("min_r2"), F.col(f"k{i}").alias("kept"), F.col(f"o{i}").alias("kept_oos")) for i, (b, r2) in enumerate(grid)]
     told = rows.groupBy("direction").agg(*counts).select("direction", "n", "n_oos", F.explode(F.array(*cells)).alias("c"))
-    share = F.round(F.lit(100.0) * F.col("c.kept") / F.col("n"), 1)
+    share = half_up(F.lit(100.0) * F.col("c.kept") / F.col("n"), 1)
     return told.select("direction", "c.lookback", "c.min_r2", "c.kept", "n", share.alias("kept_pct"), "n_oos", "c.kept_oos", (F.col("c.kept_oos") >= floor).alias("oos_ok"))

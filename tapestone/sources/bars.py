@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.projections import half_up
 from ..plans.layout import bar_index, blocked, own_rows
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -113,7 +114,7 @@ def quality_report(bars: DataFrame, step_minutes: int, spread: str | None = None
     figures = {"bars": F.count(F.lit(1)), "zero_volume": F.count_if(F.col("volume") <= 0)}
     if spread:
         x = F.col(spread).cast("double")
-        figures |= {"known": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.round(F.avg(x), 3), "median": F.percentile(x, F.lit(0.5)), "zero": F.count_if(x == 0)}
+        figures |= {"known": F.count(x), "min": F.min(x), "max": F.max(x), "mean": half_up(F.avg(x), 3), "median": F.percentile(x, F.lit(0.5)), "zero": F.count_if(x == 0)}
     whole = bars.groupBy("symbol").agg(*[v.alias(k) for k, v in figures.items()])
     tall = lambda items: F.explode(F.create_map(*[v for k in items for v in (F.lit(k), F.col(k).cast("double"))]))
     out = section(whole.select("symbol", tall(["bars", "zero_volume"])), "rows", F.col("key"), F.col("value"))

@@ -18,6 +18,7 @@ from ..sources.lake import append_guarded, pending_events, stored, track_outcome
 SWEEPS = "symbol string, bar long, direction string, level double, depth double, taken boolean, anchor long, ema double"
 CONFIRMED = "symbol string, bar long, direction string, status string, at long"
 BARS_AND_LATE = "symbol string, late boolean, at long, seq long, price double, open double, high double, low double, close double, volume double"
+PASSED = "symbol string, start long, kind string, at long, seq long, price double, volume double"
 STATES = "symbol string, bar long, state long, confidence double"
 
 
@@ -169,54 +170,79 @@ def bars_and_late(ticks: DataFrame, rule: str, lateness: str) -> DataFrame:
     """Closed bars of a stream of ticks (symbol, ts, seq, price, volume), and beside them the ticks that came too late for theirs (``late``).
 
     A series' window closes when one of its ticks lies ``lateness`` beyond its end; a tick for a window that earlier
-    batches have closed is a late row, all others count, once for each ``seq``. The state is the open windows' ticks,
-    one row each, and how far the series has come. Split the output by ``late``; ``window_repairs`` mends the bars.
+    batches have closed is a late row, all others count, once for each ``seq``. Two steps keep state. The first, by
+    series, passes ticks on chunk by chunk and holds how far the series has come and the starts of its open windows; it
+    marks late ticks, and adds a row for each window that is over. The second, by series and window, holds an open
+    window's ticks, one row each. So a task holds one window's ticks at a time, however many a batch has. Split the
+    output by ``late``; ``window_repairs`` mends the bars.
     """
     width, delay = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (rule, lateness))
-    columns = [c.split()[0] for c in BARS_AND_LATE.split(", ")]
+    passed, columns = ([c.split()[0] for c in x.split(", ")] for x in (PASSED, BARS_AND_LATE))
+    held = ["seq", "at", "price", "volume"]
 
-    class Windows(StatefulProcessor):
+    class Fronts(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.ticks = handle.getMapState("ticks", "start long, seq long", "at long, price double, volume double")
-            self.front = handle.getValueState("front", "latest long, oldest long")
+            self.front = handle.getValueState("front", "latest long")
+            self.open = handle.getMapState("open", "start long", "width long")
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-            latest, oldest = self.front.get() if self.front.exists() else (None, None)
-            new = pd.concat(list(rows))
-            new = new[new["at"].notna()].astype({"at": "int64", "seq": "int64", "price": "float64", "volume": "float64"})
-            if not len(new):
+            before = self.front.get()[0] if self.front.exists() else None
+            latest, starts = before, set()
+            for part in rows:
+                part = part.astype({"at": "int64", "seq": "int64", "price": "float64", "volume": "float64"})
+                start = part["at"] // width * width
+                late = start + width <= before - delay if before is not None else start != start
+                yield part.assign(symbol=key[0], start=start, kind=np.where(late, "late", "tick"))[passed]
+                if not late.all():
+                    newest = int(part["at"][~late].max())
+                    latest = newest if latest is None else max(latest, newest)
+                    starts.update(start[~late].unique().tolist())
+            if not starts:
                 return
-            new["start"] = new["at"] // width * width
-            late = new["start"] + width <= latest - delay if latest is not None else new["at"] != new["at"]
-            tardy, new = new[late], new[~late]
-            if len(tardy):
-                yield pd.DataFrame({"symbol": key[0], "late": True, "at": tardy["at"], "seq": tardy["seq"].astype("Int64"), "price": tardy["price"], "volume": tardy["volume"]}).reindex(columns=columns)
-            if not len(new):
+            waiting = {k[0] for k in self.open.keys()}
+            over = {x for x in waiting | starts if x + width <= latest - delay}
+            if over:  # without nulls, with which a chunk's long columns would come as doubles
+                yield pd.DataFrame({"symbol": key[0], "start": sorted(over), "kind": "over", "at": 0, "seq": 0, "price": 0.0, "volume": 0.0})[passed]
+            for x in waiting & over:
+                self.open.removeKey((x,))
+            for x in starts - waiting - over:
+                self.open.updateValue((x,), (width,))
+            self.front.update((latest,))
+
+        def close(self) -> None:
+            pass
+
+    class Windows(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.ticks = handle.getMapState("ticks", "seq long", "at long, price double, volume double")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            parts, over = [], False
+            for part in rows:
+                late = part[part["kind"] == "late"]
+                if len(late):
+                    yield late.assign(late=True).reindex(columns=columns).astype({"at": "Int64", "seq": "Int64"})
+                over |= bool((part["kind"] == "over").any())
+                parts.append(part.loc[part["kind"] == "tick", held].astype({"seq": "int64", "at": "int64"}))
+            t = pd.concat(parts, ignore_index=True).drop_duplicates("seq", keep="last")
+            if not over:
+                for seq, *v in t.itertuples(index=False):
+                    self.ticks.updateValue((seq,), tuple(v))
                 return
-            latest = max(int(new["at"].max()), new["at"].min() if latest is None else latest)
-            oldest = min(int(new["start"].min()), new["start"].min() if oldest is None else oldest)
-            fresh = {(int(r.start), int(r.seq)): (int(r.at), float(r.price), float(r.volume)) for r in new.itertuples()}
-            closed = (latest - delay) // width * width  # windows that start before this less one width are over
-            if oldest + width <= closed:
-                held = {tuple(k): tuple(v) for k, v in self.ticks.iterator()}
-                over = [(*k, *v) for k, v in {**held, **fresh}.items() if k[0] + width <= closed]
-                t = pd.DataFrame(over, columns=["start", "seq", "at", "price", "volume"]).sort_values(["start", "at", "seq"])
-                b = t.groupby("start").agg(open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"), volume=("volume", "sum")).reset_index(names="at")
-                yield b.assign(symbol=key[0], late=False).reindex(columns=columns).astype({"seq": "Int64"})
-                for k in held:
-                    if k[0] + width <= closed:
-                        self.ticks.removeKey(k)
-                fresh = {k: v for k, v in fresh.items() if k[0] + width > closed}
-                oldest = int(min((k[0] for k in (*held, *fresh) if k[0] + width > closed), default=closed))
-            for k, v in fresh.items():
-                self.ticks.updateValue(k, v)
-            self.front.update((int(latest), int(oldest)))
+            kept = [(*k, *v) for k, v in self.ticks.iterator()]
+            self.ticks.clear()
+            if kept:
+                t = pd.concat([pd.DataFrame(kept, columns=held), t], ignore_index=True).drop_duplicates("seq", keep="last")
+            t = t.sort_values(["at", "seq"]).assign(at=key[1])
+            b = t.groupby("at").agg(open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"), volume=("volume", "sum")).reset_index()
+            yield b.assign(symbol=key[0], late=False).reindex(columns=columns).astype({"seq": "Int64"})
 
         def close(self) -> None:
             pass
 
-    rows = ticks.select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "price", "volume")
-    out = rows.groupBy("symbol").transformWithStateInPandas(Windows(), BARS_AND_LATE, "Append", "None")
+    rows = ticks.select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "price", "volume").filter("at is not null")
+    marked = rows.groupBy("symbol").transformWithStateInPandas(Fronts(), PASSED, "Append", "None")
+    out = marked.groupBy("symbol", "start").transformWithStateInPandas(Windows(), BARS_AND_LATE, "Append", "None")
     return out.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")
 
 

@@ -61,6 +61,21 @@ def test_a_batch_of_one_series_passes_in_chunks(spark):
     assert peak < 15 and n >= 100  # MB; one chunk is 0.4 MB, all ticks are 16 and as tuples more than 100
 
 
+def test_late_ticks_of_one_window_pass_in_chunks(spark):
+    caught = Caught()
+    st.bars_and_late(caught, "1 hour", "10 minutes")
+    n, size, n_chunks = 0, 10_000, 40
+    chunks = (pd.DataFrame({"symbol": "a", "start": 0, "kind": "late", "at": 1, "seq": np.arange(i * size, (i + 1) * size), "price": 1.0, "volume": 1.0}) for i in range(n_chunks))
+    second = caught.processors[1]
+    second.init(Held())
+    tracemalloc.start()
+    for part in second.handleInputRows(("a", 0), chunks, None):
+        n += int(part["late"].sum())
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 15 and n == n_chunks * size
+
+
 def loop(batches):
     """Late seqs and bars by the definition, a batch after the other."""
     latest, ticks, late, closed = {}, {}, [], {}
